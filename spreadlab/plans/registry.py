@@ -1,19 +1,647 @@
-"""All queries of the package outside the subpackage for training data."""
+"""All queries of the package outside the subpackage for training data, with their SQL.
+
+Each takes (spark, sf_dir), reads the given tables and works on whole tables. Values are rounded at
+the edge, for sums in another order differ in their last bits."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import SMALL as S
+from ..operators import backtest as bt
+from ..operators import gaps, metrics, panel, robustness, screen, signals, stats, validation
+from ..operators.panel import PAIR
+from ..sources import bars as src
+from ..sources import upsert
+from . import sql
+
+HOUR, DAY = 3600, 86400
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def _register(name: str, oracle: str | None = None):
+    def add(f):
+        _QUERIES[name] = f
+        if oracle:
+            _SQL[name] = oracle
+        return f
+
+    return add
+
+
+class Data:
+    """The derived inputs of the queries."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, seconds: int = HOUR) -> None:
+        self.spark, self.seconds = spark, seconds
+        self.events = spark.read.parquet(f"{sf_dir}/events.parquet")
+        self.orders_path = f"{sf_dir}/orders.parquet"
+
+    @property
+    def orders(self) -> DataFrame:
+        return self.spark.read.parquet(self.orders_path)
+
+    @property
+    def bars(self) -> DataFrame:
+        return src.hourly(self.events, self.seconds)
+
+    @property
+    def days(self) -> DataFrame:
+        return src.daily(self.orders)
+
+    @property
+    def prices(self) -> DataFrame:
+        return src.prices(self.events, self.seconds)
+
+    @property
+    def funding(self) -> DataFrame:
+        return src.funding_events(self.events)
+
+    @property
+    def rates(self) -> DataFrame:
+        return panel.funding_per_bar(self.funding, self.seconds)
+
+    @property
+    def raw_pairs(self) -> DataFrame:
+        return panel.pair_align(self.bars)
+
+    @property
+    def pairs(self) -> DataFrame:
+        return panel.pair_align(self.prices, ("close", "open"))
+
+    @property
+    def market(self) -> DataFrame:
+        return bt.with_funding(self.pairs, self.rates)
+
+    @property
+    def spreads(self) -> DataFrame:
+        return stats.static_spread(self.raw_pairs)
+
+    @property
+    def tape(self) -> DataFrame:
+        """Positions by a closed rule, so that no other operator decides them."""
+        n = F.row_number().over(panel.by_pair())
+        rows = self.market.withColumn("rn", n)
+        desired = F.when((F.col("rn") % 20).between(5, 14), F.when(F.col("rn") % 40 < 20, 1).otherwise(-1)).otherwise(0)
+        return rows.withColumns({"desired": desired.cast("long"), "beta": 1 + (F.col("rn") % 7) / F.lit(10.0)})
+
+    @property
+    def results(self) -> DataFrame:
+        return bt.backtest(self.tape, S)
+
+    @property
+    def frame(self) -> DataFrame:
+        return signals.signal_frame(self.pairs, S.burn_in, (S.delta,), S.window)
+
+    @property
+    def signalled(self) -> DataFrame:
+        return signals.cancel_bad_beta(signals.with_positions(self.frame, [(S.entry, S.exit, S.stop)], ("delta",)), ("delta",))
+
+
+def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({n: F.round(n, digits) for n in names})
+
+
+def _r(*names: str, digits: int = 6) -> str:
+    return ", ".join(f"round({n}, {digits}) as {n}" for n in names)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+    d = Data(spark, sf_dir, 6 * HOUR)
+    return rounded(stats.rolling_zscore(stats.static_spread(d.raw_pairs), 12), "spread", "z").select(*PAIR, "open_time", "spread", "z")
+
+
+_OHLC = ("open", "high", "low", "close")
+_P = "leg_y, leg_x"
+
+
+@_register("bars_hourly", sql.query(f"select symbol, open_time, open, high, low, close, {_r('volume', digits=4)}, n_trades from bars", *sql.BARS))
+def _(spark, d):
+    return rounded(Data(spark, d).bars, "volume", digits=4)
+
+
+@_register("bars_daily", sql.query(f"select symbol, open_time, open, high, low, close, {_r('volume', digits=2)}, n_trades from days", *sql.DAILY))
+def _(spark, d):
+    return rounded(Data(spark, d).days, "volume", digits=2)
+
+
+def _doubles(df: DataFrame) -> DataFrame:
+    """Decimals as doubles, for the comparison of values."""
+    return df.select(*[F.col(c).cast("double").alias(c) if t.startswith("decimal") else F.col(c) for c, t in df.dtypes])
+
+
+@_register("parse_kline", """
+select event_type as symbol, ts - (epoch_us(ts) % 1000) * interval 1 microsecond as open_time, value as open, value as high, value as low,
+    value as close, cast(user_id as double) as volume, cast(null as double) as quote_volume, event_id as n_trades from events""")
+def _(spark, d):
+    e = Data(spark, d).events
+    ms = F.unix_millis(F.col("ts").cast("timestamp")).cast("string")
+    v = F.col("value").cast("decimal(38,2)").cast("string")
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    raw = F.concat(F.lit("["), F.array_join(F.array(ms, quoted(v), quoted(v), quoted(v), quoted(v), quoted(F.col("user_id").cast("string")), ms, F.lit('""'), F.col("event_id").cast("string"), F.lit('"0"'), F.lit('"0"'), F.lit('"0"')), ", "), F.lit("]"))
+    return _doubles(src.parse_klines(e.select(F.col("event_type").alias("symbol"), raw.alias("raw"))))
+
+
+@_register("parse_funding", """
+select event_type as symbol, ts - (epoch_us(ts) % 1000) * interval 1 microsecond as funding_time, value as funding_rate, case when event_id % 2 = 0 then cast(user_id as double) end as mark_price from events""")
+def _(spark, d):
+    e = Data(spark, d).events
+    mark = F.when(F.col("event_id") % 2 == 0, F.col("user_id").cast("string")).otherwise(F.lit(""))
+    raw = F.to_json(F.struct(F.col("event_type").alias("symbol"), F.unix_millis(F.col("ts").cast("timestamp")).alias("fundingTime"), F.col("value").cast("decimal(38,2)").cast("string").alias("fundingRate"), mark.alias("markPrice")))
+    return _doubles(src.parse_funding(e.select(raw.alias("raw"))))
+
+
+@_register("clean_daily", sql.query(f"select symbol, open_time, open, high, low, close, {_r('volume', digits=2)}, n_trades from days where n_trades % 5 <> 0 and open_time >= timestamp '1995-02-01' and open_time < timestamp '2001-01-01'", *sql.DAILY))
+def _(spark, d):
+    days = Data(spark, d).days.withColumn("open", F.when(F.col("n_trades") % 5 != 0, F.col("open")))
+    return rounded(src.clean_daily(days, F.lit("1995-02-01").cast("timestamp_ntz"), F.lit("2001-01-01").cast("timestamp_ntz")), "volume", digits=2)
+
+
+@_register("drop_forming", sql.query("select symbol, open_time, close from bars where open_time + interval 1 hour <= (select max(ts) from events)", *sql.BARS))
+def _(spark, d):
+    x = Data(spark, d)
+    now = x.events.agg(F.max("ts")).first()[0]
+    return src.drop_forming(x.bars, F.lit(now).cast("timestamp_ntz"), HOUR).select("symbol", "open_time", "close")
+
+
+@_register("upsert_keep_first", sql.query("select symbol, open_time, close from bars where open_time < timestamp '2024-01-10' union all select symbol, open_time, close + 1 from bars where open_time >= timestamp '2024-01-10'", *sql.BARS))
+def _(spark, d):
+    b = Data(spark, d).bars.select("symbol", "open_time", "close")
+    cut = F.lit("2024-01-10").cast("timestamp_ntz")
+    fresh = b.where(F.col("open_time") >= F.lit("2024-01-05").cast("timestamp_ntz")).withColumn("close", F.col("close") + 1)
+    return upsert.keep_first(b.where(F.col("open_time") < cut), fresh, ["symbol", "open_time"], ["close"])
+
+
+@_register("upsert_keep_last", sql.query(f"select symbol, open_time, case when open_time >= timestamp '1998-01-01' then close * 0.5 else close end as close, case when n_trades % 3 = 0 then 0 else {'round(volume, 2)'} end as volume from days", *sql.DAILY))
+def _(spark, d):
+    days = Data(spark, d).days.select("symbol", "open_time", "close", F.when(F.col("n_trades") % 3 != 0, F.round("volume", 2)).alias("volume"), F.lit(1).alias("batch"))
+    again = days.where(F.col("open_time") >= F.lit("1998-01-01").cast("timestamp_ntz")).withColumns({"close": F.col("close") * 0.5, "batch": F.lit(2)})
+    return upsert.keep_last(days.unionByName(again), ["symbol", "open_time"], ["batch"]).drop("batch")
+
+
+@_register("resume_cursor", sql.query("select symbol, max(open_time) + interval 1 hour as resume_at from bars group by symbol", *sql.BARS))
+def _(spark, d):
+    return upsert.resume_cursor(Data(spark, d).bars, "symbol", "open_time", HOUR, F.lit("2024-01-01").cast("timestamp_ntz"))
+
+
+@_register("symbols_missing", sql.query("select distinct o_orderpriority as symbol from orders where o_orderpriority not in (select symbol from bars) union select distinct o_orderstatus from orders", *sql.BARS))
+def _(spark, d):
+    x = Data(spark, d)
+    wanted = x.orders.select(F.explode(F.array("o_orderpriority", "o_orderstatus")).alias("symbol")).unionByName(x.events.select(F.col("event_type").alias("symbol"))).distinct()
+    return upsert.symbols_missing(wanted, x.bars.select("symbol").distinct())
+
+
+@_register("coverage", sql.query("""select symbol, min(open_time) as first_bar, max(open_time) as last_bar, count(*) as n_bars, cast(epoch(max(open_time) - min(open_time)) / 3600 + 1 as bigint) as expected,
+    cast(epoch(max(open_time) - min(open_time)) / 3600 + 1 as bigint) - count(*) as missing from bars group by symbol""", *sql.BARS))
+def _(spark, d):
+    return gaps.coverage(Data(spark, d).bars, HOUR)
+
+
+@_register("find_gaps", sql.query("""select symbol, prev + interval 1 hour as gap_start, open_time - interval 1 hour as gap_end, cast(epoch(open_time - prev) / 3600 as bigint) - 1 as n_missing
+    from (select symbol, open_time, lag(open_time) over (partition by symbol order by open_time) as prev from bars) where open_time - prev > interval 1 hour""", *sql.BARS))
+def _(spark, d):
+    return gaps.find_gaps(Data(spark, d).bars, HOUR)
+
+
+@_register("union_calendar", sql.query("select distinct open_time from days", *sql.DAILY))
+def _(spark, d):
+    return gaps.union_calendar(Data(spark, d).days)
+
+
+@_register("calendar_gaps", sql.query("""select symbol, min(open_time) as gap_start, max(open_time) as gap_end, count(*) as n_missing from (
+    select s.symbol, c.open_time, c.slot - row_number() over (partition by s.symbol order by c.slot) as run
+    from (select open_time, row_number() over (order by open_time) as slot from (select distinct open_time from days)) c
+    join (select symbol, min(open_time) as lo, max(open_time) as hi from days group by symbol) s on c.open_time between lo and hi
+    left join days d on d.symbol = s.symbol and d.open_time = c.open_time where d.symbol is null) group by symbol, run""", *sql.DAILY))
+def _(spark, d):
+    return gaps.calendar_gaps(Data(spark, d).days)
+
+
+@_register("panel_long", sql.query("select symbol, open_time, close from bars where symbol in ('click', 'purchase', 'view') and open_time < timestamp '2024-01-20'", *sql.BARS))
+def _(spark, d):
+    return panel.long_panel(Data(spark, d).bars, ["click", "purchase", "view"], F.lit("2024-01-20").cast("timestamp_ntz"))
+
+
+@_register("panel_pivot", sql.query("select open_time, max(close) filter (symbol = 'click') as click, max(close) filter (symbol = 'purchase') as purchase, max(close) filter (symbol = 'view') as view from bars group by open_time", *sql.BARS))
+def _(spark, d):
+    return panel.pivot_panel(panel.long_panel(Data(spark, d).bars), ["click", "purchase", "view"])
+
+
+@_register("slice_half_open", sql.query("select symbol, open_time, close from bars where open_time >= timestamp '2024-01-05' and open_time < timestamp '2024-01-12'", *sql.BARS))
+def _(spark, d):
+    day = lambda s: F.lit(s).cast("timestamp_ntz")
+    return panel.slice_half_open(Data(spark, d).bars, day("2024-01-05"), day("2024-01-12")).select("symbol", "open_time", "close")
+
+
+@_register("train_test_split", sql.query("select case when open_time < timestamp '2024-01-21' then 'train' else 'test' end as part, count(*) as n, min(open_time) as first_bar, max(open_time) as last_bar from bars group by 1", *sql.BARS))
+def _(spark, d):
+    out = panel.train_test_split(Data(spark, d).bars, F.lit("2024-01-20").cast("date"))
+    return out.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("open_time").alias("first_bar"), F.max("open_time").alias("last_bar"))
+
+
+@_register("pair_candidates", sql.query("select a.symbol as leg_y, b.symbol as leg_x from (select distinct symbol from bars) a join (select distinct symbol from bars) b on a.symbol < b.symbol", *sql.BARS))
+def _(spark, d):
+    return panel.pair_candidates(Data(spark, d).bars)
+
+
+@_register("pair_align", sql.query("select leg_y, leg_x, open_time, close_y, close_x from raw_pairs", *sql.FIT[:2]))
+def _(spark, d):
+    return Data(spark, d).raw_pairs.select(*PAIR, "open_time", "close_y", "close_x")
+
+
+@_register("log_prices", sql.query("select symbol, open_time, round(ln(close), 6) as log_close from bars", *sql.BARS))
+def _(spark, d):
+    return rounded(panel.log_prices(Data(spark, d).bars), "log_close").select("symbol", "open_time", "log_close")
+
+
+@_register("bar_returns", sql.query("select symbol, open_time, round(coalesce(close / nullif(lag(close) over (partition by symbol order by open_time), 0) - 1, 0), 6) as ret from bars", *sql.BARS))
+def _(spark, d):
+    return rounded(panel.bar_returns(Data(spark, d).bars), "ret").select("symbol", "open_time", "ret")
+
+
+@_register("normalized_close", sql.query("select symbol, open_time, round(close / first_value(close) over (partition by symbol order by open_time), 6) as normalized from bars", *sql.BARS))
+def _(spark, d):
+    return rounded(panel.normalized_close(Data(spark, d).bars), "normalized").select("symbol", "open_time", "normalized")
+
+
+@_register("funding_per_bar", sql.query("select symbol, open_time, round(rate, 9) as rate from rates", *sql.FUNDING))
+def _(spark, d):
+    return rounded(Data(spark, d).rates, "rate", digits=9)
+
+
+@_register("funding_join", sql.query("select b.symbol, b.open_time, b.close, round(coalesce(rate, 0), 9) as rate from bars b left join rates r on r.symbol = b.symbol and r.open_time = b.open_time", *sql.FUNDING))
+def _(spark, d):
+    x = Data(spark, d)
+    return rounded(panel.funding_join(panel.long_panel(x.bars), x.rates), "rate", digits=9)
+
+
+@_register("funding_rolling_mean", sql.query("""select symbol, funding_time, case when count(*) over w >= 90 then round(avg(funding_rate) over w * 1e4, 6) end as mean_bps
+    from funding window w as (partition by symbol order by funding_time rows between 89 preceding and current row)""", *sql.FUNDING))
+def _(spark, d):
+    return rounded(panel.funding_rolling_mean(Data(spark, d).funding), "mean_bps").select("symbol", "funding_time", "mean_bps")
+
+
+@_register("ols_hedge", sql.query(f"select leg_y, leg_x, {_r('alpha', 'beta')}, n_bars from fit", *sql.FIT))
+def _(spark, d):
+    return rounded(stats.ols_hedge(Data(spark, d).raw_pairs), "alpha", "beta")
+
+
+@_register("half_life", sql.query(f"""select leg_y, leg_x, case when phi > 0 and phi < 1 then round(-ln(2) / ln(phi), 5) end as half_life_bars from (
+    select leg_y, leg_x, 1 + regr_slope(spread - l, l) as phi from (select *, lag(spread) over (partition by {_P} order by open_time) as l from spreads) group by all)""", *sql.FIT))
+def _(spark, d):
+    return rounded(stats.half_life(Data(spark, d).spreads), "half_life_bars", digits=5)
+
+
+@_register("ret_corr", sql.query(f"select leg_y, leg_x, round(corr(dy, dx), 6) as ret_corr from (select leg_y, leg_x, ly - lag(ly) over w as dy, lx - lag(lx) over w as dx from raw_pairs window w as (partition by {_P} order by open_time)) group by all", *sql.FIT))
+def _(spark, d):
+    return rounded(stats.ret_corr(Data(spark, d).raw_pairs), "ret_corr")
+
+
+@_register("rolling_beta", sql.query(f"""select leg_y, leg_x, open_time, case when count(*) over w >= {S.window} then round(covar_samp(ly, lx) over w / nullif(var_samp(lx) over w, 0), 6) end as rolling_beta
+    from raw_pairs window w as (partition by {_P} order by open_time rows between {S.window - 1} preceding and current row)""", *sql.FIT))
+def _(spark, d):
+    return rounded(stats.rolling_beta(Data(spark, d).raw_pairs, S.window), "rolling_beta").select(*PAIR, "open_time", "rolling_beta")
+
+
+@_register("rolling_zscore", sql.query(f"select leg_y, leg_x, open_time, {_r('spread', 'z')} from zs", *sql.Z))
+def _(spark, d):
+    return rounded(stats.rolling_zscore(Data(spark, d).spreads, S.window), "spread", "z").select(*PAIR, "open_time", "spread", "z")
+
+
+@_register("trailing_vol", sql.query(f"""select symbol, open_time, case when count(r) over w >= {S.regime_window} then round(stddev_samp(r) over w, 6) end as vol
+    from (select *, close / lag(close) over (partition by symbol order by open_time) - 1 as r from prices) window w as (partition by symbol order by open_time rows between {S.regime_window - 1} preceding and current row)""", *sql.PRICES))
+def _(spark, d):
+    return rounded(stats.trailing_vol(Data(spark, d).prices, S.regime_window), "vol").select("symbol", "open_time", "vol")
+
+
+@_register("spread_bands", sql.query("select leg_y, leg_x, round(avg(spread) + 0.0, 6) as mid, round(avg(spread) - 2 * stddev_samp(spread), 6) as low, round(avg(spread) + 2 * stddev_samp(spread), 6) as high from spreads group by all", *sql.FIT))
+def _(spark, d):
+    return rounded(stats.spread_bands(Data(spark, d).spreads), "mid", "low", "high").withColumn("mid", F.col("mid") + F.lit(0.0))
+
+
+@_register("spearman", sql.query(f"""select leg_y, leg_x, round(corr(ra, rb), 6) as spearman from (
+    select leg_y, leg_x, rank() over (partition by {_P} order by close_y) + (count(*) over (partition by {_P}, close_y) - 1) / 2.0 as ra, rank() over (partition by {_P} order by close_x) + (count(*) over (partition by {_P}, close_x) - 1) / 2.0 as rb from raw_pairs) group by all""", *sql.FIT))
+def _(spark, d):
+    return rounded(stats.spearman(Data(spark, d).raw_pairs, "close_y", "close_x", PAIR), "spearman")
+
+
+@_register("engle_granger")
+def _(spark, d):
+    return rounded(screen.engle_granger(Data(spark, d).pairs, S.min_overlap), "p_forward", "p_reverse")
+
+
+@_register("pair_screen")
+def _(spark, d):
+    return rounded(screen.pair_screen(Data(spark, d).pairs, S), "alpha", "beta", "eg_p", "eg_p_max", "half_life_bars", "ret_corr")
+
+
+@_register("rolling_eg")
+def _(spark, d):
+    return rounded(screen.rolling_eg(Data(spark, d).pairs, S.eg_window, S.eg_step), "eg_p_max")
+
+
+@_register("rolling_eg_summary")
+def _(spark, d):
+    return rounded(screen.rolling_eg_summary(screen.rolling_eg(Data(spark, d).pairs, S.eg_window, S.eg_step)), "least_p", "median_p", "share_passing")
+
+
+@_register("fold_books")
+def _(spark, d):
+    x = Data(spark, d)
+    return rounded(screen.fold_books(x.pairs, validation.make_folds(gaps.union_calendar(x.bars), S.train_bars, S.test_bars), S), "eg_p_max")
+
+
+@_register("kalman_hedge", sql.query(f"select leg_y, leg_x, open_time, {_r('alpha', 'beta')} from hedged", *sql.KALMAN))
+def _(spark, d):
+    return rounded(signals.kalman_hedge(Data(spark, d).pairs, S.burn_in, (S.delta,)), "alpha", "beta").select(*PAIR, "open_time", "alpha", "beta")
+
+
+@_register("pair_spread", sql.query(f"select leg_y, leg_x, open_time, {_r('spread')} from innov", *sql.KALMAN))
+def _(spark, d):
+    x = signals.innovation_spread(signals.kalman_hedge(Data(spark, d).pairs, S.burn_in, (S.delta,)))
+    return rounded(x, "spread").select(*PAIR, "open_time", "spread")
+
+
+@_register("signal_frame", sql.query(f"select leg_y, leg_x, open_time, {_r('beta', 'spread', 'z', digits=5)} from zframe", *sql.KALMAN))
+def _(spark, d):
+    return rounded(Data(spark, d).frame, "beta", "spread", "z", digits=5).drop("delta")
+
+
+_STATIC_Z = (*sql.Z, sql.fsm("zs", beta="1.0"))
+_SIGNALS = (*sql.KALMAN, sql.fsm("zframe"), sql.CANCELLED.format(source="positioned"))
+
+
+@_register("positions", sql.query("select leg_y, leg_x, open_time, desired from positioned", *_STATIC_Z))
+def _(spark, d):
+    z = stats.rolling_zscore(Data(spark, d).spreads, S.window)
+    return signals.with_positions(z, [(S.entry, S.exit, S.stop)]).select(*PAIR, "open_time", "desired")
+
+
+@_register("pair_signals", sql.query(f"select leg_y, leg_x, open_time, {_r('beta', 'z')}, cast(desired as bigint) as desired from cancelled", *_SIGNALS))
+def _(spark, d):
+    return rounded(Data(spark, d).signalled, "beta", "z").select(*PAIR, "open_time", "beta", "z", "desired")
+
+
+@_register("signal_summary", sql.query(f"""select leg_y, leg_x, count(*) as bars, count(z) as tradeable, cast(sum(opens) as bigint) as entries, cast(sum(case when ends and not stopped then 1 else 0 end) as bigint) as mean_exits,
+    cast(sum(case when stopped then 1 else 0 end) as bigint) as stop_outs, cast(sum(case when nxt is null and desired <> 0 then 1 else 0 end) as bigint) as open_at_end,
+    round(sum(case when desired <> 0 then 1 else 0 end)::double / nullif(sum(opens), 0), 6) as avg_hold, round(avg(case when desired <> 0 then 1.0::double else 0 end), 6) as pct_in_market
+    from (select *, case when desired <> 0 and pd = 0 then 1 else 0 end as opens, desired = 0 and pd <> 0 as ends, coalesce(desired = 0 and pd <> 0 and abs(z) >= {S.stop}, false) as stopped from (
+        select *, coalesce(lag(desired) over w, 0) as pd, lead(open_time) over w as nxt from cancelled window w as (partition by {_P} order by open_time))) group by all""", *_SIGNALS))
+def _(spark, d):
+    return rounded(signals.signal_summary(Data(spark, d).signalled, S.stop, ("delta",)), "avg_hold", "pct_in_market").drop("delta")
+
+
+_DIPPED = "dipped as (select * exclude (beta), case when rn % 9 < 3 then -beta else beta end as beta from tape)"
+
+
+@_register("cancel_bad_beta", sql.query("select leg_y, leg_x, open_time, cast(desired as bigint) as desired from cancelled", *sql.TAPE, _DIPPED, sql.CANCELLED.format(source="dipped")))
+def _(spark, d):
+    tape = Data(spark, d).tape.withColumn("beta", F.when(F.col("rn") % 9 < 3, -F.col("beta")).otherwise(F.col("beta")))
+    return signals.cancel_bad_beta(tape).select(*PAIR, "open_time", "desired")
+
+
+@_register("held_weights", sql.query(f"select leg_y, leg_x, open_time, {_r('w_y', 'w_x')} from held", *sql.TAPE, sql.held("tape")))
+def _(spark, d):
+    return rounded(signals.held_weights(Data(spark, d).tape), "w_y", "w_x").select(*PAIR, "open_time", "w_y", "w_x")
+
+
+@_register("turnover", sql.query(f"select leg_y, leg_x, open_time, {_r('turnover')} from turned", *sql.TAPE, sql.held("tape")))
+def _(spark, d):
+    return rounded(signals.turnover(signals.held_weights(Data(spark, d).tape)), "turnover").select(*PAIR, "open_time", "turnover")
+
+
+@_register("fresh_entries", sql.query(f"""select leg_y, leg_x, open_time, cast(case when open_time >= timestamp '2024-01-10' and open_time < timestamp '2024-01-20' and back > 2 then desired else 0 end as bigint) as desired
+    from (select *, row_number() over (partition by {_P}, open_time < timestamp '2024-01-20' order by open_time desc) as back from tape)""", *sql.TAPE))
+def _(spark, d):
+    day = lambda s: F.lit(s).cast("timestamp_ntz")
+    return signals.fresh_entries(Data(spark, d).tape, day("2024-01-10"), (), day("2024-01-20")).select(*PAIR, "open_time", "desired")
+
+
+_PARTS = ("gross", "fee", "slip", "funding", "borrow", "net")
+
+
+@_register("backtest_close", sql.query(f"select leg_y, leg_x, open_time, {_r('w_y', 'w_x', 'turnover', *_PARTS, digits=11)} from bt", *sql.RESULT))
+def _(spark, d):
+    return rounded(Data(spark, d).results, "w_y", "w_x", "turnover", *_PARTS, digits=11).select(*PAIR, "open_time", "w_y", "w_x", "turnover", *_PARTS)
+
+
+@_register("backtest_next_open", sql.query(f"select leg_y, leg_x, open_time, {_r('gross', 'net', digits=8)} from bt", *sql.RESULT_OPEN))
+def _(spark, d):
+    return rounded(bt.backtest(Data(spark, d).tape, S, next_open=True), "gross", "net", digits=8).select(*PAIR, "open_time", "gross", "net")
+
+
+@_register("pnl_totals", sql.query(f"select leg_y, leg_x, {', '.join(f'round(sum({p}), 7) as {p}' for p in _PARTS)}, abs(sum(net) - (sum(gross) - sum(fee) - sum(slip) + sum(funding) - sum(borrow))) < 1e-9 as reconciled from bt group by all", *sql.RESULT))
+def _(spark, d):
+    return rounded(bt.totals(Data(spark, d).results), *_PARTS, digits=7)
+
+
+@_register("portfolio_curve", sql.query(f"select open_time, {_r(*_PARTS, digits=11)} from port", *sql.PORT))
+def _(spark, d):
+    x = Data(spark, d).results
+    return rounded(bt.portfolio_curve(x, bt.book_size(x)), *_PARTS, digits=11)
+
+
+@_register("benchmark_frame", sql.query("select symbol, open_time, round(r, 7) as gross, 0.0::double as fee, 0.0::double as slip, 0.0::double as funding, 0.0::double as borrow, round(r, 7) as net from (select *, coalesce(close / lag(close) over (partition by symbol order by open_time) - 1, 0) as r from prices)", *sql.PRICES))
+def _(spark, d):
+    return rounded(bt.benchmark_frame(Data(spark, d).prices), "gross", "net", digits=7)
+
+
+@_register("equity_curve", sql.query(f"select leg_y, leg_x, open_time, {_r('equity')} from curves", *sql.CURVES))
+def _(spark, d):
+    return rounded(metrics.equity_curve(Data(spark, d).results), "equity").select(*PAIR, "open_time", "equity")
+
+
+@_register("drawdown_curve", sql.query(f"select leg_y, leg_x, open_time, {_r('equity', 'drawdown')} from curves", *sql.CURVES))
+def _(spark, d):
+    return rounded(metrics.drawdown_curve(Data(spark, d).results), "equity", "drawdown").select(*PAIR, "open_time", "equity", "drawdown")
+
+
+_Y = f"sqrt({float(S.bars_per_year)})"
+_SHARPE, _SORTINO = f"avg(net) / nullif(stddev_samp(net), 0) * {_Y}", f"avg(net) / nullif(sqrt(avg(least(net, 0) ** 2)), 0) * {_Y}"
+_HOLD = "sum(case when active then 1 else 0 end)::double / nullif(sum(opens), 0)"
+_TURN = f"sum(turnover) / count(*) * {S.bars_per_year}"
+_PNLS = "select leg_y, leg_x, episode, sum(net) as pnl from eps where active or was_active group by all"
+
+
+@_register("ann_sharpe", sql.query(f"select leg_y, leg_x, round({_SHARPE}, 5) as ann_sharpe from bt group by all", *sql.RESULT))
+def _(spark, d):
+    return rounded(metrics.ann_sharpe(Data(spark, d).results, S.bars_per_year), "ann_sharpe", digits=5)
+
+
+@_register("ann_sortino", sql.query(f"select leg_y, leg_x, round({_SORTINO}, 5) as ann_sortino from bt group by all", *sql.RESULT))
+def _(spark, d):
+    return rounded(metrics.ann_sortino(Data(spark, d).results, S.bars_per_year), "ann_sortino", digits=5)
+
+
+@_register("max_drawdown", sql.query("select leg_y, leg_x, round(min(drawdown), 6) as max_drawdown from curves group by all", *sql.CURVES))
+def _(spark, d):
+    return rounded(metrics.max_drawdown(Data(spark, d).results), "max_drawdown")
+
+
+@_register("round_trips", sql.query("select leg_y, leg_x, cast(sum(opens) as bigint) as trades from eps group by all", *sql.EPISODES))
+def _(spark, d):
+    return metrics.round_trips(Data(spark, d).results)
+
+
+@_register("trade_pnls", sql.query(f"select leg_y, leg_x, cast(episode as bigint) as episode, round(pnl, 7) as pnl from ({_PNLS})", *sql.EPISODES))
+def _(spark, d):
+    return rounded(metrics.trade_pnls(Data(spark, d).results), "pnl", digits=7)
+
+
+@_register("hit_rate", sql.query(f"select leg_y, leg_x, round(avg(case when pnl > 0 then 1.0::double else 0 end), 6) as hit_rate from ({_PNLS}) group by all", *sql.EPISODES))
+def _(spark, d):
+    return rounded(metrics.hit_rate(Data(spark, d).results), "hit_rate")
+
+
+@_register("avg_holding", sql.query(f"select leg_y, leg_x, round({_HOLD}, 6) as avg_holding from eps group by all", *sql.EPISODES))
+def _(spark, d):
+    return rounded(metrics.avg_holding(Data(spark, d).results), "avg_holding")
+
+
+@_register("ann_turnover", sql.query(f"select leg_y, leg_x, round({_TURN}, 5) as ann_turnover from bt group by all", *sql.RESULT))
+def _(spark, d):
+    return rounded(metrics.ann_turnover(Data(spark, d).results, S.bars_per_year), "ann_turnover", digits=5)
+
+
+_SUMMARY = f"""round(sum(net), 6) as net, round(sum(gross), 6) as gross, round(sum(fee + slip + borrow), 6) as costs, round(sum(funding), 7) as funding, round({_SHARPE}, 5) as sharpe,
+    round(min(drawdown), 6) as max_drawdown, count(*) as bars, cast(sum(opens) as bigint) as trades, round(avg(case when active then 1.0::double else 0 end), 6) as pct_in_market"""
+
+
+def _summary(df: DataFrame) -> DataFrame:
+    return rounded(rounded(rounded(df, "net", "gross", "costs", "max_drawdown", "pct_in_market"), "funding", digits=7), "sharpe", digits=5)
+
+
+@_register("summarize", sql.query(f"select leg_y, leg_x, {_SUMMARY} from curves group by all", *sql.CURVES))
+def _(spark, d):
+    return _summary(metrics.summarize(Data(spark, d).results, S.bars_per_year))
+
+
+@_register("full_summary", sql.query(f"""select a.*, round(h.hit_rate, 6) as hit_rate from (select leg_y, leg_x, {_SUMMARY}, round({_SORTINO}, 5) as ann_sortino, round({_HOLD}, 6) as avg_holding, round({_TURN}, 5) as ann_turnover from curves group by all) a
+    join (select leg_y, leg_x, avg(case when pnl > 0 then 1.0::double else 0 end) as hit_rate from ({_PNLS}) group by all) h using (leg_y, leg_x)""", *sql.CURVES))
+def _(spark, d):
+    out = metrics.full_summary(Data(spark, d).results, S.bars_per_year)
+    return rounded(rounded(_summary(out), "ann_sortino", "ann_turnover", digits=5), "avg_holding", "hit_rate")
+
+
+@_register("portfolio_extras", sql.query(f"""select (select cast(sum(opens) as bigint) from eps) as trades, (select round({_HOLD}, 6) from eps) as avg_holding, (select round(avg(case when pnl > 0 then 1.0::double else 0 end), 6) from ({_PNLS})) as hit_rate,
+    (select round(avg(t), 5) from (select {_TURN} as t from bt group by leg_y, leg_x)) as ann_turnover, (select round(avg(case when a then 1.0::double else 0 end), 6) from (select bool_or(active) as a from eps group by open_time)) as exposure""", *sql.EPISODES))
+def _(spark, d):
+    return rounded(rounded(metrics.portfolio_extras(Data(spark, d).results, S.bars_per_year), "avg_holding", "hit_rate", "exposure"), "ann_turnover", digits=5)
+
+
+@_register("param_grid", sql.query("""select delta, cast(w as int) as window, entry, exit, stop, n_calendar from (select unnest([1e-5, 1e-7, 1e-8]::double[]) as delta), (select unnest([720, 1440]) as w), (select unnest([1.5, 2.0, 2.5]::double[]) as entry),
+    (select unnest([0.0, 0.5]::double[]) as exit), (select unnest([3.0, 4.0]::double[]) as stop), (select count(distinct open_time) as n_calendar from bars)""", *sql.BARS))
+def _(spark, d):
+    from ..config import HOURLY
+
+    bars = Data(spark, d).bars.agg(F.countDistinct("open_time").alias("n_calendar"))
+    return validation.param_grid(spark, HOURLY.grid).crossJoin(bars)
+
+
+@_register("make_folds", sql.query("select * from folds", *sql.FOLDS))
+def _(spark, d):
+    return validation.make_folds(gaps.union_calendar(Data(spark, d).bars), S.train_bars, S.test_bars)
+
+
+@_register("fold_assignment", sql.query("""select fold, symbol, case when open_time < test_start then 'train' else 'test' end as part, count(*) as n, round(sum(close), 4) as total
+    from bars join folds on open_time >= train_start and open_time < test_end group by all""", *sql.FOLDS))
+def _(spark, d):
+    x = Data(spark, d)
+    out = validation.fold_assignment(x.bars, validation.make_folds(gaps.union_calendar(x.bars), S.train_bars, S.test_bars))
+    return out.groupBy("fold", "symbol", "part").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("close"), 4).alias("total"))
+
+
+def _grid_results(x: Data) -> DataFrame:
+    return validation.run_params(validation.grid_signals(x.pairs, S), x.market, S)
+
+
+@_register("run_params")
+def _(spark, d):
+    return rounded(bt.totals(_grid_results(Data(spark, d)), (*PAIR, *validation.PARAMS)), *_PARTS)
+
+
+@_register("grid_search")
+def _(spark, d):
+    return rounded(validation.grid_search(_grid_results(Data(spark, d)), S), "net", "sharpe")
+
+
+@_register("grid_best")
+def _(spark, d):
+    return rounded(validation.grid_best(validation.grid_search(_grid_results(Data(spark, d)), S)), "net", "sharpe")
+
+
+_CUTOFF = "2024-01-20"
+
+
+@_register("static_split")
+def _(spark, d):
+    x = Data(spark, d)
+    curve = validation.static_split(x.pairs, x.market, S, F.lit(_CUTOFF).cast("timestamp_ntz"))
+    return rounded(metrics.summarize(curve, S.bars_per_year, ("part",), weights=False), "net", "gross", "costs", "funding", "sharpe", "max_drawdown")
+
+
+def _walked(spark, d):
+    x = Data(spark, d)
+    return validation.walkforward(x.pairs, x.market, gaps.union_calendar(x.bars), S)
+
+
+@_register("walkforward")
+def _(spark, d):
+    return rounded(_walked(spark, d)[0], "train_sharpe", "test_net", "test_sharpe")
+
+
+@_register("walkforward_oos")
+def _(spark, d):
+    return rounded(_walked(spark, d)[1].select("fold", "open_time", "net"), "net")
+
+
+_STRESS = f"(gross - m * (fee + slip) + funding - borrow)"
+
+
+@_register("cost_stress", sql.query(f"""select m as multiplier, round(sum(net), 6) as net, round({_SHARPE}, 5) as sharpe from (select m, open_time, {_STRESS} as net from port, (select unnest([0.5, 1.0, 2.0, 3.0]::double[]) as m)) group by m""", *sql.PORT))
+def _(spark, d):
+    x = Data(spark, d).results
+    return rounded(rounded(robustness.cost_stress(x, S.cost_multipliers, S.bars_per_year, bt.book_size(x)), "net"), "sharpe", digits=5)
+
+
+@_register("leave_one_out", sql.query("select leg_y, leg_x, round((t - own) / (n - 1), 6) as net from (select leg_y, leg_x, sum(net) as own from bt group by all), (select sum(net) as t, count(distinct leg_y || leg_x) as n from bt)", *sql.RESULT))
+def _(spark, d):
+    return rounded(robustness.leave_one_out(Data(spark, d).results), "net")
+
+
+_W = S.regime_window
+
+
+@_register("regime_slices", sql.query(f"""select regime, round(sum(net), 6) as net, round({_SHARPE}, 5) as sharpe, count(*) as bars from (
+    select net, unnest([case when trend > 0 then 'up' when trend <= 0 then 'down' end, case when vol > mid then 'high_vol' when vol <= mid then 'low_vol' end]) as regime
+    from (select *, case when count(r) over v >= {_W} then stddev_samp(r) over v end as vol from (
+        select p.open_time, p.net, f.close / lag(f.close, {_W}) over (order by p.open_time) - 1 as trend, f.close / lag(f.close) over (order by p.open_time) - 1 as r
+        from port p left join prices f on f.open_time = p.open_time and f.symbol = 'view') window v as (order by open_time rows between {_W - 1} preceding and current row)) a,
+    (select median(vol) as mid from (select case when count(r) over v >= {_W} then stddev_samp(r) over v end as vol from (
+        select p.open_time, f.close / lag(f.close) over (order by p.open_time) - 1 as r from port p left join prices f on f.open_time = p.open_time and f.symbol = 'view') window v as (order by open_time rows between {_W - 1} preceding and current row)))
+    ) where regime is not null group by regime""", *sql.PORT))
+def _(spark, d):
+    x = Data(spark, d)
+    curve = bt.portfolio_curve(x.results, bt.book_size(x.results))
+    out = robustness.regime_slices(curve, x.prices.where("symbol = 'view'"), _W, S.bars_per_year)
+    return rounded(rounded(out, "net"), "sharpe", digits=5)
+
+
+@_register("grid_robustness")
+def _(spark, d):
+    results = _grid_results(Data(spark, d))
+    cut = F.lit(_CUTOFF).cast("timestamp_ntz")
+    halves = [validation.grid_search(results.where(c), S) for c in (F.col("open_time") < cut, F.col("open_time") >= cut)]
+    return rounded(robustness.grid_robustness(*halves, validation.PARAMS), "spearman", "least", "most", "share_positive")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
