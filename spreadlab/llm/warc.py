@@ -32,11 +32,11 @@ _CHUNKS = (
 )
 
 
-def base32_sha1(data: Column) -> Column:
-    """Upper-case base32 of the SHA-1 of binary data: five bits of the hexadecimal form a letter."""
+def base32(digest: Column) -> Column:
+    """Upper-case base32 of a SHA-1 in hexadecimal, five bits a letter."""
 
     def letter(i: Column) -> Column:
-        quad = F.conv(F.substring(F.sha1(data), F.floor(i / 4).cast("int") * 5 + 1, F.lit(5)), 16, 10).cast("int")
+        quad = F.conv(F.substring(digest, F.floor(i / 4).cast("int") * 5 + 1, F.lit(5)), 16, 10).cast("int")
         bits = F.pmod(F.floor(quad / F.pow(F.lit(2), 15 - 5 * (i % 4))), F.lit(32)).cast("int")
         return F.substring(F.lit(_BASE32), bits + 1, F.lit(1))
 
@@ -70,7 +70,7 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     size = F.octet_length("payload")
     revisit = F.col("first_id").isNotNull()
     segments = F.when(revisit, 1).otherwise(F.greatest(F.lit(1), F.ceil(size / chunk_bytes))).cast("int")
-    parts = rows.withColumn("digest", base32_sha1(F.col("payload"))).select("*", segments.alias("segments"), F.explode(F.sequence(F.lit(1), segments)).alias("segment"))
+    parts = rows.withColumn("digest", base32(F.col("sha"))).select("*", segments.alias("segments"), F.explode(F.sequence(F.lit(1), segments)).alias("segment"))
     chunk = F.when(revisit, F.lit("").cast("binary")).otherwise(F.substring("payload", (F.col("segment") - 1) * chunk_bytes + 1, F.lit(chunk_bytes)))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{_EOL}Content-Type: text/html; charset=utf-8{_EOL}Content-Length: "), size.cast("string"), F.lit(_EOL * 2))
     block = F.when(F.col("segment") == 1, F.concat(http.cast("binary"), chunk)).otherwise(chunk)
