@@ -13,7 +13,7 @@ shifted circularly by k. One lookup thus reads all coordinates of a shingle as o
 4. A larger bucket that is still in several components is compared exactly in blocks, which
    return only links that join components. So no group of copies is ever expanded into its pairs,
    and no partner is dropped.
-5. Components come from minimum labels with pointer jumping, each round a table in the shared folder."""
+5. Components come from contracting links to least neighbours, each round a table in the shared folder."""
 
 from __future__ import annotations
 
@@ -173,23 +173,38 @@ def _block_links(percent: int):
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, label) of every node in links (a, b): the label is the least node reachable."""
-    both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
+    """(node, label) of every node in links (a, b): nodes have the same label if links join them.
+
+    Each round gives a node the least of its neighbours and itself, then that one's, and puts these labels in
+    place of the nodes of all links; a link within one label is done with. So links die out fast and each is
+    joined about once."""
+    spark = links.sparkSession
+    edges = _between(links.select("a", "b"))
+    edges, labels = written(edges, "edges"), None
     for _ in range(rounds):
-        near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("via"), F.col("label").alias("far"))
-        step = step.join(jump, step.label == jump.via, "left").select("node", "old", F.least("label", "far").alias("label"))
-        step = written(step, "labels")
-        moved = step.where("label <> old").limit(1).count()
-        remove(labels.sparkSession, labels)
-        labels = step.select("node", "label")
-        if not moved:
+        near = edges.union(edges.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near"))
+        parent = written(near.select("node", F.least("node", "near").alias("to")), "parents")
+        upper = parent.select(F.col("node").alias("via"), F.col("to").alias("far"))
+        parent = written(parent.join(upper, F.col("to") == F.col("via")).select("node", F.col("far").alias("to")), "parents")
+        if labels is None:
+            labels = parent.select("node", F.col("to").alias("label"))
+        else:
+            moved = parent.select(F.col("node").alias("via"), "to")
+            labels = written(labels.join(moved, F.col("label") == F.col("via"), "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+        one = parent.select(F.col("node").alias("a"), F.col("to").alias("one"))
+        two = parent.select(F.col("node").alias("b"), F.col("to").alias("two"))
+        left = written(_between(edges.join(one, "a").join(two, "b").select(F.col("one").alias("a"), F.col("two").alias("b"))), "edges")
+        remove(spark, edges)
+        edges = left
+        if not edges.limit(1).count():
             return labels
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def _between(links: DataFrame) -> DataFrame:
+    return links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, width: int = S.WIDTH) -> DataFrame:
     """One row (id, n_shingles, component_id, kept) for each row of docs.
 
