@@ -24,7 +24,7 @@ TIERS = (256, 512, 1024, 2048)
 END_ID = 1
 POOL_TOKENS = 1 << 20
 STEP_TOKENS = 1 << 14
-CACHED = 400_000
+CACHED = 250_000
 
 _PIECES = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_tokens long, tier int, step_group long"
 _NAMES = ("start", "length", "ids", "doc_tokens", "sequence_id", "offset", "sequence_tokens", "tier", "step_group")
@@ -213,7 +213,7 @@ def _packing(path: str, tiers: tuple[int, ...], end_id: int, pool_tokens: int, s
         for batch in batches:
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
                 packer.add(doc.as_py(), tok.ids(text.as_py() or "") + end)
-                if len(packer.rows) >= 4096:
+                if len(packer.rows) >= 1024:
                     yield out(packer.rows)
                     packer.rows = []
         packer.end()
