@@ -97,12 +97,19 @@ def _feature_batches(width: int):
 
 
 def _set_batches(width: int):
+    """The shingle sets of texts that are of the class they came with."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets = [S.shingle_set(t.as_py(), width).tobytes() for t in part.column(1).cast(pa.large_binary())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["cid", "hashes"])
+                cids, sets = [], []
+                for cid, text in zip(part.column(0), part.column(1).cast(pa.large_binary()), strict=True):
+                    s = S.shingle_set(text.as_py(), width)
+                    if len(s) and _class_id(s) == cid.as_py():
+                        cids.append(cid.as_py())
+                        sets.append(s.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(cids, pa.binary()), pa.array(sets, pa.binary())], names=["cid", "hashes"])
 
     return run
 
@@ -240,9 +247,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     wanted = found.select(F.col("a").alias("cid")).union(found.select("b")).union(large.select("cid")).distinct()
     firsts = classes.join(wanted, "cid", "left_semi").select("cid", F.col("first_id").alias("id"))
-    # An id that repeats brings several texts: the features tell which of them is of this class.
+    # An id that repeats brings several texts: the sets tell which of them is of this class.
     sets = docs.join(firsts, docs.id.eqNullSafe(firsts.id)).select("cid", "text").mapInArrow(_set_batches(width), "cid binary, hashes binary")
-    sets = written(_of_own_class(sets).dropDuplicates(["cid"]), "sets")
+    sets = written(sets.dropDuplicates(["cid"]), "sets")
     exact = found.join(sets.withColumnsRenamed({"cid": "a", "hashes": "set_a"}), "a").join(sets.withColumnsRenamed({"cid": "b", "hashes": "set_b"}), "b")
     exact = written(exact.select("a", "b", "set_a", "set_b").mapInArrow(_keep_similar(percent), "a binary, b binary"), "links")
     labels = components(exact)
@@ -267,12 +274,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = features.select("id", "n_shingles", "cid").join(by_class, "cid", "left")
     component = F.when(F.col("cid").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
-
-
-def _of_own_class(sets: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [bool(h.as_py()) and _class_id(np.frombuffer(h.as_py(), dtype=np.uint64)) == c.as_py() for c, h in zip(batch.column(0), batch.column(1), strict=True)]
-            yield batch.filter(pa.array(own, pa.bool_()))
-
-    return sets.mapInArrow(run, "cid binary, hashes binary")
