@@ -29,7 +29,7 @@ def jump(keys: np.ndarray, shards: int) -> np.ndarray:
 
 
 def jump_shard(key: Column, shards: int) -> Column:
-    """Shard of a key: integers as they are, anything else by its xxhash64; null counts as 0."""
+    """Shard of an integer key, hashed by the caller where it is anything else; null counts as 0."""
 
     @F.pandas_udf(T.IntegerType())
     def shard(k: pd.Series) -> pd.Series:
