@@ -24,17 +24,32 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, keep=list(COLUMNS)).where("not rejected").select(*COLUMNS)
 
 
+def row_keys(docs: DataFrame) -> DataFrame:
+    """docs with _k1 and _k2, two hashes of id and text: never null, and equal where both are. Ids alone don't tell rows
+    apart, for they may be null or repeat."""
+    missing = (F.col("doc_id").isNull(), F.col("text").isNull())
+    return docs.withColumns({"_k1": F.xxhash64("doc_id", "text", *missing), "_k2": F.xxhash64(*missing, "text", "doc_id")})
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that with the smallest id, of each group at a similarity of 0.8 or more."""
-    kept = minhash.near_duplicates(docs, percent=NEAR_PERCENT).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """Keeps one document, that with the smallest id, of each group at a similarity of 0.8 or more.
+
+    A null id comes after all others; of equal ids the one with the least hash of id and text stays. So texts that are
+    not alike all stay, whatever their ids; texts without words are each a group. Rows with the same id and text count as one."""
+    rows = row_keys(docs)
+    groups = minhash.near_duplicates(rows.select("_k1", "text"), id_col="_k1", percent=NEAR_PERCENT).select("_k1", "component_id").distinct()
+    named = rows.select("_k1", "doc_id").distinct().join(groups, "_k1")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "_k1"))
+    kept = named.groupBy("component_id").agg(first.alias("first")).select("first._k1").distinct()
+    return rows.join(kept, "_k1", "left_semi").dropDuplicates(["_k1", "_k2"]).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents with a benchmark window."""
-    judged = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"), window=WINDOW)
-    dirty = judged.where("contaminated").select("doc_id").distinct()
-    return docs.join(dirty, "doc_id", "left_anti").select(*COLUMNS)
+    """Drops documents with a benchmark window. Each row goes or stays by its own text, whatever its id; repeated rows alike."""
+    rows = row_keys(docs)
+    judged = decontam.decontaminate(rows.select(F.struct("_k1", "_k2").alias("key"), "text"), table(spark, sf_dir, "benchmark"), id_col="key", window=WINDOW)
+    dirty = judged.where("contaminated").select("key._k1", "key._k2").distinct()
+    return rows.join(dirty, ["_k1", "_k2"], "left_anti").select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
