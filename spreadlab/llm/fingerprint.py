@@ -1,7 +1,8 @@
 """Homomorphic multiset hashes of texts, in column functions only.
 
 A text is cut into its paragraphs (lines), and these into runs of at most eight words from their
-start, so that a long paragraph also has parts. Each part hashes to a wide vector of lanes; the
+start, so that a long paragraph also has parts. A newline ends each paragraph and counts as part of
+it; the last one counts as ended too, so that it hashes alike wherever it stands. Each part hashes to a wide vector of lanes; the
 fingerprint is the sum of the parts' vectors, lane by lane, modulo 2**20. So it does not depend on
 the order of parts, and a part is inserted or deleted by adding or subtracting its vector.
 
@@ -31,7 +32,8 @@ _PARTS = rf"(?:[^\s]++[^\S\n]*+){{1,{WORDS_PER_PART}}}+\n?+|[^\S\n]++\n?+|\n"
 
 
 def parts(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(_PARTS), F.lit(0))
+    ended = F.when((text == "") | text.endswith("\n"), text).otherwise(F.concat(text, F.lit("\n")))
+    return F.regexp_extract_all(ended, F.lit(_PARTS), F.lit(0))
 
 
 def _sum(hashes: Column, seed: int, shift: int, keep: int) -> Column:
