@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 PERIOD_SECONDS = 30 * 86400
 SALTS = 8
-MAX_LABELS = 6
 _RANK = {"block": 3, "allow": 2, "clear": 1}
 
 
@@ -48,15 +47,15 @@ def _period(moment: Column) -> Column:
 def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched_at") -> DataFrame:
     """One row per row of captures: id, host, the time, verdict (block, allow or none), matched
     domain and its valid_from and valid_to. The most specific active domain decides: the host itself or one it
-    is under, of two labels or more (``MAX_LABELS`` at most).
+    is under, of two labels or more, however many.
 
     Null or hostless urls and null times get ``none``; repeated rows get the same verdict each. Either table may be
     empty; other columns don't matter."""
     rows = captures.select(F.col(id_col).alias("id"), host(F.col(url_col)).alias("host"), F.col(time_col).alias("at"))
     ends = rows.agg(F.max(_period(F.col("at"))).alias("last")).first()["last"]  # one number
     labels = F.split("host", r"\.")
-    tails = F.transform(F.sequence(F.lit(2), F.least(F.size(labels), F.lit(MAX_LABELS))), lambda k: F.array_join(F.slice(labels, -k, k), "."))
-    domains = F.when(F.size(labels) >= 2, F.array_distinct(F.concat(tails, F.array(F.col("host"))))).otherwise(F.array("host"))
+    tails = F.transform(F.sequence(F.lit(2), F.size(labels)), lambda k: F.array_join(F.slice(labels, -k, k), "."))
+    domains = F.when(F.size(labels) >= 2, tails).otherwise(F.array("host"))
     asked = rows.where("host is not null and at is not null").withColumn("salt", F.pmod(F.xxhash64("id", "at"), F.lit(SALTS)).cast("int"))
     asked = asked.select("id", "host", "at", "salt", _period(F.col("at")).alias("period"), F.explode(domains).alias("domain"))
 
