@@ -51,6 +51,12 @@ def pair_align(bars: DataFrame, fields: tuple[str, ...] = ("close",)) -> DataFra
     return y.join(x, "open_time").where("leg_y < leg_x").dropna(subset=[c for c in (*y.columns, *x.columns)])
 
 
+def both_ways(frame: DataFrame) -> DataFrame:
+    """Each row of pairs, and again with its legs the other way round."""
+    other = lambda c: {"_y": c[:-1] + "x", "_x": c[:-1] + "y"}.get(c[-2:], c)
+    return frame.unionByName(frame.select(*[F.col(other(c)).alias(c) for c in frame.columns]))
+
+
 def log_prices(panel: DataFrame) -> DataFrame:
     """Adds log_close; null where the price is not positive."""
     return panel.withColumn("log_close", F.when(F.col("close") > 0, F.ln("close")))

@@ -34,33 +34,33 @@ def engle_granger(pairs: DataFrame, min_overlap: int, keys: tuple[str, ...] = ()
     return kept.groupBy(*keys).applyInPandas(_tested(keys), ", ".join(f"{k} {types[k]}" for k in keys) + ", n_bars long, p_forward double, p_reverse double")
 
 
-def pair_screen(pairs: DataFrame, study: Study) -> DataFrame:
-    """One row per pair with enough bars: the better direction regresses, the worse p value decides. Passers first, then by p."""
-    p = engle_granger(pairs, study.min_overlap)
-    turned = p.select(*PAIR, "n_bars", F.least("p_forward", "p_reverse").alias("eg_p"), F.greatest("p_forward", "p_reverse").alias("eg_p_max"), (F.col("p_reverse") < F.col("p_forward")).alias("turned"))
-    both = pairs.join(F.broadcast(turned.select(*PAIR, "turned")), [*PAIR])
+def pair_screen(pairs: DataFrame, study: Study, more: tuple[str, ...] = ()) -> DataFrame:
+    """One row per pair (and of each of ``more``) with enough bars: the better direction regresses, the worse p value decides. Passers first, then by p."""
+    keys = [*PAIR, *more]
+    p = engle_granger(pairs, study.min_overlap, more)
+    turned = p.select(*keys, "n_bars", F.least("p_forward", "p_reverse").alias("eg_p"), F.greatest("p_forward", "p_reverse").alias("eg_p_max"), (F.col("p_reverse") < F.col("p_forward")).alias("turned"))
+    both = pairs.join(F.broadcast(turned.select(*keys, "turned")), keys)
     pick = lambda a, b: F.when(F.col("turned"), F.col(b)).otherwise(F.col(a))
-    both = both.select(pick("leg_y", "leg_x").alias("leg_y"), pick("leg_x", "leg_y").alias("leg_x"), "open_time", pick("close_y", "close_x").alias("close_y"), pick("close_x", "close_y").alias("close_x"))
+    both = both.select(pick("leg_y", "leg_x").alias("leg_y"), pick("leg_x", "leg_y").alias("leg_x"), *more, "open_time", pick("close_y", "close_x").alias("close_y"), pick("close_x", "close_y").alias("close_x"))
     legs = log_legs(both)
-    fit = legs.groupBy(*PAIR).agg(F.regr_intercept("ly", "lx").alias("alpha"), F.regr_slope("ly", "lx").alias("beta"))
-    spread = legs.join(F.broadcast(fit), [*PAIR]).withColumn("spread", F.col("ly") - F.col("alpha") - F.col("beta") * F.col("lx"))
-    told = turned.select(pick("leg_y", "leg_x").alias("leg_y"), pick("leg_x", "leg_y").alias("leg_x"), "n_bars", "eg_p", "eg_p_max")
-    out = told.join(fit, [*PAIR]).join(half_life(spread), [*PAIR]).join(ret_corr(both), [*PAIR])
+    fit = legs.groupBy(*keys).agg(F.regr_intercept("ly", "lx").alias("alpha"), F.regr_slope("ly", "lx").alias("beta"))
+    spread = legs.join(F.broadcast(fit), keys).withColumn("spread", F.col("ly") - F.col("alpha") - F.col("beta") * F.col("lx"))
+    told = turned.select(pick("leg_y", "leg_x").alias("leg_y"), pick("leg_x", "leg_y").alias("leg_x"), *more, "n_bars", "eg_p", "eg_p_max")
+    out = told.join(fit, keys).join(half_life(spread, more), keys).join(ret_corr(both, more), keys)
     lo, hi = study.half_life
     passed = (F.col("eg_p_max") < study.adf_alpha) & F.col("half_life_bars").isNotNull() & F.col("half_life_bars").between(lo, hi)
     out = out.withColumn("passed", F.coalesce(passed, F.lit(False)))
     # Ranked over one row per pair.
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.col("passed").desc(), "eg_p_max", *PAIR)))
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy(*more).orderBy(F.col("passed").desc(), "eg_p_max", *PAIR)))
 
 
 def fold_books(pairs: DataFrame, folds: DataFrame, study: Study) -> DataFrame:
-    """(fold, leg_y, leg_x, place): the best passing pairs of each fold's training bars, ``max_pairs`` at most."""
+    """(fold, leg_y, leg_x, place, eg_p_max): the best pairs that pass the screen on each fold's training bars, in the direction
+    it chose, ``max_pairs`` at most."""
     inside = (F.col("open_time") >= F.col("train_start")) & (F.col("open_time") < F.col("test_start"))
     trained = pairs.join(F.broadcast(folds.select("fold", "train_start", "test_start")), inside)
-    p = engle_granger(trained, study.min_overlap, ("fold",)).withColumn("eg_p_max", F.greatest("p_forward", "p_reverse"))
-    w = Window.partitionBy("fold").orderBy("eg_p_max", *PAIR)
-    good = p.where(F.col("eg_p_max") < study.adf_alpha).withColumn("place", F.row_number().over(w)).where(F.col("place") <= study.max_pairs)
-    return good.select("fold", *PAIR, "place", "eg_p_max")
+    good = pair_screen(trained, study, ("fold",)).where(F.col("passed") & (F.col("rank") <= study.max_pairs))
+    return good.select("fold", *PAIR, F.col("rank").alias("place"), "eg_p_max")
 
 
 def rolling_eg(pairs: DataFrame, window: int, step: int) -> DataFrame:

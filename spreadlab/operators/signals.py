@@ -14,9 +14,10 @@ from .panel import PAIR, by_pair
 from .stats import rolling_zscore
 
 
-def kalman_hedge(pairs: DataFrame, burn_in: int, deltas: tuple[float, ...]) -> DataFrame:
-    """(pair, open_time, ly, lx, delta, alpha, beta) of the bars after the burn-in; pairs with
-    no more bars than that give none. One task per pair runs all deltas over its bars."""
+def kalman_hedge(pairs: DataFrame, burn_in: int, deltas: tuple[float, ...], more: tuple[str, ...] = ()) -> DataFrame:
+    """(pair, more, open_time, ly, lx, delta, alpha, beta) of the bars after the burn-in; pairs with
+    no more bars than that give none. One task per pair (and each of ``more``) runs all deltas over its bars."""
+    keys = [*PAIR, *more]
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("open_time")
@@ -24,16 +25,18 @@ def kalman_hedge(pairs: DataFrame, burn_in: int, deltas: tuple[float, ...]) -> D
         out = []
         for delta in deltas if len(g) > burn_in else ():
             got = kalman(y, x, burn_in, delta)
-            out.append(g.iloc[burn_in:][[*PAIR, "open_time"]].assign(ly=y[burn_in:], lx=x[burn_in:], delta=delta, alpha=got[:, 0], beta=got[:, 1]))
-        columns = [*PAIR, "open_time", "ly", "lx", "delta", "alpha", "beta"]
+            out.append(g.iloc[burn_in:][[*keys, "open_time"]].assign(ly=y[burn_in:], lx=x[burn_in:], delta=delta, alpha=got[:, 0], beta=got[:, 1]))
+        columns = [*keys, "open_time", "ly", "lx", "delta", "alpha", "beta"]
         return pd.concat(out)[columns] if out else pd.DataFrame(columns=columns)
 
-    return pairs.select(*PAIR, "open_time", "close_y", "close_x").groupBy(*PAIR).applyInPandas(run, "leg_y string, leg_x string, open_time timestamp_ntz, ly double, lx double, delta double, alpha double, beta double")
+    types = dict(pairs.dtypes)
+    ddl = "".join(f"{k} {types[k]}, " for k in keys)
+    return pairs.select(*keys, "open_time", "close_y", "close_x").groupBy(*keys).applyInPandas(run, ddl + "open_time timestamp_ntz, ly double, lx double, delta double, alpha double, beta double")
 
 
-def innovation_spread(hedged: DataFrame) -> DataFrame:
+def innovation_spread(hedged: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     """Adds spread: this bar's prices under the last bar's hedge ratio; the first bar goes."""
-    w = by_pair("delta")
+    w = by_pair("delta", *more)
     return hedged.withColumn("spread", F.col("ly") - (F.lag("alpha").over(w) + F.lag("beta").over(w) * F.col("lx"))).where("spread is not null")
 
 

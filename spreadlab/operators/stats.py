@@ -28,18 +28,18 @@ def static_spread(pairs: DataFrame) -> DataFrame:
     return log_legs(pairs).join(fit, [*PAIR]).withColumn("spread", F.col("ly") - (F.col("alpha") + F.col("beta") * F.col("lx")))
 
 
-def half_life(spreads: DataFrame) -> DataFrame:
+def half_life(spreads: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     """Bars until half of a deviation is gone, by an AR(1) fit; null unless 0 < phi < 1."""
-    lagged = spreads.withColumn("lag_s", F.lag("spread").over(by_pair())).withColumn("ds", F.col("spread") - F.col("lag_s"))
-    fit = lagged.groupBy(*PAIR).agg((1 + F.regr_slope("ds", "lag_s")).alias("phi"))
-    return fit.select(*PAIR, F.when((F.col("phi") > 0) & (F.col("phi") < 1), -F.ln(F.lit(2.0)) / F.ln("phi")).alias("half_life_bars"))
+    lagged = spreads.withColumn("lag_s", F.lag("spread").over(by_pair(*more))).withColumn("ds", F.col("spread") - F.col("lag_s"))
+    fit = lagged.groupBy(*PAIR, *more).agg((1 + F.regr_slope("ds", "lag_s")).alias("phi"))
+    return fit.select(*PAIR, *more, F.when((F.col("phi") > 0) & (F.col("phi") < 1), -F.ln(F.lit(2.0)) / F.ln("phi")).alias("half_life_bars"))
 
 
-def ret_corr(pairs: DataFrame) -> DataFrame:
+def ret_corr(pairs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     """Correlation of log returns on the shared bars."""
-    w = by_pair()
+    w = by_pair(*more)
     d = log_legs(pairs).withColumns({"dy": F.col("ly") - F.lag("ly").over(w), "dx": F.col("lx") - F.lag("lx").over(w)})
-    return d.groupBy(*PAIR).agg(F.corr("dy", "dx").alias("ret_corr"))
+    return d.groupBy(*PAIR, *more).agg(F.corr("dy", "dx").alias("ret_corr"))
 
 
 def rolling_zscore(spreads: DataFrame, window: int, more: tuple[str, ...] = ()) -> DataFrame:

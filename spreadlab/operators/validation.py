@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..config import Grid, Study
 from .backtest import backtest, book_size, portfolio_curve
 from .metrics import sharpe, with_episodes
-from .panel import PAIR
+from .panel import PAIR, both_ways
 from .screen import fold_books
 from .signals import cancel_bad_beta, fresh_entries, innovation_spread, kalman_hedge, with_positions
 from .stats import rolling_zscore
@@ -42,16 +42,16 @@ def fold_assignment(bars: DataFrame, folds: DataFrame) -> DataFrame:
     return bars.join(F.broadcast(folds), inside).withColumn("part", F.when(F.col("open_time") < F.col("test_start"), "train").otherwise("test"))
 
 
-def grid_signals(pairs: DataFrame, study: Study) -> DataFrame:
-    """Desired positions of all parameter sets over the full span; the filter runs once per pair and delta."""
-    spreads = innovation_spread(kalman_hedge(pairs, study.burn_in, study.grid.deltas))
+def grid_signals(pairs: DataFrame, study: Study, more: tuple[str, ...] = ()) -> DataFrame:
+    """Desired positions of all parameter sets over all bars of a pair (and of each of ``more``); the filter runs once for these and each delta."""
+    spreads = innovation_spread(kalman_hedge(pairs, study.burn_in, study.grid.deltas, more), more)
     rules = [(e, x, s) for e in study.grid.entries for x in study.grid.exits for s in study.grid.stops]
     out = None
     for window in study.grid.windows:
-        frame = rolling_zscore(spreads, window, ("delta",)).withColumn("window", F.lit(window))
-        got = with_positions(frame, rules, ("delta", "window"))
+        frame = rolling_zscore(spreads, window, ("delta", *more)).withColumn("window", F.lit(window))
+        got = with_positions(frame, rules, ("delta", "window", *more))
         out = got if out is None else out.unionByName(got)
-    return cancel_bad_beta(out, PARAMS)
+    return cancel_bad_beta(out, (*PARAMS, *more))
 
 
 def run_params(signals: DataFrame, market: DataFrame, study: Study, more: tuple[str, ...] = ()) -> DataFrame:
@@ -95,10 +95,13 @@ def static_split(pairs: DataFrame, market: DataFrame, study: Study, cutoff: Colu
 
 def walkforward(pairs: DataFrame, market: DataFrame, calendar: DataFrame, study: Study) -> tuple[DataFrame, DataFrame]:
     """(folds with status, stitched test portfolio). Each fold screens its training bars, picks its book and parameters there and
-    trades the test bars with fresh entries. Status: traded, cash_no_pairs or cash_no_config."""
+    trades the test bars with fresh entries; the filter starts anew on each fold's bars. Status: traded, cash_no_pairs or cash_no_config."""
     folds = make_folds(calendar, study.train_bars, study.test_bars)
     books = fold_books(pairs, folds, study).select("fold", *PAIR)
-    signals = grid_signals(pairs, study).join(F.broadcast(books), [*PAIR]).join(F.broadcast(folds), "fold")
+    pairs, market = both_ways(pairs), both_ways(market)
+    inside = (F.col("open_time") >= F.col("train_start")) & (F.col("open_time") < F.col("test_end"))
+    span = pairs.join(F.broadcast(books), [*PAIR]).join(F.broadcast(folds), "fold").where(inside).select("fold", *PAIR, "open_time", "close_y", "close_x")
+    signals = grid_signals(span, study, ("fold",)).join(F.broadcast(folds), "fold")
     train = signals.where((F.col("open_time") >= F.col("train_start")) & (F.col("open_time") < F.col("test_start")))
     dates = ("train_start", "test_start", "test_end")
     searched = grid_search(run_params(train.drop(*dates), market, study, ("fold",)), study, ("fold",))
