@@ -65,7 +65,7 @@ DAILY = Study(
 #: For the queries: windows that fit the month of hourly bars of the test tables.
 SMALL = replace(
     HOURLY, borrow_bps_per_year=30.0, min_overlap=100, half_life=(0.0, 720.0), burn_in=48, window=24, train_bars=300, test_bars=120, regime_window=24, eg_window=200, eg_step=100,
-    trades_per_year=15.0, grid=Grid(deltas=(1e-5, 1e-7), windows=(24,), entries=(1.5, 2.0), exits=(0.0,), stops=(3.0,)),
+    trades_per_year=15.0, grid=Grid(windows=(12, 24)),
 )
 
 
