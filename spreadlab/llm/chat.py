@@ -4,10 +4,11 @@ r"""Chat formatting with a grammar round trip.
     turn         := "[SYS] " body " [/SYS]" | "[INST] " body " [/INST]" | " " body "</s>"
                   | "[ROLE " name-as-JSON "] " body " [/ROLE]"
 
-for system, user, assistant and any other role. Each rendered turn is parsed again; while the
-parser does not return the same role and text, the control strings in the body get one more
-backslash after their first character. The parser takes one away, so texts that already hold
-escaped control strings survive too, and an end mark never starts inside a body."""
+for system, user, assistant and any other role. Every control string in a body, conflicting or not,
+gets one more backslash after its first character, so that no raw one is ever inside a text; the
+parser takes one away, so texts that already hold escaped control strings survive too, and an end
+mark never starts inside a body. Each rendered turn is parsed again and must give the same role and
+text: since both steps invert each other, one round of escaping is enough for any text."""
 
 from __future__ import annotations
 
@@ -61,16 +62,11 @@ def parse(text: str, at: int = 0) -> Iterator[tuple[str, str, int, int]]:
 def render(role: str, text: str) -> tuple[str, int, int]:
     """A turn, and where its body starts and ends in it."""
     opens, closes = MARKS.get(role) or (_OTHER[0] + json.dumps(role) + _OTHER[1], _OTHER[2])
-    body = text
-    for _ in range(3):
-        turn = opens + body + closes
-        try:
-            if [x[:2] for x in parse(turn)] == [(role, text)]:
-                return turn, len(opens), len(opens) + len(body)
-        except ValueError:
-            pass
-        body = escape(body)
-    raise ValueError("a turn does not survive its own grammar")
+    body = escape(text)
+    turn = opens + body + closes
+    if [x[:2] for x in parse(turn)] != [(role, text)]:
+        raise ValueError("a turn does not survive its own grammar")
+    return turn, len(opens), len(opens) + len(body)
 
 
 def _format(segment_chars: int, id_type: pa.DataType, id_name: str):
