@@ -2,7 +2,7 @@
 
 Distinct pre-tokens are inserted in a trie. A node stands for a prefix and holds its forward
 score, the best total over the prefix's segmentations into pieces, and that segmentation's number of tokens; both
-come from at most 16 nodes above it, so each shared prefix is worked out once. The node a pre-token
+come from the nodes above it, as many as the longest piece has characters, so each shared prefix is worked out once. The node a pre-token
 ends at stores its count. A task's trie holds ``MAX_NODES`` nodes; when full it starts anew."""
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 MAX_NODES = 250_000
 MAX_COUNTS = 400_000
-MAX_PIECE = 16
 LONG = 64
 _PRETOKEN = regex.compile(r"[\p{L}\p{M}]+|\p{N}+|[^\p{L}\p{M}\p{N}]+")
 
@@ -30,7 +29,7 @@ class UnigramCounter:
 
     def __init__(self, pieces: dict[str, float], max_nodes: int = MAX_NODES, max_counts: int = MAX_COUNTS) -> None:
         self.pieces = pieces
-        self.widest = min(MAX_PIECE, max(map(len, pieces), default=1))
+        self.widest = max(map(len, pieces), default=1)
         self.unknown = min(pieces.values(), default=0.0) - 10.0
         self.max_nodes, self.max_counts = max_nodes, max_counts
         self.counts: dict[str, int] = {}
