@@ -1,17 +1,18 @@
 """Homomorphic multiset hashes of texts, in column functions only.
 
-A text is cut into its paragraphs (lines), and these into runs of at most eight words from their
-start, so that a long paragraph also has parts. A newline ends each paragraph and counts as part of
-it; the last one counts as ended too, so that it hashes alike wherever it stands. Each part hashes to a wide vector of lanes; the
-fingerprint is the sum of the parts' vectors, lane by lane, modulo 2**20. So it does not depend on
-the order of parts, and a part is inserted or deleted by adding or subtracting its vector.
+A text is a multiset of paragraphs (lines; a newline ends one, and the last counts as ended). Each
+paragraph hashes to a wide vector of twelve lanes of 20 bits; the fingerprint has their sum, lane by lane, modulo 2**20.
+So it does not depend on the order of paragraphs, and one is inserted or deleted by adding or
+subtracting its vector.
 
-Twelve lanes take 20 hash bits each, for equality. 126 take a single bit: twice their sum less
-the number of parts is a sum of random signs, and the inner product of two such vectors estimates
-how many parts two texts share (the tug-of-war sketch), for likeness.
+Likeness needs smaller parts, for an edit within a long paragraph must not change all of it: runs of at most eight words from
+each paragraph's start. A run gives a bit to each of 128 further lanes, summed modulo 2**30: twice a lane less the number of runs is a sum
+of random signs, and the inner product of two such vectors estimates how many runs two texts
+share (the tug-of-war sketch).
 
-Three lanes lie in a 64-bit word, 21 bits apart; masking after each addition reduces them all and
-keeps a carry from reaching the next lane or the sign."""
+Wide lanes lie three in a 64-bit word, 21 bits apart; masking after each addition reduces them all and
+keeps a carry from reaching the next lane or the sign. Bits are first summed eight lanes to a word over groups of 127 runs, which
+a byte holds, and then unpacked."""
 
 from __future__ import annotations
 
@@ -20,107 +21,147 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_partitions
 
-WORDS_PER_PART = 8
+WORDS_PER_RUN = 8
 LANE_BITS, LANE_STEP, LANES = 20, 21, 3
 _LANE_STARTS = [LANE_STEP * i for i in range(LANES)]
-_ONES = sum(1 << s for s in _LANE_STARTS)
-_MASK = ((1 << LANE_BITS) - 1) * _ONES
+_MASK = ((1 << LANE_BITS) - 1) * sum(1 << s for s in _LANE_STARTS)
 WIDE_SEEDS, SIGN_SEEDS = (1, 2, 3, 4), (5, 6)
-_FIRST_SIGN = 2 + len(WIDE_SEEDS)
-_SIGN_WORDS = LANE_STEP * len(SIGN_SEEDS)
-_PARTS = rf"(?:[^\s]++[^\S\n]*+){{1,{WORDS_PER_PART}}}+\n?+|[^\S\n]++\n?+|\n"
+SIGN_LANES = 64 * len(SIGN_SEEDS)
+_SIGN_MODULUS = 1 << 30
+_GROUP = 127  # the highest lane must not reach the sign
+_LOW_BITS = 0x0101010101010101
+_RUNS = rf"(?:[^\s]++[^\S\n]*+){{1,{WORDS_PER_RUN}}}+"
+#: Texts of about so many code points make a range of :func:`with_next`.
+RANGE_CHARS = 32 << 20
 
 
-def parts(text: Column) -> Column:
-    ended = F.when((text == "") | text.endswith("\n"), text).otherwise(F.concat(text, F.lit("\n")))
-    return F.regexp_extract_all(ended, F.lit(_PARTS), F.lit(0))
+def paragraphs(text: Column) -> Column:
+    """The lines of a text; a final newline ends the last one, and an empty text has none."""
+    lines = F.split(text, "\n", -1)
+    return _bound(lines, lambda ls: F.when(F.element_at(ls, -1) == "", F.slice(ls, 1, F.size(ls) - 1)).otherwise(ls))
 
 
-def _sum(hashes: Column, seed: int, shift: int, keep: int) -> Column:
+def runs(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(_RUNS), F.lit(0))
+
+
+def _hashes(parts: Column, seeds: tuple[int, ...]) -> Column:
+    return F.transform(parts, lambda p: F.array(*[F.xxhash64(F.lit(s).cast("long"), p) for s in seeds]))
+
+
+def _bound(value: Column, make) -> Column:
+    """make(value) with the value worked out once."""
+    return F.transform(F.array(value), make)[0]
+
+
+def _total(hashes: Column, seed: int, shift: int, keep: int, mask: int | None) -> Column:
     def add(acc: Column, h: Column) -> Column:
         bits = F.shiftrightunsigned(h[seed], shift) if shift else h[seed]
-        return (acc + bits.bitwiseAND(F.lit(keep))).bitwiseAND(F.lit(_MASK))
+        total = acc + bits.bitwiseAND(F.lit(keep))
+        return total if mask is None else total.bitwiseAND(F.lit(mask))
 
     return F.aggregate(hashes, F.lit(0).cast("long"), add)
 
 
-def vector(text: Column) -> Column:
-    """array<long>: the number of parts, the words of wide lanes, the words of sign lanes."""
-    hashed = F.transform(parts(text), lambda p: F.array(*[F.xxhash64(F.lit(s).cast("long"), p) for s in (*WIDE_SEEDS, *SIGN_SEEDS)]))
+def _lanes(hashes: Column) -> Column:
+    """array<int>: how many runs have each of the bits."""
+    lane = F.sequence(F.lit(0), F.lit(SIGN_LANES - 1))
 
-    def sums(hs: Column) -> Column:
-        wide = [_sum(hs, i, 0, _MASK) for i in range(len(WIDE_SEEDS))]
-        signs = [_sum(hs, len(WIDE_SEEDS) + i, j, _ONES) for i in range(len(SIGN_SEEDS)) for j in range(LANE_STEP)]
-        return F.array(F.size(hs).cast("long"), *wide, *signs)
+    def group(hs: Column) -> Column:
+        words = F.array(*[_total(hs, i, j, _LOW_BITS, None) for i in range(len(SIGN_SEEDS)) for j in range(8)])
+        return _bound(words, lambda w: F.transform(lane, lambda k: _byte(w, k)))
 
-    return F.transform(F.array(hashed), sums)[0]  # hashed once for all sums
+    several = F.transform(F.sequence(F.lit(0), F.floor((F.size(hashes) - 1) / _GROUP).cast("int")), lambda g: group(F.slice(hashes, g * _GROUP + 1, _GROUP)))
+    summed = F.aggregate(several, F.array_repeat(F.lit(0), SIGN_LANES), lambda acc, g: F.zip_with(acc, g, lambda x, y: x + y))
+    return F.when(F.size(hashes) <= _GROUP, group(hashes)).otherwise(summed)
 
 
-def combined(a: Column, b: Column, sign: int = 1) -> Column:
-    """The vector of both multisets together (sign 1), or of a without b's parts (sign -1)."""
-    words = F.zip_with(F.slice(a, 2, F.size(a) - 1), F.slice(b, 2, F.size(b) - 1), lambda x, y: _each_lane(x, y, sign))
-    return F.concat(F.array(a[0] + sign * b[0]), words)
+def _byte(words: Column, lane: Column) -> Column:
+    word = F.element_at(words, F.shiftright(lane, 3) + 1)
+    return F.call_function("shiftrightunsigned", word, F.shiftleft(lane.bitwiseAND(F.lit(7)), 3)).bitwiseAND(F.lit(255).cast("long")).cast("int")
+
 
+def vector(text: Column) -> Column:
+    """struct<n: paragraphs, wide: array<long>, runs, lanes: array<int>>."""
+    wide = _bound(_hashes(paragraphs(text), WIDE_SEEDS), lambda hs: F.struct(F.size(hs).cast("long").alias("n"), F.array(*[_total(hs, i, 0, _MASK, _MASK) for i in range(len(WIDE_SEEDS))]).alias("wide")))
+    sign = _bound(_hashes(runs(text), SIGN_SEEDS), lambda hs: F.struct(F.size(hs).cast("long").alias("runs"), _lanes(hs).alias("lanes")))
+    return _bound(F.struct(wide.alias("w"), sign.alias("s")), lambda v: F.struct(v["w"]["n"].alias("n"), v["w"]["wide"].alias("wide"), v["s"]["runs"].alias("runs"), v["s"]["lanes"].alias("lanes")))
 
-def _lane(word: Column, start: int) -> Column:
-    return F.shiftright(word, start).bitwiseAND(F.lit((1 << LANE_BITS) - 1))
+
+def combined(a: Column, b: Column, sign: int = 1) -> Column:
+    """The vector of both multisets together (sign 1), or of a without b's paragraphs (sign -1)."""
+    return F.struct(
+        (a["n"] + sign * b["n"]).alias("n"), F.zip_with(a["wide"], b["wide"], lambda x, y: _each_lane(x, y, sign)).alias("wide"),
+        (a["runs"] + sign * b["runs"]).alias("runs"), F.zip_with(a["lanes"], b["lanes"], lambda x, y: F.pmod(x + sign * y, F.lit(_SIGN_MODULUS))).alias("lanes"),
+    )
 
 
 def _each_lane(x: Column, y: Column, sign: int) -> Column:
+    lane = lambda w, s: F.shiftright(w, s).bitwiseAND(F.lit((1 << LANE_BITS) - 1))
     out = F.lit(0).cast("long")
     for s in _LANE_STARTS:
-        lane = F.pmod(_lane(x, s) + sign * _lane(y, s), F.lit(1 << LANE_BITS))
-        out = out + F.shiftleft(lane, s)
+        out = out + F.shiftleft(F.pmod(lane(x, s) + sign * lane(y, s), F.lit(1 << LANE_BITS)), s)
     return out
 
 
 def digest(v: Column) -> Column:
-    """The vector as hexadecimal text: equal for equal multisets of parts."""
-    return F.array_join(F.transform(v, lambda w: F.lpad(F.lower(F.hex(w)), 16, "0")), "")
+    """The vector as text: equal for equal multisets of paragraphs."""
+    joined = lambda a: F.array_join(a.cast("array<string>"), " ")
+    return F.concat_ws(" ", v["n"].cast("string"), joined(v["wide"]), v["runs"].cast("string"), joined(v["lanes"]))
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("long") * y), F.lit(0).cast("long"), lambda acc, p: acc + p)
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """0 to 1: shared parts over the mean number of parts, estimated; 1 for equal vectors."""
+def moments(v: Column) -> Column:
+    """struct<total, square>: the sum of the sign lanes and of their squares, which :func:`likeness` needs of each side."""
+    return F.struct(F.aggregate(v["lanes"], F.lit(0).cast("long"), lambda acc, x: acc + x).alias("total"), _dot(v["lanes"], v["lanes"]).alias("square"))
 
-    def signs(word: Column, n: Column, start: int) -> Column:
-        bits = _lane(word, start).cast("double")
-        whole = F.lit(float(1 << LANE_BITS))
-        return 2 * (bits + whole * F.round((n / 2 - bits) / whole)) - n
 
-    def product(x: Column, y: Column, nx: Column, ny: Column) -> Column:
-        return sum((signs(x, nx, s) * signs(y, ny, s) for s in _LANE_STARTS[1:]), signs(x, nx, 0) * signs(y, ny, 0))
+def likeness(a: Column, b: Column, ma: Column | None = None, mb: Column | None = None) -> Column:
+    """0 to 1: shared runs over the mean number of runs, estimated; 1 for equal vectors. ma and mb are the
+    :func:`moments` of a and b where these are known already."""
+    ma, mb = moments(a) if ma is None else ma, moments(b) if mb is None else mb
 
-    def inner(x: Column, y: Column) -> Column:
-        nx, ny = x[0].cast("double"), y[0].cast("double")
-        words = F.zip_with(F.slice(x, _FIRST_SIGN, _SIGN_WORDS), F.slice(y, _FIRST_SIGN, _SIGN_WORDS), lambda p, q: product(p, q, nx, ny))
-        return F.aggregate(words, F.lit(0.0), lambda acc, p: acc + p)
+    def inner(product: Column, total_x: Column, total_y: Column, nx: Column, ny: Column) -> Column:
+        """The sum of (2x - nx)(2y - ny) over the lanes."""
+        return 4.0 * product - 2.0 * ny * total_x - 2.0 * nx * total_y + float(SIGN_LANES) * nx * ny
 
-    norm = inner(a, a) + inner(b, b)
-    return F.when(a == b, 1.0).otherwise(F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(2 * inner(a, b), norm))), F.lit(0.0)))
+    na, nb = a["runs"].cast("double"), b["runs"].cast("double")
+    norm = inner(ma["square"], ma["total"], ma["total"], na, na) + inner(mb["square"], mb["total"], mb["total"], nb, nb)
+    shared = inner(_dot(a["lanes"], b["lanes"]), ma["total"], mb["total"], na, nb)
+    return F.when(a == b, 1.0).otherwise(F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(2 * shared, norm))), F.lit(0.0)))
 
 
-def with_next(df: DataFrame, id_col: str, carried: list[str], prefix: str = "next_") -> DataFrame:
+def with_next(df: DataFrame, id_col: str, carried: list[str], prefix: str = "next_", size: Column | None = None) -> DataFrame:
     """df with columns of the next row in descending id; the last row's next is the first.
 
-    Ids fall into ranges of about equal counts, one window each; the first row of a range is also
+    Ids fall into ranges of about equal counts, one window each and as many as the sum of ``size`` asks for; the first row of a range is also
     sent to the end of the range before it. Null ids come last; rows with equal ids are in order of
     ``carried``."""
     spark = df.sparkSession
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
-    n = shuffle_partitions(spark)
-    found = df.select(key.alias("k")).agg(F.max("k").alias("top"), F.percentile_approx("k", [i / n for i in range(1, n)] or [0.5], 100 * n).alias("cuts")).first()
-    bounds = sorted({found["top"], *(found["cuts"] or [])} - {None}, reverse=True)  # one for each task
+    most = shuffle_partitions(spark)
+    if size is not None:
+        most = max(most, int((df.agg(F.sum(size).alias("s")).first()["s"] or 0) // RANGE_CHARS))
+    found = df.select(key.alias("k")).agg(F.max("k").alias("top"), F.percentile_approx("k", [i / most for i in range(1, most)] or [0.5], 100 * most).alias("cuts")).first()
+    bounds = sorted({found["top"], *(found["cuts"] or [])} - {None}, reverse=True)  # one for each range
     last = max(len(bounds) - 1, 0)
-    limits = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<long>")
-    own = F.greatest(F.lit(0), F.size(F.filter(limits, lambda b: b >= F.col("_key"))) - 1)
+    step = max(1, int(len(bounds) ** 0.5))
+    every = lambda xs: F.array(*[F.lit(b).cast("long") for b in xs]) if xs else F.array().cast("array<long>")
+    limits, coarse = every(bounds), every(bounds[::step])
+    above = lambda xs: F.size(F.filter(xs, lambda b: b >= F.col("_key")))
+    jump = F.greatest(F.lit(0), above(coarse) - 1) * step  # a look-up in two steps, not past all bounds
+    own = F.greatest(F.lit(0), jump + above(F.slice(limits, jump + 1, step)) - 1)
     lends = F.array_contains(limits, F.col("_key"))
     to = F.when(F.col("_own") == 0, F.lit(last)).otherwise(F.col("_own") - 1)
-    places = F.when(lends, F.array(F.struct(F.col("_own").alias("range"), F.lit(False).alias("lent")), F.struct(to.alias("range"), F.lit(True).alias("lent"))))
-    places = places.otherwise(F.array(F.struct(F.col("_own").alias("range"), F.lit(False).alias("lent"))))
-    rows = df.withColumn("_key", key).withColumn("_own", own).withColumn("_at", F.explode(places))
-    w = Window.partitionBy("_at.range").orderBy("_at.lent", F.col("_key").desc(), *carried)
-    rows = rows.withColumns({prefix + c: F.lead(c).over(w) for c in carried})
-    return rows.where(~F.col("_at.lent")).drop("_key", "_own", "_at")
+    at = lambda r, lent: F.struct(r.alias("range"), F.lit(lent).alias("lent"))
+    places = F.when(lends, F.array(at(F.col("_own"), False), at(to, True))).otherwise(F.array(at(F.col("_own"), False)))
+    rows = df.withColumn("_key", key).withColumn("_own", own).withColumn("_at", F.explode(places)).select("*", F.col("_at.range").alias("_range"))
+    w = Window.partitionBy("_range").orderBy("_at.lent", F.col("_key").desc(), *carried)
+    rows = rows.repartition(most, "_range").withColumns({prefix + c: F.lead(c).over(w) for c in carried})
+    return rows.where(~F.col("_at.lent")).drop("_key", "_own", "_at", "_range")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -131,12 +172,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts are alike (1.0). Repeated ids follow each other in order of text; null ids come last.
     An empty table gives an empty one; columns other than id and text don't matter."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = with_next(rows.withColumn("vec", vector(F.col("text"))), "id", ["text", "vec"])
+    rows = rows.withColumn("vec", vector(F.col("text"))).withColumn("mom", moments(F.col("vec")))
+    rows = with_next(rows, "id", ["text", "vec", "mom"], size=F.length("text"))
     n = F.length("text")
     edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 2) as int))"), F.expr("left(next_text, cast(floor(length(text) / 2) as int))"))
-    rows = rows.select("id", n.cast("long").alias("n_chars"), "vec", "next_vec", edited.alias("edited"))
+    rows = rows.select("id", n.cast("long").alias("n_chars"), "vec", "mom", "next_vec", "next_mom", edited.alias("edited"))
     rows = rows.withColumn("edited_vec", vector(F.col("edited")))
     return rows.select(
         F.col("id").alias(id_col), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digest(F.col("vec")).alias("fingerprint"), digest(F.col("edited_vec")).alias("edited_fingerprint"),
-        likeness(F.col("vec"), F.col("edited_vec")).alias("near_edited"), likeness(F.col("vec"), F.col("next_vec")).alias("near_next"),
+        likeness(F.col("vec"), F.col("edited_vec"), F.col("mom")).alias("near_edited"), likeness(F.col("vec"), F.col("next_vec"), F.col("mom"), F.col("next_mom")).alias("near_next"),
     )

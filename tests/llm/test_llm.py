@@ -90,6 +90,14 @@ def test_cached_ids_are_the_tokenizers(t):
     assert tok.ids(t) == tok._encoded(t)
 
 
+def test_another_tokenizer_is_not_taken_for_the_known_one():
+    assert packing.tokenizer(BPE).by_run
+    other = packing.tokenizer(vocabulary("byte_bpe_50k.json"))
+    assert not other.by_run
+    for t in ("Two  words, it's\n\nHere", "  x ", "Straße 12"):
+        assert other.ids(t) == struct.pack(f"<{len(other.tok.encode(t).ids)}I", *other.tok.encode(t).ids)
+
+
 # 2. chat
 
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "[SYS]", "[/SYS]", "[ROLE", "[/ROLE]")
@@ -186,6 +194,25 @@ def test_near_duplicates_awkward(spark):
     assert minhash.near_duplicates(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("percent", [20, 50, 60, 80, 85, 95, 100])
+def test_bands_miss_few(percent):
+    rows, bands, least = minhash.banding(percent)
+    s, n = percent / 100, rows * bands
+    assert n <= minhash.COORDINATES and (1 - s**rows) ** bands <= 1e-6
+    from math import comb
+
+    assert sum(comb(n, k) * s**k * (1 - s) ** (n - k) for k in range(least)) <= 1e-7
+
+
+def test_fewer_percent_and_many_null_ids(spark):
+    with pytest.raises(ValueError):
+        minhash.banding(5)
+    rows = [(None if k % 2 else i, t) for k, (i, t) in enumerate(near_rows()[::3])] + [(None, text(k, 50)) for k in range(40)] + [(7, text(k, 50)) for k in range(60, 90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, percent=60).collect())
+    assert got == brute_components(rows, 60)
+
+
 def test_words_are_hashed_alike_in_pieces(monkeypatch):
     t = (text(3, 4000) + " " + "y" * 9000 + "\n" + text(4, 100)).encode()
     whole = shingles.word_hashes(t)
@@ -215,17 +242,54 @@ def test_fingerprints(spark):
     assert fingerprint.fingerprints(awkward(spark)).count() == 13
 
 
-def test_fingerprints_are_homomorphic(spark):
+def plain_vector(t):
+    """The vector of a text, one bit and one part at a time."""
     import xxhash
 
+    def hashed(seed, part):
+        return xxhash.xxh64(part.encode(), seed=xxhash.xxh64(struct.pack("<q", seed), seed=42).intdigest()).intdigest()
+
+    lines = t.split("\n")
+    lines = lines[:-1] if lines[-1] == "" else lines
+    runs = []
+    for line in t.split("\n"):
+        words = re.findall(r"\S+\s*", line.lstrip())
+        runs += ["".join(words[i : i + 8]) for i in range(0, len(words), 8)]
+    wide = []
+    for seed in fingerprint.WIDE_SEEDS:
+        lanes = [sum(hashed(seed, x) >> s & 0xFFFFF for x in lines) % 2**20 for s in (0, 21, 42)]
+        wide.append(lanes[0] + (lanes[1] << 21) + (lanes[2] << 42))
+    bits = [hashed(seed, x) for x in runs for seed in fingerprint.SIGN_SEEDS]
+    lanes = [sum(h >> (j + 8 * k) & 1 for h in bits[i::2]) for i in range(2) for j in range(8) for k in range(8)]
+    return len(lines), wide, len(runs), lanes, Counter(runs)
+
+
+def test_fingerprints_are_the_plain_ones(spark):
+    base = "\n".join(text(50 + k, 31) for k in range(12))
+    cut = base.split("\n")
+    texts = [base, "\n".join(reversed(cut)), "\n".join(cut[:6] + [text(90 + k, 31) for k in range(6)]), "\n".join(cut[:3]), base + "\n", text(7, 3000), "", "\n\n", " a  b \n c", text(8, 1100)]
+    df = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    v = {c: fingerprint.vector(F.col(c)) for c in "ab"}
+    got = df.select("*", v["a"].alias("va"), v["b"].alias("vb")).select("*", fingerprint.likeness(F.col("va"), F.col("vb")).alias("like"), fingerprint.digest(F.col("va")).alias("da"), fingerprint.digest(F.col("vb")).alias("db")).collect()
+    plain, off = {t: plain_vector(t) for t in texts}, []
+    for r in got:
+        x, y = plain[r.a], plain[r.b]
+        assert (r.va.n, list(r.va.wide), r.va.runs, list(r.va.lanes)) == x[:4]
+        assert (r.da == r.db) == (x[:4] == y[:4])
+        signs = [[2 * c - p[2] for c in p[3]] for p in (x, y)]
+        norm = sum(c * c for s in signs for c in s)
+        assert r.like == pytest.approx(1.0 if x[:4] == y[:4] else min(1, max(0, 2 * float(np.dot(*signs)) / norm)) if norm else 0.0)
+        if x[2] + y[2]:
+            off.append(abs(r.like - 2 * sum((x[4] & y[4]).values()) / (x[2] + y[2])))
+    assert max(off) < 0.35 and np.mean(off) < 0.08
+
+
+def test_fingerprints_are_homomorphic(spark):
     a, b = text(1, 8), text(2, 8)
     df = spark.createDataFrame([(f"{a}\n{b}\n", f"{b}\n{a}\n", f"{a}\n", f"{b}\n")], "ab string, ba string, a string, b string")
     v = {c: fingerprint.vector(df[c]) for c in df.columns}
     r = df.select(*[x.alias(c) for c, x in v.items()], fingerprint.combined(v["a"], v["b"]).alias("both"), fingerprint.combined(v["ab"], v["b"], -1).alias("left")).first()
     assert r.ab == r.ba == r.both and r.left == r.a
-    seed = xxhash.xxh64(struct.pack("<q", 1), seed=42).intdigest()
-    h = xxhash.xxh64(f"{a}\n".encode(), seed=seed).intdigest()
-    assert r.a[:2] == [1, h & fingerprint._MASK]
 
 
 # 5. token counts
@@ -299,7 +363,7 @@ def brute_jump(key, n):
     return b
 
 
-def test_shards(spark):
+def test_shards(spark, monkeypatch):
     docs = spark.range(3000).selectExpr("id * 7919 - 50 as doc_id", "repeat('é', cast(id % 9 as int)) as text")
     got = sharding.shard_documents(docs, 40, ranges=8).collect()
     slots = defaultdict(list)
@@ -312,6 +376,10 @@ def test_shards(spark):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(slots) == 40
     odd = sharding.shard_documents(awkward(spark)).collect()
     assert len({(r.shard, r.slot) for r in odd}) == len(odd) == 13
+    monkeypatch.setattr(sharding, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(sharding, "RANGES", 3)
+    again = sharding.shard_documents(docs, 40).collect()
+    assert {(r.doc_id, r.shard) for r in again} == {(r.doc_id, r.shard) for r in got} and len({(r.shard, r.slot) for r in again}) == 3000
     assert sharding.shard_documents(empty(spark)).count() == 0
 
 
@@ -340,6 +408,30 @@ def test_language_is_learnt(spark):
     assert langid.predict(empty(spark), langid.fit(empty(spark))).count() == 0
 
 
+def test_foreign_and_random_text_is_rejected(spark):
+    for names in (["en", "de"], ["en"], list(LANGUAGES)):
+        rows = [(i, told(lang, i) + " " + told(lang, 500 + i), lang) for i, lang in enumerate(names * 60)]
+        model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+        assert np.mean([model.predict(t)[2] for _, t, _ in rows]) < 0.03
+        r = random.Random(4)
+        noise = [" ".join("".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(r.randrange(3, 9))) for _ in range(20)) for _ in range(40)]
+        foreign = ["to jest zupełnie inny język niż te których uczył się model", "これは日本語の文です", "det här är en svensk mening om ingenting"]
+        assert np.mean([model.predict(t)[2] for t in noise + foreign]) == 1.0
+
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    rows = [(1, f"word{i} text", "aa") for i in range(500)] + [(i, f"other{i} text", "bb") for i in range(500)] + [(i, "z", None) for i in range(9)] + [(None, "n", "aa"), (2, None, "aa")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.bounded_sample(df, "doc_id", "text", "lang", 20)
+    assert Counter(lang for _, lang in got) == {"aa": 20, "bb": 20} and got == langid.bounded_sample(df.repartition(5), "doc_id", "text", "lang", 20)
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 10)
+    monkeypatch.setattr(langid, "SAMPLE_CHARS", 3)
+    assert Counter(len(t) for t, _ in langid.bounded_sample(df, "doc_id", "text", "lang", 20)) == {3: 10}
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 1)
+    with pytest.raises(ValueError):
+        langid.bounded_sample(df, "doc_id", "text", "lang", 20)
+
+
 # 9. decontamination
 
 
@@ -374,6 +466,10 @@ def test_decontamination_matches_brute_force(spark):
     docs.append((900, items[0][1] + " . " + items[10][1]))
     got = decontam.decontaminate(spark.createDataFrame(docs, "doc_id long, text string").withColumnRenamed("x", "k1"), spark.createDataFrame(items, "item_id long, text string"))
     assert Counter(tuple(r) for r in got.collect()) == brute_hits(docs, items)
+    shared = [(i, f"{text(700, 12)} own{i}") for i in range(300)] + [(1000, "one"), (1001, "one two")]  # a window of many items, at many places
+    docs = [(1, " x ".join([text(700, 12)] * 20)), (2, "no one two"), (3, "two one"), (4, "none"), (5, f"{text(700, 12)} own7")]
+    got = decontam.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(shared, "item_id long, text string"))
+    assert Counter(tuple(r) for r in got.collect()) == brute_hits(docs, shared)
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.decontaminate(awkward(spark), none).where("contaminated").count() == 0
     assert decontam.decontaminate(empty(spark), none).count() == 0
@@ -405,6 +501,10 @@ def test_url_lists(spark):
                     verdict, matched = max(past)[2], d
         want[i, host, at, verdict, matched] += 1
     assert Counter((x.page_id, x.host, x.fetched_at, x.verdict, x.matched) for x in got.collect()) == want
+    busy = spark.createDataFrame([(i, f"http://{'busy' if i % 3 else i}.net/", day(i % 90)) for i in range(3000)], "page_id long, url string, fetched_at timestamp_ntz")
+    old = spark.createDataFrame([("net", dt.datetime(1970, 1, 1), "block"), ("busy.net", dt.datetime(1970, 1, 1), "block"), ("busy.net", day(40), "allow"), ("b_sy.net", day(1), "allow")], "domain string, effective_at timestamp_ntz, action string")
+    verdicts = Counter((x.host == "busy.net", x.fetched_at < day(40), x.verdict) for x in urllist.filter_urls(busy, old).collect())
+    assert verdicts == Counter((i % 3 > 0, i % 90 < 40, ("block" if i % 90 < 40 else "allow") if i % 3 else "none") for i in range(3000))
     nothing = spark.createDataFrame([], "domain string, effective_at timestamp_ntz, action string")
     assert got.count() == 152 and urllist.filter_urls(spark.createDataFrame([], "page_id long, url string, fetched_at timestamp_ntz"), nothing).count() == 0
 
