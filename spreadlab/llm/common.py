@@ -47,6 +47,21 @@ def remove(spark: SparkSession, *frames: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+#: A key with one in so many of all rows is hot: at most so many keys are.
+HOT_KEYS = 1000
+
+
+def join_unique(rows: DataFrame, unique: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
+    """Inner join of rows with a table that has a row per key ``on`` and in ``weight`` how many of the ``total`` rows have that key.
+
+    A hot key would make a task of a shuffle too large. At most HOT_KEYS keys are hot, so their rows of
+    ``unique`` are broadcast, and the rows of all other keys are shuffled."""
+    hot = unique.where(F.col(weight) * HOT_KEYS >= total)
+    cold = unique.where(F.col(weight) * HOT_KEYS < total)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return rows.join(F.broadcast(hot), on).unionByName(rest.join(cold, on))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
