@@ -6,11 +6,16 @@ both, so they share a fingerprint: the join of distinct fingerprints misses no d
 documents it finds, hits are extended: every WINDOW-word window is compared with the
 items' windows by two independent 64-bit hashes of its words, and windows that occur mark their words.
 
-Items of fewer words are one window each; for each such length that occurs (nine at most) documents are
-compared at every position."""
+Items of fewer words are one window each. A document that has the first word of one goes through the same
+pass, in which its windows of all widths that occur (ten at most) are compared.
+
+Windows mark words by their hashes alone, and a document's distinct windows name the items afterwards, so
+a window that many items share is not multiplied by the places where it occurs."""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,10 +51,15 @@ def fingerprints(ws: Column, window: int = WINDOW, gram: int = GRAM) -> Column:
     return F.array_distinct(_bound(grams, lambda gs: _runs(gs, window - gram + 1, lambda r: F.array_min(r))))
 
 
-def windows(ws: Column, width: int) -> Column:
-    """array<struct<one,two>>: two hashes of each window of ``width`` words."""
-    both = lambda r: F.struct(F.xxhash64(r).alias("one"), F.xxhash64(F.lit(7), r).alias("two"))
-    return _bound(ws, lambda w: _runs(w, width, both))
+def windows(ws: Column, widths: list[int]) -> Column:
+    """array<struct<pos,width,one,two>>: place and two hashes of each window of each of the widths."""
+
+    def of(w: Column, width: int) -> Column:
+        starts = F.when(F.size(w) >= width, F.sequence(F.lit(0), F.size(w) - width)).otherwise(F.array().cast("array<int>"))
+        run = lambda i: F.slice(w, i + 1, width)
+        return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.lit(width).alias("width"), F.xxhash64(run(i)).alias("one"), F.xxhash64(F.lit(7), run(i)).alias("two")))
+
+    return _bound(ws, lambda w: F.concat(*[of(w, width) for width in widths]))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -65,25 +75,28 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = written(items.withColumn("n", F.size("ws")).where("n > 0"), "items")
     short = sorted(r["n"] for r in items.where(F.col("n") < window).select("n").distinct().collect())  # nine values at most
 
-    long_items = items.where(F.col("n") >= window)
-    marks = long_items.select(F.explode(fingerprints(F.col("ws"), window, gram)).alias("print")).distinct()
-    pages = keyed.select("k1", "k2", F.explode(fingerprints(words(F.col("text")), window, gram)).alias("print"))
+    prints = lambda ws: fingerprints(ws, window, gram)
+    firsts = lambda ws: F.array_distinct(F.transform(ws, lambda x: F.xxhash64(F.lit("first"), x)))
+    marked = F.when(F.col("n") >= window, prints(F.col("ws"))).otherwise(firsts(F.slice("ws", 1, 1)))
+    marks = items.select(F.explode(marked).alias("print")).distinct()
+    told = (lambda ws: _bound(ws, lambda w: F.concat(prints(w), firsts(w)))) if short else prints
+    pages = keyed.select("k1", "k2", F.explode(told(words(F.col("text")))).alias("print"))
     hot = pages.join(marks, "print", "left_semi").select("k1", "k2").distinct()
 
-    def of_items(width: int, which: DataFrame) -> DataFrame:
-        return which.select("item", F.explode(windows(F.col("ws"), width)).alias("w")).select("item", "w.one", "w.two").distinct()
-
-    def places(found: DataFrame, width: int) -> DataFrame:
-        return found.select("k1", "k2", F.posexplode(windows(F.col("ws"), width)).alias("pos", "w")).select("k1", "k2", "pos", "w.one", "w.two")
+    of_items = [items.where(F.col("n") >= window).select("item", F.explode(windows(F.col("ws"), [window])).alias("w"))]
+    of_items += [items.where(F.col("n") == n).select("item", F.explode(windows(F.col("ws"), [n])).alias("w")) for n in short]
+    known = functools.reduce(DataFrame.union, of_items).select("item", "w.width", "w.one", "w.two").distinct()
+    known = written(known, "windows")
 
     found = keyed.join(hot, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("k1", "k2", words(F.col("text")).alias("ws"))
-    hits = places(found, window).join(of_items(window, long_items), ["one", "two"]).select("k1", "k2", "pos", F.lit(window).alias("width"), "item")
-    for width in short:
-        every = keyed.dropDuplicates(["k1", "k2"]).select("k1", "k2", words(F.col("text")).alias("ws"))
-        hits = hits.union(places(every, width).join(of_items(width, items.where(F.col("n") == width)), ["one", "two"]).select("k1", "k2", "pos", F.lit(width), "item"))
-    per = hits.groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "width")).alias("spans"), F.collect_set("item").alias("items"))
+    places = found.select("k1", "k2", F.explode(windows(F.col("ws"), [*short, window])).alias("w")).select("k1", "k2", "w.*")
+    hits = written(places.join(known.select("width", "one", "two").distinct(), ["width", "one", "two"], "left_semi"), "hits")
+    marks = hits.groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "width")).alias("spans"))
     covered = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["pos"], s["pos"] + s["width"] - 1))))
-    per = per.select("k1", "k2", F.size(covered).cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"))
+    marks = marks.select("k1", "k2", F.size(covered).cast("long").alias("n_hit"))
+    named = hits.select("k1", "k2", "width", "one", "two").distinct().join(known, ["width", "one", "two"]).groupBy("k1", "k2").agg(F.collect_set("item").alias("items"))
+    named = named.select("k1", "k2", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"))
+    per = marks.join(named, ["k1", "k2"])
     counted = keyed.select("id", "k1", "k2", word_count(F.col("text")).alias("n_words"))
     none = F.lit(0).cast("long")
     return counted.join(per, ["k1", "k2"], "left").select(
