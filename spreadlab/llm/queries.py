@@ -150,7 +150,7 @@ from d left join covered using (doc_id) left join named using (doc_id)
 
 _URLS = r"""
 with p as (
-    select page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '') as host,
+    select page_id, nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '.'), '') as host,
         timestamp '2024-01-01' + to_days(cast((page_id * 7919) % 365 as int)) + to_seconds((page_id * 104729) % 86400) as fetched_at
     from pages
 ), e as (
@@ -168,7 +168,7 @@ with p as (
 ), matched as (
     select p.page_id, v.action, v.domain, v.valid_from, v.valid_to,
         row_number() over (partition by p.page_id order by length(v.domain) desc) as r
-    from p join valid v on (p.host = v.domain or p.host like '%.' || v.domain)
+    from p join valid v on (p.host = v.domain or contains(v.domain, '.') and ends_with(p.host, '.' || v.domain))
         and p.fetched_at >= v.valid_from and (v.valid_to is null or p.fetched_at < v.valid_to) and v.action <> 'clear'
 )
 select p.page_id, p.host, p.fetched_at, coalesce(m.action, 'none') as verdict, m.domain as matched, m.valid_from, m.valid_to
