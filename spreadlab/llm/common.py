@@ -54,12 +54,14 @@ HOT_KEYS = 1000
 def join_unique(rows: DataFrame, unique: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
     """Inner join of rows with a table that has a row per key ``on`` and in ``weight`` how many of the ``total`` rows have that key.
 
-    A hot key would make a task of a shuffle too large. At most HOT_KEYS keys are hot, so their rows of
-    ``unique`` are broadcast, and the rows of all other keys are shuffled."""
-    hot = unique.where(F.col(weight) * HOT_KEYS >= total)
-    cold = unique.where(F.col(weight) * HOT_KEYS < total)
-    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
-    return rows.join(F.broadcast(hot), on).unionByName(rest.join(cold, on))
+    A hot key would make a task of a shuffle too large. At most HOT_KEYS keys are hot; their hashes come to the driver, their rows of
+    ``unique`` are broadcast, and only the rows of all other keys are shuffled."""
+    mark = F.xxhash64(*on)
+    found = [r[0] for r in unique.where(F.col(weight) * HOT_KEYS >= total).select(mark).distinct().collect()]
+    if not found:
+        return rows.join(unique, on)
+    hot = mark.isin(found)
+    return rows.where(hot).join(F.broadcast(unique.where(hot)), on).unionByName(rows.where(~hot).join(unique.where(~hot), on))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -5,39 +5,58 @@ Two permutations stand for all coordinates: the first scatters a shingle to a po
 shifted circularly by k. One lookup thus reads all coordinates of a shingle as one run of a table.
 
 1. Documents with equal shingle sets form a class; only classes go on.
-2. A band is ROWS coordinates; classes that agree on a band share a bucket. With 25 bands of 5, a
-   pair at 0.85 shares none with probability 4e-7.
+2. A band is some coordinates; classes that agree on a band share a bucket. :func:`banding` chooses rows and bands so that a
+   pair at the threshold shares none with probability 1e-6 at most.
 3. Buckets of up to SMALL classes give their pairs. In a larger one, each class first meets the
-   bucket's pivot, the class with the most company in all its buckets. Pairs whose 125 coordinates
-   agree too seldom to be near 0.85 (4.7 standard deviations) go; the rest are counted exactly.
-4. A larger bucket that is still in several components is compared exactly in blocks, which
-   return only links that join components. So no group of copies is ever expanded into its pairs,
-   and no partner is dropped.
-5. Components come from contracting links to least neighbours, each round a table in the shared folder."""
+   bucket's pivot, the class with the most company in all its buckets. Pairs whose coordinates
+   agree too seldom for the threshold (a chance of 1e-7 there) go; the rest are counted exactly.
+4. A larger bucket that is still in several components is compared exactly in blocks of sets whose sizes
+   allow a link; they return only links that join components. So no group of copies is ever expanded into its pairs.
+5. Components come from contracting links to least neighbours, each round a table in the shared folder.
+
+Joins by bucket or class broadcast the few hot keys (:func:`~.common.join_unique`)."""
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import remove, written
+from .common import join_unique, remove, written
 
-BANDS, ROWS = 25, 5
-COORDINATES = BANDS * ROWS
+COORDINATES = 128  # at most
+MISSED, SKETCH_MISSED = 1e-6, 1e-7
 DOMAIN_BITS = 20
 SMALL = 64
 BLOCK, BLOCK_SHINGLES = 256, 2_000_000
 
-_FEATURES = "id long, n_shingles long, cid binary, bands array<long>, sketch binary"
+_FEATURES = "id long, text_key long, n_shingles long, cid binary, bands array<long>, sketch binary"
 _TABLE: np.ndarray | None = None
 
 
+@functools.lru_cache
+def banding(percent: int) -> tuple[int, int, int]:
+    """(rows, bands, least): the most rows a band whose bands miss a pair at the threshold with probability MISSED at most and
+    fit into COORDINATES; ``least`` coordinates agree in such a pair but for SKETCH_MISSED."""
+    s = percent / 100
+    for rows in range(8, 0, -1):
+        bands = 1 if s >= 1 else math.ceil(math.log(MISSED) / math.log1p(-(s**rows)))
+        n = rows * bands
+        if n <= COORDINATES:
+            least, below = 0, 0.0
+            while (below := below + math.comb(n, least) * s**least * (1 - s) ** (n - least)) <= SKETCH_MISSED:
+                least += 1
+            return rows, bands, least
+    raise ValueError(f"{COORDINATES} coordinates are too few for {percent} percent")
+
+
 def circulant_table() -> np.ndarray:
     """Row p: what each of the shifted second permutations has at position p (a view, not a copy)."""
     global _TABLE
@@ -48,20 +67,20 @@ def circulant_table() -> np.ndarray:
     return _TABLE
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
-    """All coordinates of a non-empty shingle set."""
-    table = circulant_table()
+def signature(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The first n coordinates of a non-empty shingle set."""
+    table = circulant_table()[:, :n]
     first = (S.mix(hashes ^ np.uint64(0x51ED270B7A3F)) >> np.uint64(64 - DOMAIN_BITS)).astype(np.int64)
-    out = np.full(COORDINATES, 0xFFFFFFFF, dtype=np.uint32)
+    out = np.full(n, 0xFFFFFFFF, dtype=np.uint32)
     for i in range(0, len(first), 2048):
         np.minimum(out, table[first[i : i + 2048]].min(axis=0), out=out)
     return out
 
 
-def _band_keys(sig: np.ndarray) -> np.ndarray:
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for r in range(ROWS):
-        key = S.mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[r::ROWS].astype(np.uint64) + np.uint64(1))
+def _band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
+    key = np.arange(1, len(sig) // rows + 1, dtype=np.uint64)
+    for r in range(rows):
+        key = S.mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[r::rows].astype(np.uint64) + np.uint64(1))
     return key.view(np.int64)
 
 
@@ -72,25 +91,25 @@ def _class_id(hashes: np.ndarray) -> bytes:
     return int(a).to_bytes(8, "big") + int(b).to_bytes(8, "big")
 
 
-def _feature_batches(width: int):
+def _feature_batches(width: int, rows: int, bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                n, cid, bands, sketch = [], [], [], []
-                for text in part.column(1).cast(pa.large_binary()):
+                n, cid, keys, sketch = [], [], [], []
+                for text in part.column(2).cast(pa.large_binary()):
                     s = S.shingle_set(text.as_py(), width)
                     n.append(len(s))
                     if len(s):
-                        sig = signature(s)
+                        sig = signature(s, rows * bands)
                         cid.append(_class_id(s))
-                        bands.append(_band_keys(sig))
+                        keys.append(_band_keys(sig, rows))
                         sketch.append((sig & np.uint32(255)).astype(np.uint8).tobytes())
                     else:
-                        cid.append(None), bands.append(None), sketch.append(None)
+                        cid.append(None), keys.append(None), sketch.append(None)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
-                    names=["id", "n_shingles", "cid", "bands", "sketch"],
+                    [part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(cid, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
+                    names=["id", "text_key", "n_shingles", "cid", "bands", "sketch"],
                 )
 
     return run
@@ -122,10 +141,10 @@ def _similar(a: bytes, b: bytes, percent: int) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
-def _keep_agreeing(least: int):
+def _keep_agreeing(least: int, coordinates: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, COORDINATES) for c in (2, 3))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, coordinates) for c in (2, 3))
             yield batch.select([0, 1]).filter(pa.array((a == b).sum(axis=1) >= least))
 
     return run
@@ -144,6 +163,10 @@ def _block_links(percent: int):
     """Exact links of a block with itself or with another; only those that join components."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        left = (group["side"] == 0).to_numpy()
+        right = ~left if group["apart"].iloc[0] else left
+        if not left.any() or not right.any():
+            return pd.DataFrame([], columns=["a", "b"])
         sets = [np.frombuffer(x, dtype=np.uint64) for x in group["hashes"]]
         n = np.array([len(s) for s in sets], dtype=np.float64)
         order = np.argsort(np.concatenate(sets), kind="stable")
@@ -157,8 +180,6 @@ def _block_links(percent: int):
             m[owner[i:j], column[i:j] - lo] = 1
             common += m @ m.T
         linked = 100 * common >= percent * (n[:, None] + n[None] - common)
-        left = (group["side"] == 0).to_numpy()
-        right = (group["side"] == 1).to_numpy() if (~left).any() else left
         linked &= left[:, None] & right[None]
         parent = {c: c for c in group["comp"]}
 
@@ -189,21 +210,25 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     edges = _between(links.select("a", "b"))
     edges, labels = written(edges, "edges"), None
     for _ in range(rounds):
+        old = [edges]
         near = edges.union(edges.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near"))
         parent = written(near.select("node", F.least("node", "near").alias("to")), "parents")
+        old.append(parent)
         upper = parent.select(F.col("node").alias("via"), F.col("to").alias("far"))
         parent = written(parent.join(upper, F.col("to") == F.col("via")).select("node", F.col("far").alias("to")), "parents")
         if labels is None:
             labels = parent.select("node", F.col("to").alias("label"))
         else:
+            old += [parent, labels]
             moved = parent.select(F.col("node").alias("via"), "to")
             labels = written(labels.join(moved, F.col("label") == F.col("via"), "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
         one = parent.select(F.col("node").alias("a"), F.col("to").alias("one"))
         two = parent.select(F.col("node").alias("b"), F.col("to").alias("two"))
         left = written(_between(edges.join(one, "a").join(two, "b").select(F.col("one").alias("a"), F.col("two").alias("b"))), "edges")
-        remove(spark, edges)
+        remove(spark, *old)
         edges = left
         if not edges.limit(1).count():
+            remove(spark, edges)
             return labels
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
@@ -221,56 +246,85 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null or blank texts have no shingles and stay alone. Fewer words than ``width`` count as one
     shingle. Rows that repeat an id keep a row each; a null id never names a component unless all
     its members are null. An empty table gives an empty one; other columns of docs don't matter."""
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    spark = docs.sparkSession
-    features = written(docs.mapInArrow(_feature_batches(width), _FEATURES), "features")
-    classes = features.where("cid is not null").groupBy("cid").agg(F.min("id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    classes = written(classes, "classes")
+    rows, bands, least = banding(percent)
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    spark, made = docs.sparkSession, []
+
+    def table(df: DataFrame, tag: str) -> DataFrame:
+        made.append(written(df, tag))
+        return made[-1]
+
+    features = table(docs.mapInArrow(_feature_batches(width, rows, bands), _FEATURES), "features")
+    first = F.min(F.struct(F.col("id").isNull(), "id", "text_key")).alias("first")  # a null id only where there is no other
+    classes = features.where("cid is not null").groupBy("cid").agg(first, F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = table(classes, "classes")
+    n_rows, n_banded = features.count(), bands * classes.count()
 
     banded = classes.select("cid", F.explode("bands").alias("key"))
-    sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = written(banded.join(sizes, "key"), "members")
+    sizes = table(banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
+    members = table(join_unique(banded, sizes, ["key"], "size", n_banded), "members")
 
     small = members.where(F.col("size") <= SMALL).select("key", "cid")
     pairs = small.join(small.select("key", F.col("cid").alias("other")), "key").where("cid < other").select(F.col("cid").alias("a"), F.col("other").alias("b"))
     large = members.where(F.col("size") > SMALL)
     company = members.groupBy("cid").agg(F.sum(F.log("size")).alias("company"))
-    ranked = large.join(company, "cid")
-    pivots = ranked.groupBy("key").agg(F.max_by("cid", F.struct("company", "cid")).alias("pivot"))
-    starred = large.join(pivots, "key").where("cid <> pivot").select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b"))
+    pivots = large.join(company, "cid").groupBy("key").agg(F.max_by("cid", F.struct("company", "cid")).alias("pivot"), F.max("size").alias("weight"))
+    starred = join_unique(large, table(pivots, "pivots"), ["key"], "weight", n_banded).where("cid <> pivot").select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b"))
     sketches = classes.select("cid", "sketch")
     found = pairs.union(starred).distinct()
     found = found.join(sketches.withColumnsRenamed({"cid": "a", "sketch": "sketch_a"}), "a").join(sketches.withColumnsRenamed({"cid": "b", "sketch": "sketch_b"}), "b")
-    likely = percent / 100
-    least = int(COORDINATES * likely - 4.7 * (COORDINATES * likely * (1 - likely)) ** 0.5)
-    found = written(found.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_keep_agreeing(least), "a binary, b binary"), "pairs")
+    found = table(found.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_keep_agreeing(least, rows * bands), "a binary, b binary"), "pairs")
 
     wanted = found.select(F.col("a").alias("cid")).union(found.select("b")).union(large.select("cid")).distinct()
-    firsts = classes.join(wanted, "cid", "left_semi").select("cid", F.col("first_id").alias("id"))
-    # An id that repeats brings several texts: the sets tell which of them is of this class.
-    sets = docs.join(firsts, docs.id.eqNullSafe(firsts.id)).select("cid", "text").mapInArrow(_set_batches(width), "cid binary, hashes binary")
-    sets = written(sets.dropDuplicates(["cid"]), "sets")
+    firsts = classes.join(wanted, "cid", "left_semi").select("cid", F.col("first.id").alias("first_id"), F.col("first.text_key").alias("first_key"))
+    # Ids may repeat or be null, so the text's hash is part of the key, and the sets tell which text is of this class.
+    same = (docs.text_key == F.col("first_key")) & docs.id.eqNullSafe(F.col("first_id"))
+    sets = docs.join(firsts, same).select("cid", "text").mapInArrow(_set_batches(width), "cid binary, hashes binary")
+    sets = table(sets.dropDuplicates(["cid"]), "sets")
     exact = found.join(sets.withColumnsRenamed({"cid": "a", "hashes": "set_a"}), "a").join(sets.withColumnsRenamed({"cid": "b", "hashes": "set_b"}), "b")
-    exact = written(exact.select("a", "b", "set_a", "set_b").mapInArrow(_keep_similar(percent), "a binary, b binary"), "links")
+    exact = table(exact.select("a", "b", "set_a", "set_b").mapInArrow(_keep_similar(percent), "a binary, b binary"), "links")
     labels = components(exact)
+    made.append(labels)
 
     split = large.join(labels, F.col("cid") == F.col("node"), "left").select("key", "size", "cid", F.coalesce("label", "cid").alias("comp"))
-    several = split.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    split = split.join(several, "key", "left_semi").join(classes.select("cid", "n"), "cid")
-    widest = split.groupBy("key").agg(F.max("n").alias("widest"))
-    room = F.greatest(F.lit(1), F.least(F.lit(BLOCK), (F.lit(BLOCK_SHINGLES) / F.col("widest")).cast("int")))
-    split = split.join(widest, "key").withColumn("blocks", F.ceil(F.col("size") / room).cast("int"))
-    split = split.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("meets")
-    placed = split.select("key", "cid", "comp", "block", meets).select("key", "cid", "comp", F.least("block", "meets").alias("one"), F.greatest("block", "meets").alias("two"), (F.col("block") > F.col("meets")).cast("int").alias("side"))
-    rest = placed.join(sets, "cid").groupBy("key", "one", "two").applyInPandas(_block_links(percent), "a binary, b binary")
-    rest = written(rest, "links")
+    split = split.join(classes.select("cid", "n"), "cid")
+    # Sets that link differ in size by the threshold at most: by one step of a scale with that factor.
+    scale = F.floor(F.ln("n") / -math.log(percent / 100)).cast("int") if percent < 100 else F.col("n").cast("int")
+    split = table(split.withColumn("scale", scale), "split")
+    several = split.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("size").alias("weight")).where("low <> high").drop("low", "high")
+    split = join_unique(split, several, ["key"], "weight", n_banded)
+    room = F.greatest(F.lit(1), F.least(F.lit(BLOCK), (F.lit(BLOCK_SHINGLES) / F.max("n")).cast("int")))
+    steps = split.groupBy("key", "scale").agg(F.ceil(F.count(F.lit(1)) / room).cast("int").alias("blocks"), F.count(F.lit(1)).alias("weight"))
+    w = Window.partitionBy("key").orderBy("scale")  # a row per size step of a bucket
+    beside = lambda f, d: F.when(f("scale").over(w) == F.col("scale") + d, f("blocks").over(w)).otherwise(0)
+    steps = steps.withColumns({"lower": beside(F.lag, -1), "upper": beside(F.lead, 1)})
+    split = join_unique(split.drop("weight"), steps, ["key", "scale"], "weight", n_banded)
+    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
+
+    def cells(count: str, make) -> Column:
+        return F.transform(F.when(F.col(count) > 0, F.sequence(F.lit(0), F.col(count) - 1)).otherwise(F.array().cast("array<int>")), make)
+
+    def cell(scale: Column, one: Column, two: Column, side: Column, apart: Column, cross: bool) -> Column:
+        return F.struct(scale.alias("low"), F.lit(cross).alias("cross"), one.alias("one"), two.alias("two"), side.cast("int").alias("side"), apart.alias("apart"))
+
+    block, true = F.col("block"), F.lit(True)
+    within = cells("blocks", lambda m: cell(F.col("scale"), F.least(block, m), F.greatest(block, m), block > m, block != m, False))
+    above = cells("upper", lambda m: cell(F.col("scale"), block, m, F.lit(0), true, True))
+    below = cells("lower", lambda m: cell(F.col("scale") - 1, m, block, F.lit(1), true, True))
+    placed = split.withColumn("block", own).select("key", "cid", "comp", F.explode(F.concat(within, above, below)).alias("at")).select("key", "cid", "comp", "at.*")
+    rest = placed.join(sets, "cid").groupBy("key", "low", "cross", "one", "two").applyInPandas(_block_links(percent), "a binary, b binary")
+    rest = table(rest, "links")
     if rest.limit(1).count():
         labels = components(exact.union(rest))
-
-    joined = classes.select("cid", "first_id").join(labels, F.col("cid") == F.col("node"), "left").select("cid", "first_id", F.coalesce("label", "cid").alias("label"))
-    lowest = joined.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    by_class = joined.join(lowest, "label").select("cid", "component_id")
-    out = features.select("id", "n_shingles", "cid").join(by_class, "cid", "left")
-    component = F.when(F.col("cid").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+        made.append(labels)
+
+    joined = classes.join(labels, F.col("cid") == F.col("node"), "left").select("cid", "copies", "first.id", F.coalesce("label", "cid").alias("label"))
+    lowest = joined.groupBy("label").agg(F.min("id").alias("component_id"), F.sum("copies").alias("weight"))
+    by_class = join_unique(joined.select("cid", "copies", "label"), lowest, ["label"], "weight", n_rows).select("cid", "copies", "component_id")
+    slim = features.select("id", "n_shingles", "cid")
+    alone = slim.where("cid is null").select("id", "n_shingles", F.col("id").alias("component_id"))
+    out = alone.unionByName(join_unique(slim.where("cid is not null"), by_class, ["cid"], "copies", n_rows).select("id", "n_shingles", "component_id"))
+    out = out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    out = written(out, "near-duplicates")
+    remove(spark, *made)
+    return out
