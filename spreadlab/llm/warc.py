@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import join_unique, written
 
 CHUNK_BYTES = 1 << 16
 DATE = "2024-01-01T00:00:00Z"
@@ -60,18 +60,22 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     rows = rows.withColumn("sha", F.sha1("payload"))
     seen = rows.where(F.octet_length("payload") >= least_revisit).select("id", "sha", F.octet_length("payload").alias("n"))
     first = seen.groupBy("sha", "n").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    again = seen.join(first, ["sha", "n"]).where(~F.col("id").eqNullSafe(F.col("first_id"))).select("id", "sha", "first_id").distinct()
+    first = written(first, "copies")  # else each use would hash all payloads again
+    again = join_unique(seen, first, ["sha", "n"], "copies", rows.count()).where(~F.col("id").eqNullSafe(F.col("first_id"))).select("id", "sha", "first_id").distinct()
     again = again.select(F.coalesce("id", F.lit(-(2**63))).alias("key"), "sha", "first_id")
     rows = rows.withColumn("key", F.coalesce("id", F.lit(-(2**63)))).join(again, ["key", "sha"], "left")
 
     def name(i: Column) -> Column:
         return F.concat(F.lit("<urn:page:"), F.coalesce(i.cast("string"), F.lit("null")), F.lit(">"))
 
-    size = F.octet_length("payload")
     revisit = F.col("first_id").isNotNull()
-    segments = F.when(revisit, 1).otherwise(F.greatest(F.lit(1), F.ceil(size / chunk_bytes))).cast("int")
-    parts = rows.withColumn("digest", base32(F.col("sha"))).select("*", segments.alias("segments"), F.explode(F.sequence(F.lit(1), segments)).alias("segment"))
-    chunk = F.when(revisit, F.lit("").cast("binary")).otherwise(F.substring("payload", (F.col("segment") - 1) * chunk_bytes + 1, F.lit(chunk_bytes)))
+    # The payload is cut once into an array of chunks; after the explode no row has more than one of them.
+    chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.octet_length("payload") / chunk_bytes).cast("int") - 1)), lambda i: F.substring("payload", i * chunk_bytes + 1, F.lit(chunk_bytes)))
+    chunks = F.when(revisit, F.array(F.lit("").cast("binary"))).otherwise(chunks)
+    cut = rows.select("id", "url", "first_id", base32(F.col("sha")).alias("digest"), F.octet_length("payload").alias("size"), chunks.alias("chunks"))
+    parts = cut.select("id", "url", "first_id", "digest", "size", F.size("chunks").alias("segments"), F.posexplode("chunks").alias("segment", "chunk"))
+    parts = parts.withColumn("segment", F.col("segment") + 1)
+    size, chunk = F.col("size"), F.col("chunk")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{_EOL}Content-Type: text/html; charset=utf-8{_EOL}Content-Length: "), size.cast("string"), F.lit(_EOL * 2))
     block = F.when(F.col("segment") == 1, F.concat(http.cast("binary"), chunk)).otherwise(chunk)
     kind = F.when(revisit, "revisit").when(F.col("segment") == 1, "response").otherwise("continuation")
@@ -220,5 +224,8 @@ def archived_pages(chunks: DataFrame) -> DataFrame:
     own = ends.where("record_type = 'response'")
     whole = own.select("page_id", F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
     named = own.select(F.col("record_id").alias("target"), F.col("digest").alias("payload_digest"), F.col("size").alias("payload_bytes")).distinct()
-    revisits = ends.where("record_type = 'revisit'").select("page_id", "record_type", "target", "payload_digest").join(named, ["target", "payload_digest"], "left")
+    revisits = ends.where("record_type = 'revisit'").select("page_id", "record_type", F.coalesce("target", F.lit("")).alias("target"), F.coalesce("payload_digest", F.lit("")).alias("payload_digest"))
+    asked = revisits.groupBy("target", "payload_digest").agg(F.count(F.lit(1)).alias("weight")).join(named, ["target", "payload_digest"], "left")
+    asked = written(asked, "targets")
+    revisits = join_unique(revisits, asked, ["target", "payload_digest"], "weight", ends.count())
     return whole.unionByName(revisits.select("page_id", "payload_bytes", "payload_digest", "record_type", page(F.col("target")).alias("refers_to")))
