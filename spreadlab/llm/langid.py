@@ -4,7 +4,8 @@ Byte 3-grams and 4-grams of the lower-case text, with everything ASCII that is n
 space, hash to rows of an embedding table; a text is the mean of its rows, and a linear layer
 gives the languages' logits. Both layers are trained together by stochastic gradient descent in
 numpy on a bounded sample. A temperature fitted on held-back sample rows calibrates the
-probabilities; below a threshold from the same rows a prediction is rejected.
+probabilities. A prediction is rejected if its probability or the share of its subwords that the sample has is below
+what nearly all of the held-back rows have; the second also tells foreign text where one or two languages were learnt.
 
 For prediction the two layers multiply out to one table of language scores per bucket, which is
 broadcast: buckets * languages floats, 1 MB for four languages."""
@@ -17,14 +18,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 16
 DIM = 16
-PER_LANGUAGE = 300
-MAX_LANGUAGES = 64
+#: The sample: so many rows of each language, fewer where there are many languages, and so many code points of each row's text.
+PER_LANGUAGE, SAMPLE_ROWS, SAMPLE_CHARS = 300, 19_200, 20_000
+#: More languages are an error: none is left out, and the table of scores stays below 70 MB.
+MAX_LANGUAGES = 256
 REJECTED_SHARE = 0.002
+_MOST_CERTAIN, _KNOWN_SLACK = 0.9, 0.9
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
 _PLAIN = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -53,23 +57,28 @@ class Model:
     bias: np.ndarray
     temperature: float = 1.0
     threshold: float = 0.0
+    known: np.ndarray | None = None  # buckets that the sample has
+    least_known: float = 0.0
 
-    def logits(self, text: str) -> np.ndarray:
-        total, n = np.zeros(len(self.languages)), 0
+    def logits(self, text: str) -> tuple[np.ndarray, float]:
+        """The languages' logits and the share of known subwords."""
+        total, n, known = np.zeros(len(self.languages)), 0, 0
         for idx in buckets(text):
             total += self.scores[idx].sum(axis=0, dtype=np.float64)
+            known += int(np.count_nonzero(self.known[idx]))
             n += len(idx)
-        return total / max(n, 1) + self.bias
+        return total / max(n, 1) + self.bias, known / max(n, 1)
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, calibrated probability, and whether it is rejected."""
         if not text or not self.languages or not _LETTER.search(text):
             return UNDETERMINED, 0.0, True
-        z = self.logits(text) / self.temperature
+        z, known = self.logits(text)
+        z /= self.temperature
         p = np.exp(z - z.max())
         p /= p.sum()
         i = int(p.argmax())
-        return self.languages[i], float(p[i]), bool(p[i] < self.threshold)
+        return self.languages[i], float(p[i]), bool(p[i] < self.threshold or known < self.least_known)
 
 
 def _examples(text: str, rng: np.random.Generator) -> list[str]:
@@ -110,9 +119,13 @@ def train(sample: list[tuple[str, str]], seed: int = 11, epochs: int = 4, rate:
             weights -= lr * np.outer(hidden, p)
             bias -= np.float32(0.1 * lr) * p
             table[idx] -= np.float32(lr * min(len(idx), 50)) * share * back
-    model = Model(languages, table @ weights, bias)
+    known = np.zeros(BUCKETS, dtype=bool)
+    for idx, _, _ in bags:
+        known[idx] = True
+    model = Model(languages, table @ weights, bias, known=known)
     if held:
-        z = np.array([model.logits(t) for t, _ in held])
+        got = [model.logits(t) for t, _ in held]
+        z = np.array([x for x, _ in got])
         y = np.array([k for _, k in held])
 
         def probabilities(t: float) -> np.ndarray:
@@ -124,24 +137,30 @@ def train(sample: list[tuple[str, str]], seed: int = 11, epochs: int = 4, rate:
         p = probabilities(model.temperature)
         right = p.argmax(axis=1) == y
         if right.any():
-            model.threshold = float(min(0.5, np.quantile(p.max(axis=1)[right], REJECTED_SHARE)))
+            model.threshold = float(min(_MOST_CERTAIN, np.quantile(p.max(axis=1)[right], REJECTED_SHARE)))
+            model.least_known = _KNOWN_SLACK * float(np.quantile([k for _, k in got], REJECTED_SHARE))
     return model
 
 
 def bounded_sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> list[tuple[str, str]]:
-    """Up to ``per_language`` rows of each language, those with the least hashed ids: chosen on ids
-    and languages alone, then their texts are fetched. At most per_language * MAX_LANGUAGES rows."""
+    """Up to ``per_language`` rows of each language, those with the least hashed ids, and SAMPLE_ROWS in all; SAMPLE_CHARS of each text.
+
+    One pass over languages counts them, one over ids and languages ranks them (each task keeps its least hashes only), and one fetches the
+    texts. Rows that repeat a chosen id are ranked once more by their texts' hashes."""
     slim = labelled.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    counts = slim.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MAX_LANGUAGES).collect()
-    chosen = None
-    for r in sorted(counts, key=lambda r: r["lang"]):
-        one = slim.where(F.col("lang") == r["lang"]).orderBy(F.xxhash64("id"), "id").limit(per_language)
-        chosen = one if chosen is None else chosen.union(one)
-    if chosen is None:
-        return []
-    ids = [r["id"] for r in chosen.select("id").distinct().collect()]
-    rows = labelled.where(F.col(id_col).isin(ids) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    return [(r["text"], r["lang"]) for r in rows.orderBy(F.xxhash64("id"), "text", "lang").limit(per_language * MAX_LANGUAGES).collect()]
+    n = len(slim.select("lang").distinct().take(MAX_LANGUAGES + 1))
+    if n > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    most = min(per_language, SAMPLE_ROWS // max(n, 1))
+
+    def least(df: DataFrame, *order: Column) -> DataFrame:
+        w = Window.partitionBy("lang").orderBy(*order)
+        return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).drop("rank")
+
+    chosen = least(slim, F.xxhash64("id"), F.col("id")).distinct()
+    rows = labelled.select(F.col(id_col).alias("id"), F.left(F.col(text_col), F.lit(SAMPLE_CHARS)).alias("text"), F.col(lang_col).alias("lang")).where("text is not null")
+    rows = least(rows.join(F.broadcast(chosen), ["id", "lang"], "left_semi"), F.xxhash64("id"), F.xxhash64("text"))
+    return [(r["text"], r["lang"]) for r in rows.orderBy(F.xxhash64("id"), "text", "lang").collect()]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -150,7 +169,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    """Trains on rows that are not held out; per_language bounds what the driver gets."""
+    """Trains on rows that are not held out; the sample bounds what the driver gets."""
     return train(bounded_sample(docs.where(~held_out(F.col(id_col))), id_col, text_col, lang_col, per_language))
 
 
