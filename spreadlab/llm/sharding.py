@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 _FACTOR = np.uint64(2862933555777941757)
 RANGES = 256
+#: A range has about so many rows at most; a table of starts of more rows than the second number is not broadcast.
+RANGE_ROWS, BROADCAST_ROWS = 500_000, 1 << 20
 
 
 def jump(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -38,18 +40,20 @@ def jump_shard(key: Column, shards: int) -> Column:
     return shard(F.coalesce(key.cast("long"), F.lit(0).cast("long")))
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", ranges: int = RANGES) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
     """One row per row of docs: the id, size (UTF-8 bytes of the text and 16), text_crc32, law "key", shard, slot
     (gapless from 0 in a shard) and grown_shard, where the row is with one more shard.
 
     A slot is the number of rows in the shard's earlier ranges of hashed ids, from a first pass that reads only
-    ids, plus the place in its own range; so no task orders a whole shard. The table of ranges
-    has shards * ranges rows, 10,240 as set, and is broadcast. Ids that are no integers count by
+    ids, plus the place in its own range; so no task orders a whole shard. There are ``ranges`` a shard, by default
+    RANGES or as many as RANGE_ROWS asks for; the table of their starts is broadcast up to BROADCAST_ROWS rows. Ids that are no integers count by
     their xxhash64. Null ids all have key 0; null texts have 0 bytes. Repeated ids share a shard and have slots of
     their own. An empty table gives an empty one; other columns don't matter."""
     kind = docs.schema[id_col].dataType
     key = F.col("id") if isinstance(kind, T.IntegralType) else F.xxhash64("id")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    if ranges is None:
+        ranges = max(RANGES, -(-docs.count() // (shards * RANGE_ROWS)))
     span = F.pmod(F.xxhash64(F.col("id")), F.lit(ranges)).cast("int")
     placed = rows.withColumns({"shard": jump_shard(key, shards), "span": span})
     counts = placed.groupBy("shard", "span").agg(F.count(F.lit(1)).alias("n"))
@@ -57,5 +61,5 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
     starts = counts.select("shard", "span", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     full = placed.select("id", "shard", "span", (F.octet_length("text") + 16).cast("long").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"), jump_shard(key, shards + 1).alias("grown_shard"))
     own = Window.partitionBy("shard", "span").orderBy("id", "size", "text_crc32")
-    full = full.withColumn("place", F.row_number().over(own) - 1).join(F.broadcast(starts), ["shard", "span"])
+    full = full.withColumn("place", F.row_number().over(own) - 1).join(F.broadcast(starts) if shards * ranges <= BROADCAST_ROWS else starts, ["shard", "span"])
     return full.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("place")).cast("long").alias("slot"), "grown_shard")
