@@ -10,6 +10,7 @@ token counts. No row is shuffled, and a task holds one pool of rests plus the op
 from __future__ import annotations
 
 import functools
+import json
 import unicodedata
 from bisect import bisect_right, insort
 from collections.abc import Iterator
@@ -33,18 +34,29 @@ _NAMES = ("start", "length", "ids", "doc_tokens", "sequence_id", "offset", "sequ
 class WordTokenizer:
     """Ids of texts as little-endian 32-bit bytes, the same as the tokenizer gives for whole texts.
 
-    No token spans white space, so runs between white space are tokenized once and kept, up to
-    ``CACHED`` of them and as many lower-case words; when full, later ones are worked out anew."""
+    Where the file has the normalizer and pre-tokenizer of ``_NORMALIZER`` and ``_PRETOKENIZER``, no token spans white space, so runs between white space are tokenized once and kept, up to
+    ``CACHED`` of them and as many lower-case words; when full, later ones are worked out anew.
+    Texts of any other tokenizer are encoded whole."""
 
     _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
     #: Python splits on these, the tokenizer does not; or lower case depends on the neighbours.
     _WHOLE = regex.compile("[\x1c-\x1fİΣ]")
     _LATIN_END = "ɐ"
 
+    # Fixed values of the tokenizer's file.
+    _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+    _PRETOKENIZER = {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": _WORD.pattern}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]}
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        given = json.loads(self.tok.to_str())
+        known = given["normalizer"] == self._NORMALIZER and given["pre_tokenizer"] == self._PRETOKENIZER
+        self.by_run = known and given["model"]["type"] == "BPE" and not given["truncation"] and not given["post_processor"]
         self.special = list(self.tok.get_added_tokens_decoder().values())
         self.special = [str(t.content) for t in self.special]
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -80,7 +92,7 @@ class WordTokenizer:
         return got
 
     def ids(self, text: str) -> bytes:
-        if self._WHOLE.search(text) or any(s in text for s in self.special):
+        if not self.by_run or self._WHOLE.search(text) or any(s in text for s in self.special):
             return self._encoded(text)
         known = self.runs
         return b"".join([known[r] if r in known else self._run(r) for r in text.split()])
