@@ -1,7 +1,7 @@
 """A paged feed as a Spark data source: a partition per symbol, pages fetched on the executors.
 
 ``fetch`` names a function ``module:name`` of (symbol, start_ms, end_ms, limit) that returns a page of
-rows, each a list whose first item is its time in ms. Pages go on until one is short or the end is reached."""
+rows, each a list whose first item is its time in ms or an object that has it under ``time_field``. Pages go on until one is short or the end is reached."""
 
 from __future__ import annotations
 
@@ -15,6 +15,19 @@ from collections.abc import Callable, Iterator
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
+class Spaced:
+    """Calls of ``get`` at least ``seconds`` apart in this process."""
+
+    def __init__(self, get: Callable, seconds: float, clock: Callable = time.monotonic, sleep: Callable = time.sleep) -> None:
+        self.get, self.seconds, self.clock, self.sleep, self.last = get, seconds, clock, sleep, None
+
+    def __call__(self, *args, **more):
+        if self.last is not None and (wait := self.last + self.seconds - self.clock()) > 0:
+            self.sleep(wait)
+        self.last = self.clock()
+        return self.get(*args, **more)
+
+
 def get_json(url: str, retries: int = 5, backoff: float = 2.0, timeout: float = 15.0, opener: Callable = urllib.request.urlopen, sleep: Callable = time.sleep):
     """GET with exponential backoff; a server's Retry-After on 429 or 418 is honoured, other client errors are raised."""
     for attempt in range(retries):
@@ -43,19 +56,23 @@ class _Reader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         module, _, name = self.o["fetch"].partition(":")
         fetch = getattr(importlib.import_module(module), name)
-        at, end, step, limit = (int(self.o[k]) for k in ("start_ms", "end_ms", "step_ms", "limit"))
+        end, step, limit = (int(self.o[k]) for k in ("end_ms", "step_ms", "limit"))
+        at = json.loads(self.o.get("starts", "{}")).get(partition.value, int(self.o["start_ms"]))
+        when = self.o.get("time_field", "")
+        moment = (lambda row: int(row[when])) if when else (lambda row: int(row[0]))
         while at < end:
             page = fetch(partition.value, at, end, limit)
             for row in page:
-                if row[0] + step <= end:  # the forming bar is left out
+                if moment(row) + step <= end:  # the forming bar is left out
                     yield partition.value, json.dumps(row)
             if len(page) < limit:
                 return
-            at = page[-1][0] + step
+            at = moment(page[-1]) + step
 
 
 class PagedFeed(DataSource):
-    """Options: fetch, symbols (comma-separated), start_ms, end_ms, step_ms, limit. Rows: symbol, raw (JSON)."""
+    """Options: fetch, symbols (comma-separated), start_ms, end_ms, step_ms (1 for events, which have no bars), limit; starts, a JSON
+    object of symbols that go on elsewhere than at start_ms; time_field for rows that are objects. Rows: symbol, raw (JSON)."""
 
     @classmethod
     def name(cls) -> str:
@@ -74,3 +91,13 @@ def sample_pages(symbol: str, start: int, end: int, limit: int) -> list[list]:
     first = -(-start // hour) * hour
     price = lambda t: f"{100 + len(symbol) + t // hour % 7}.50"
     return [[t, *[price(t)] * 4, "1.0", t + hour - 1, "", 3, "0", "0", "0"] for t in range(first, end, hour)][:limit]
+
+
+def sample_funding(symbol: str, start: int, end: int, limit: int) -> list[dict]:
+    """Events each five hours and some minutes, by a rule."""
+    gap = 5 * 3_600_000 + 420_000
+    return [{"symbol": symbol, "fundingTime": t, "fundingRate": f"0.000{t // gap % 9}", "markPrice": ""} for t in range(-(-start // gap) * gap, end, gap)][:limit]
+
+
+def sample_catalogue() -> list[dict]:
+    return [{"symbol": s, "baseAsset": s, "quoteAsset": "USD", "status": "TRADING", "onboardDate": 1_600_000_000_000} for s in ("AA", "BBB")]

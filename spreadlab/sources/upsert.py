@@ -19,7 +19,7 @@ def keep_last(batches: DataFrame, key: list[str], order: list[str]) -> DataFrame
     """The last version by ``order`` of each key; null volumes become 0."""
     rest = [c for c in batches.columns if c not in key]
     out = batches.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*key, "r.*")
-    return out.withColumn("volume", F.coalesce("volume", F.lit(0.0))) if "volume" in rest else out
+    return out.withColumn("volume", F.coalesce("volume", F.lit(0).cast(out.schema["volume"].dataType))) if "volume" in rest else out
 
 
 def resume_cursor(df: DataFrame, by: str, time: str, step_seconds: float, fallback: Column) -> DataFrame:
@@ -32,9 +32,21 @@ def symbols_missing(wanted: DataFrame, known: DataFrame) -> DataFrame:
     return wanted.join(known, "symbol", "left_anti")
 
 
-def replace_scope(df: DataFrame, path: str, partitions: list[str]) -> None:
-    """Rewrites only the partitions that df has."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
+def upsert_catalogue(existing: DataFrame, new: DataFrame) -> DataFrame:
+    """Known symbols with the new status and onboarding where there are such, and the symbols that are new."""
+    fresh = ["status", "onboard_date"]
+    merged = existing.join(new.select("symbol", F.lit(True).alias("_told"), *[F.col(c).alias(f"_{c}") for c in fresh]), "symbol", "left")
+    merged = merged.withColumns({c: F.when(F.col("_told"), F.col(f"_{c}")).otherwise(F.col(c)) for c in fresh}).select(*existing.columns)
+    return merged.unionByName(symbols_missing(new, existing).select(*existing.columns))
+
+
+def scope_path(path: str, scope: dict[str, str]) -> str:
+    return "/".join([path.rstrip("/"), *[f"{k}={v}" for k, v in scope.items()]])
+
+
+def replace_scope(df: DataFrame, path: str, scope: dict[str, str]) -> None:
+    """Replaces all rows of a scope of a table (partition columns and their values) by df, also by none."""
+    df.drop(*scope).write.mode("overwrite").parquet(scope_path(path, scope))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
