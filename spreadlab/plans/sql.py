@@ -46,7 +46,7 @@ zs as (
 )"""
 _FUNDING = """
 funding as (
-    select event_type as symbol, ts as funding_time, (value - 50) / 1e6 as funding_rate from events where event_id % 7 = 0
+    select event_type as symbol, ts as funding_time, (value - 50) / 1e6 as funding_rate from events
 ), rates as (
     select symbol, date_trunc('hour', funding_time) as open_time, sum(funding_rate) as rate from funding group by 1, 2
 )"""

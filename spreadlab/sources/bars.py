@@ -39,10 +39,9 @@ def prices(events: DataFrame, seconds: int = 3600) -> DataFrame:
     return hourly(events, seconds).join(index, "open_time").select("symbol", "open_time", level("open").alias("open"), level("close").alias("close"))
 
 
-def funding_events(events: DataFrame, every: int = 7) -> DataFrame:
-    """An irregular event clock of rates: a share of the events."""
-    kept = events.where(F.col("event_id") % every == 0)
-    return kept.select(F.col("event_type").alias("symbol"), F.col("ts").alias("funding_time"), ((F.col("value") - 50) / 1e6).alias("funding_rate"))
+def funding_events(events: DataFrame) -> DataFrame:
+    """An irregular event clock of rates: every event is one."""
+    return events.select(F.col("event_type").alias("symbol"), F.col("ts").alias("funding_time"), ((F.col("value") - 50) / 1e6).alias("funding_rate"))
 
 
 def drop_forming(df: DataFrame, now: Column, seconds: int) -> DataFrame:
@@ -66,6 +65,20 @@ def parse_klines(raw: DataFrame, column: str = "raw") -> DataFrame:
     )
 
 
+def parse_premium(raw: DataFrame, column: str = "raw") -> DataFrame:
+    """Candles of a premium index: time and prices of :func:`parse_klines`, which have no volume."""
+    return parse_klines(raw, column).select("symbol", "open_time", "open", "high", "low", "close")
+
+
+def parse_catalogue(raw: DataFrame, column: str = "raw") -> DataFrame:
+    """JSON objects of an exchange's symbols."""
+    got = F.from_json(F.col(column), "symbol string, baseAsset string, quoteAsset string, status string, onboardDate bigint")
+    return raw.select(
+        got["symbol"].alias("symbol"), got["baseAsset"].alias("base_asset"), got["quoteAsset"].alias("quote_asset"), got["status"].alias("status"),
+        F.timestamp_millis(got["onboardDate"]).cast("timestamp_ntz").alias("onboard_date"),
+    )
+
+
 def parse_funding(raw: DataFrame, column: str = "raw") -> DataFrame:
     """JSON objects of a funding event; an empty mark price is null."""
     got = F.from_json(F.col(column), "symbol string, fundingTime bigint, fundingRate string, markPrice string")
