@@ -67,9 +67,26 @@ def book_size(frame: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return frame.select(*by, *PAIR).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("n_pairs"))
 
 
-def benchmark_frame(panel: DataFrame) -> DataFrame:
-    """Buy and hold of each symbol as a result frame: net = gross, no costs."""
-    from .panel import bar_returns
+def benchmark_frame(panel: DataFrame, bars: DataFrame | None = None) -> DataFrame:
+    """Buy and hold of each symbol as a result frame: net = gross, no costs. With ``bars`` on exactly these, before returns are
+    taken, so that the first has return 0."""
+    from .panel import bar_returns, on_bars
 
     zero = F.lit(0.0)
-    return bar_returns(panel).select("symbol", "open_time", F.col("ret").alias("gross"), zero.alias("fee"), zero.alias("slip"), zero.alias("funding"), zero.alias("borrow"), F.col("ret").alias("net"))
+    rows = bar_returns(panel if bars is None else on_bars(panel, bars))
+    return rows.select("symbol", "open_time", F.col("ret").alias("gross"), zero.alias("fee"), zero.alias("slip"), zero.alias("funding"), zero.alias("borrow"), F.col("ret").alias("net"))
+
+
+def oos_frame(series: DataFrame) -> DataFrame:
+    """A stitched out-of-sample series as a result frame: its costs are inside net, so the other parts are null."""
+    return series.select("open_time", *[(F.col("net") if p == "net" else F.lit(None).cast("double")).alias(p) for p in PARTS])
+
+
+def on_driving_bars(signals: DataFrame, closes: DataFrame, rates: DataFrame, opens: bool = False) -> DataFrame:
+    """The signals' bars with both legs' closes (and opens): null where a leg has none; rates are 0 there. The signals drive, no bar is added or lost."""
+    fields = ("close", "open") if opens else ("close",)
+    out = signals
+    for leg in ("y", "x"):
+        side = closes.select(F.col("symbol").alias(f"leg_{leg}"), "open_time", *[F.col(f).alias(f"{f}_{leg}") for f in fields])
+        out = out.join(side, [f"leg_{leg}", "open_time"], "left")
+    return with_funding(out, rates)

@@ -28,12 +28,17 @@ def calendar_gaps(bars: DataFrame) -> DataFrame:
     the calendar are one run, whatever days lie between them."""
     slots = union_calendar(bars).select("open_time", F.row_number().over(Window.orderBy("open_time")).alias("slot"))
     ends = bars.groupBy("symbol").agg(F.min("open_time").alias("lo"), F.max("open_time").alias("hi"))
-    due = slots.join(F.broadcast(ends), (F.col("open_time") >= F.col("lo")) & (F.col("open_time") <= F.col("hi"))).select("symbol", "open_time", "slot")
+    due = slots.join(ends, (F.col("open_time") >= F.col("lo")) & (F.col("open_time") <= F.col("hi"))).select("symbol", "open_time", "slot")
     lacking = due.join(bars.select("symbol", "open_time"), ["symbol", "open_time"], "left_anti")
     run = F.col("slot") - F.row_number().over(Window.partitionBy("symbol").orderBy("slot"))
     return lacking.withColumn("run", run).groupBy("symbol", "run").agg(F.min("open_time").alias("gap_start"), F.max("open_time").alias("gap_end"), F.count(F.lit(1)).alias("n_missing")).drop("run")
 
 
+def event_counts(events: DataFrame, time: str = "funding_time") -> DataFrame:
+    """Events of each symbol, with the first and the last."""
+    return events.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_events"), F.min(time).alias("first_event"), F.max(time).alias("last_event"))
+
+
 def coverage(bars: DataFrame, seconds: int) -> DataFrame:
     """First and last bar, bars, and how many a gapless clock would have."""
     got = bars.groupBy("symbol").agg(F.min("open_time").alias("first_bar"), F.max("open_time").alias("last_bar"), F.count(F.lit(1)).alias("n_bars"))

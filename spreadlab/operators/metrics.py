@@ -87,6 +87,11 @@ def summarize(frame: DataFrame, bars_per_year: int, by: tuple[str, ...] = PAIR,
     )
 
 
+def series_summary(frame: DataFrame, bars_per_year: int, by: tuple[str, ...]) -> DataFrame:
+    """Headline figures and Sortino ratio of series without weights."""
+    return summarize(frame, bars_per_year, by, weights=False).join(ann_sortino(frame, bars_per_year, by), [*by])
+
+
 def full_summary(frame: DataFrame, bars_per_year: int, by: tuple[str, ...] = PAIR) -> DataFrame:
     out = summarize(frame, bars_per_year, by).join(ann_sortino(frame, bars_per_year, by), [*by])
     for more in (hit_rate(frame, by), avg_holding(frame, by), ann_turnover(frame, bars_per_year, by)):

@@ -24,7 +24,8 @@ def long_panel(bars: DataFrame, symbols: list[str] | None = None, end: Column |
     return out if end is None else out.where(F.col("open_time") < end)
 
 
-def pivot_panel(panel: DataFrame, symbols: list[str], field: str = "close") -> DataFrame:
+def pivot_panel(panel: DataFrame, symbols: list[str] | None = None, field: str = "close") -> DataFrame:
+    """A column per symbol, of all that occur by default."""
     return panel.groupBy("open_time").pivot("symbol", symbols).agg(F.first(field))
 
 
@@ -57,6 +58,13 @@ def both_ways(frame: DataFrame) -> DataFrame:
     return frame.unionByName(frame.select(*[F.col(other(c)).alias(c) for c in frame.columns]))
 
 
+def on_bars(panel: DataFrame, bars: DataFrame, field: str = "close") -> DataFrame:
+    """The panel's symbols on exactly the given bars (open_time): null where a symbol has none, never filled. Symbols are few, so
+    that their product with the bars is as large as a panel without gaps."""
+    wanted = bars.select("open_time").distinct().crossJoin(F.broadcast(panel.select("symbol").distinct()))
+    return wanted.join(panel.select("symbol", "open_time", field), ["symbol", "open_time"], "left")
+
+
 def log_prices(panel: DataFrame) -> DataFrame:
     """Adds log_close; null where the price is not positive."""
     return panel.withColumn("log_close", F.when(F.col("close") > 0, F.ln("close")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .backtest import PARTS
@@ -11,8 +11,9 @@ from .panel import PAIR
 from .stats import average_rank
 
 
-def cost_stress(frame: DataFrame, multipliers: tuple[float, ...], bars_per_year: int, n_pairs: DataFrame) -> DataFrame:
-    """Portfolio net and Sharpe with fee and slip times each multiplier. They are linear in it, so no backtest runs again."""
+def cost_stress(frame: DataFrame, multipliers: tuple[float, ...], bars_per_year: int, n_pairs: DataFrame, start: Column | None = None) -> DataFrame:
+    """Portfolio net and Sharpe with fee and slip times each multiplier, of the bars from ``start`` on. They are linear in it, so no backtest runs again."""
+    frame = frame if start is None else frame.where(F.col("open_time") >= start)
     port = frame.groupBy("open_time").agg(*[F.sum(p).alias(p) for p in PARTS]).crossJoin(F.broadcast(n_pairs))
     each = port.withColumn("multiplier", F.explode(F.array(*[F.lit(float(m)) for m in multipliers])))
     net = (F.col("gross") - F.col("multiplier") * (F.col("fee") + F.col("slip")) + F.col("funding") - F.col("borrow")) / F.col("n_pairs")
@@ -26,6 +27,20 @@ def leave_one_out(frame: DataFrame) -> DataFrame:
     return per.crossJoin(whole).select(*PAIR, F.try_divide(F.col("total") - F.col("own"), F.col("n") - 1).alias("net"))
 
 
+def leave_one_out_stats(frame: DataFrame, bars_per_year: int, start: Column | None = None) -> DataFrame:
+    """(dropped pair, net, sharpe, bars) of the other pairs' portfolio from ``start`` on. A bar's sum less the pair's own part is the rest's, and a bar
+    that only the dropped pair has is none of theirs; so a book of n pairs costs n rows a bar, not n * n."""
+    pairs = frame.select(*PAIR).distinct()
+    size = pairs.agg(F.count(F.lit(1)).alias("n"))
+    rows = frame if start is None else frame.where(F.col("open_time") >= start)
+    bars = rows.groupBy("open_time").agg(F.sum("net").alias("total"), F.count(F.lit(1)).alias("present"))
+    own = rows.select(*PAIR, "open_time", F.col("net").alias("own"))
+    each = bars.crossJoin(F.broadcast(pairs.crossJoin(size))).join(own, [*PAIR, "open_time"], "left")
+    each = each.where(F.col("present") > F.when(F.col("own").isNull(), 0).otherwise(1))
+    net = F.try_divide(F.col("total") - F.coalesce("own", F.lit(0.0)), F.col("n") - 1)
+    return each.withColumn("net", net).groupBy(*PAIR).agg(F.sum("net").alias("net"), sharpe("net", bars_per_year).alias("sharpe"), F.count(F.lit(1)).alias("bars"))
+
+
 def regime_slices(curve: DataFrame, factor: DataFrame, window: int, bars_per_year: int) -> DataFrame:
     """net, Sharpe and bars of a portfolio in each regime of a factor's close: up or down over ``window`` bars, and trailing
     deviation above its median or not. The factor is put on the portfolio's bars first, so the first bars have no label.
@@ -45,6 +60,7 @@ def regime_slices(curve: DataFrame, factor: DataFrame, window: int, bars_per_yea
 
 def grid_robustness(train: DataFrame, test: DataFrame, params: tuple[str, ...]) -> DataFrame:
     """One row: Spearman correlation of train and test Sharpe over parameter sets, the test range and the share above 0."""
-    both = train.select(*params, F.col("sharpe").alias("a")).join(test.select(*params, F.col("sharpe").alias("b")), [*params])
+    rounded = lambda df, name: df.select(*params, F.round("sharpe", 9).alias(name))  # noqa: E731  # sets that trade alike are ties
+    both = rounded(train, "a").join(rounded(test, "b"), [*params])
     ranked = average_rank(average_rank(both.dropna(subset=["a", "b"]), "a", "ra"), "b", "rb")  # one row per set
     return ranked.agg(F.corr("ra", "rb").alias("spearman"), F.min("b").alias("least"), F.max("b").alias("most"), F.avg((F.col("b") > 0).cast("double")).alias("share_positive"), F.count(F.lit(1)).alias("sets"))

@@ -13,40 +13,42 @@ from .panel import PAIR
 from .stats import half_life, log_legs, ret_corr
 
 
-def _tested(keys: tuple[str, ...]):
+def _tested(keys: tuple[str, ...], logs: bool):
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("open_time")
-        y, x = np.log(g["close_y"].to_numpy(float)), np.log(g["close_x"].to_numpy(float))
+        y, x = g["close_y"].to_numpy(float), g["close_x"].to_numpy(float)
+        if logs:
+            y, x = np.log(y), np.log(x)
         one, two = engle_granger_p(y, x), engle_granger_p(x, y)
         return pd.DataFrame([[*(g[k].iloc[0] for k in keys), len(g), one, two]], columns=[*keys, "n_bars", "p_forward", "p_reverse"])
 
     return run
 
 
-def engle_granger(pairs: DataFrame, min_overlap: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """p values in both directions of each pair (and of each of ``keys``) with enough shared bars.
+def engle_granger(pairs: DataFrame, min_overlap: int, keys: tuple[str, ...] = (), logs: bool = True) -> DataFrame:
+    """p values in both directions of each pair (and of each of ``keys``) with enough shared bars, on log prices or prices.
 
     A task gets one pair's bars: bounded by the bars of a symbol, not by the number of trades."""
     keys = (*PAIR, *keys)
     enough = pairs.groupBy(*keys).count().where(F.col("count") >= min_overlap).drop("count")
-    kept = pairs.join(F.broadcast(enough), [*keys], "left_semi").select(*keys, "open_time", "close_y", "close_x")
+    kept = pairs.join(enough, [*keys], "left_semi").select(*keys, "open_time", "close_y", "close_x")
     types = dict(kept.dtypes)
-    return kept.groupBy(*keys).applyInPandas(_tested(keys), ", ".join(f"{k} {types[k]}" for k in keys) + ", n_bars long, p_forward double, p_reverse double")
+    return kept.groupBy(*keys).applyInPandas(_tested(keys, logs), ", ".join(f"{k} {types[k]}" for k in keys) + ", n_bars long, p_forward double, p_reverse double")
 
 
 def pair_screen(pairs: DataFrame, study: Study, more: tuple[str, ...] = ()) -> DataFrame:
     """One row per pair (and of each of ``more``) with enough bars: the better direction regresses, the worse p value decides. Passers first, then by p."""
     keys = [*PAIR, *more]
-    p = engle_granger(pairs, study.min_overlap, more)
+    p = engle_granger(pairs, study.min_overlap, more, study.use_log_prices)
     turned = p.select(*keys, "n_bars", F.least("p_forward", "p_reverse").alias("eg_p"), F.greatest("p_forward", "p_reverse").alias("eg_p_max"), (F.col("p_reverse") < F.col("p_forward")).alias("turned"))
-    both = pairs.join(F.broadcast(turned.select(*keys, "turned")), keys)
+    both = pairs.join(turned.select(*keys, "turned"), keys)
     pick = lambda a, b: F.when(F.col("turned"), F.col(b)).otherwise(F.col(a))
     both = both.select(pick("leg_y", "leg_x").alias("leg_y"), pick("leg_x", "leg_y").alias("leg_x"), *more, "open_time", pick("close_y", "close_x").alias("close_y"), pick("close_x", "close_y").alias("close_x"))
-    legs = log_legs(both)
+    legs = log_legs(both) if study.use_log_prices else both.withColumns({"ly": F.col("close_y"), "lx": F.col("close_x")})
     fit = legs.groupBy(*keys).agg(F.regr_intercept("ly", "lx").alias("alpha"), F.regr_slope("ly", "lx").alias("beta"))
-    spread = legs.join(F.broadcast(fit), keys).withColumn("spread", F.col("ly") - F.col("alpha") - F.col("beta") * F.col("lx"))
+    spread = legs.join(fit, keys).withColumn("spread", F.col("ly") - F.col("alpha") - F.col("beta") * F.col("lx"))
     told = turned.select(pick("leg_y", "leg_x").alias("leg_y"), pick("leg_x", "leg_y").alias("leg_x"), *more, "n_bars", "eg_p", "eg_p_max")
-    out = told.join(fit, keys).join(half_life(spread, more), keys).join(ret_corr(both, more), keys)
+    out = told.join(fit, keys).join(half_life(spread, more), keys).join(ret_corr(legs, more), keys)
     lo, hi = study.half_life
     passed = (F.col("eg_p_max") < study.adf_alpha) & F.col("half_life_bars").isNotNull() & F.col("half_life_bars").between(lo, hi)
     out = out.withColumn("passed", F.coalesce(passed, F.lit(False)))
@@ -54,6 +56,12 @@ def pair_screen(pairs: DataFrame, study: Study, more: tuple[str, ...] = ()) -> D
     return out.withColumn("rank", F.row_number().over(Window.partitionBy(*more).orderBy(F.col("passed").desc(), "eg_p_max", *PAIR)))
 
 
+def screen_counts(screened: DataFrame, alpha: float) -> DataFrame:
+    """One row: pairs tested, passed, and how many would pass the test by chance."""
+    n = F.count(F.lit(1))
+    return screened.agg(n.alias("tested"), F.count_if("passed").alias("passed"), (n * alpha).alias("expected_by_chance"))
+
+
 def fold_books(pairs: DataFrame, folds: DataFrame, study: Study) -> DataFrame:
     """(fold, leg_y, leg_x, place, eg_p_max): the best pairs that pass the screen on each fold's training bars, in the direction
     it chose, ``max_pairs`` at most."""

@@ -36,9 +36,9 @@ def half_life(spreads: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
 
 
 def ret_corr(pairs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
-    """Correlation of log returns on the shared bars."""
+    """Correlation of log returns on the shared bars; of the changes of ly and lx, where pairs has these."""
     w = by_pair(*more)
-    d = log_legs(pairs).withColumns({"dy": F.col("ly") - F.lag("ly").over(w), "dx": F.col("lx") - F.lag("lx").over(w)})
+    d = (pairs if {"ly", "lx"} <= set(pairs.columns) else log_legs(pairs)).withColumns({"dy": F.col("ly") - F.lag("ly").over(w), "dx": F.col("lx") - F.lag("lx").over(w)})
     return d.groupBy(*PAIR, *more).agg(F.corr("dy", "dx").alias("ret_corr"))
 
 

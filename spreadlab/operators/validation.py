@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Grid, Study
+from ..shared import stored
 from .backtest import backtest, book_size, portfolio_curve
 from .metrics import sharpe, with_episodes
 from .panel import PAIR, both_ways
@@ -64,16 +65,16 @@ def grid_search(results: DataFrame, study: Study, more: tuple[str, ...] = ()) ->
     """net, sharpe, trades and eligibility of each parameter set's portfolio, ranked within ``more``."""
     keys = (*more, *PARAMS)
     size = book_size(results, more)
-    port = portfolio_curve(results, size, more) if not more else None
     n = F.col("n_pairs")
-    joined = results.crossJoin(F.broadcast(size)) if not more else results.join(F.broadcast(size), [*more])
+    joined = results.crossJoin(F.broadcast(size)) if not more else results.join(size, [*more])
     port = joined.groupBy(*keys, "open_time").agg((F.sum("net") / F.first(n)).alias("net"), F.first(n).alias("n_pairs"))
     stats = port.groupBy(*keys).agg(F.sum("net").alias("net"), sharpe("net", study.bars_per_year).alias("sharpe"), F.count(F.lit(1)).alias("bars"), F.first("n_pairs").alias("n_pairs"))
     trades = with_episodes(results, (*PAIR, *keys)).groupBy(*keys).agg(F.sum("opens").alias("trades"))
     out = stats.join(trades, [*keys])
     floor = study.trades_per_year * F.col("bars") / study.bars_per_year * F.col("n_pairs")
     out = out.withColumn("eligible", F.col("trades") >= floor)
-    w = Window.partitionBy(*more).orderBy(F.col("sharpe").desc_nulls_last(), *PARAMS)
+    # Sets that trade alike differ in the last bits of their sums only: they are ties, which the parameters decide.
+    w = Window.partitionBy(*more).orderBy(F.round("sharpe", 9).desc_nulls_last(), *PARAMS)
     return out.withColumn("place", F.row_number().over(w)).drop("n_pairs")
 
 
@@ -84,34 +85,66 @@ def grid_best(searched: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
 
 
 def static_split(pairs: DataFrame, market: DataFrame, study: Study, cutoff: Column) -> DataFrame:
-    """The best set on bars before ``cutoff``, run once over the whole span: its portfolio with the part of each bar."""
-    signals = grid_signals(pairs, study)
-    results = run_params(signals, market, study)
-    best = grid_best(grid_search(results.where(F.col("open_time") < cutoff), study)).select(*PARAMS)
-    chosen = results.join(F.broadcast(best), [*PARAMS], "left_semi")
-    curve = portfolio_curve(chosen, book_size(chosen))
+    """The best set on bars before ``cutoff``, run once over the whole span: its portfolio with the part of each bar.
+    An error where no set is eligible."""
+    chosen = static_results(pairs, market, study, cutoff)[2]
+    return with_part(portfolio_curve(chosen, book_size(chosen)), cutoff)
+
+
+def with_part(curve: DataFrame, cutoff: Column) -> DataFrame:
     return curve.withColumn("part", F.when(F.col("open_time") < cutoff, "train").otherwise("test"))
 
 
+def static_results(pairs: DataFrame, market: DataFrame, study: Study, cutoff: Column) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(the grid on the bars before ``cutoff``, its best set, the results of that set over the whole span, the results of all sets)."""
+    results = stored(run_params(grid_signals(pairs, study), market, study), "results")
+    searched = stored(grid_search(results.where(F.col("open_time") < cutoff), study), "grid")
+    best = grid_best(searched)
+    if best.isEmpty():
+        raise ValueError("no parameter set of the training bars is eligible")
+    return searched, best, set_results(results, best), results
+
+
+def set_results(results: DataFrame, best: DataFrame) -> DataFrame:
+    """The results of the sets in ``best``, by all five parameters."""
+    return results.join(F.broadcast(best.select(*PARAMS)), [*PARAMS], "left_semi")  # one row a fold at most
+
+
+def fold_counts(folds: DataFrame) -> DataFrame:
+    """One row: folds, traded, in cash for want of pairs, in cash for want of an eligible set."""
+    is_ = lambda s: F.count_if(F.col("status") == s)
+    return folds.agg(F.count(F.lit(1)).alias("folds"), is_("traded").alias("traded"), is_("cash_no_pairs").alias("cash_no_pairs"), is_("cash_no_config").alias("cash_no_config"))
+
+
+def stitched(curve: DataFrame) -> DataFrame:
+    """The folds' test bars as one series; a bar in two folds is an error."""
+    twice = F.count(F.lit(1)).over(Window.partitionBy("open_time")) > 1
+    return curve.withColumn("net", F.when(twice, F.raise_error(F.lit("a test bar is in two folds")).cast("double")).otherwise(F.col("net")))
+
+
 def walkforward(pairs: DataFrame, market: DataFrame, calendar: DataFrame, study: Study) -> tuple[DataFrame, DataFrame]:
     """(folds with status, stitched test portfolio). Each fold screens its training bars, picks its book and parameters there and
-    trades the test bars with fresh entries; the filter starts anew on each fold's bars. Status: traded, cash_no_pairs or cash_no_config."""
-    folds = make_folds(calendar, study.train_bars, study.test_bars)
-    books = fold_books(pairs, folds, study).select("fold", *PAIR)
-    pairs, market = both_ways(pairs), both_ways(market)
+    trades the test bars with fresh entries; the filter starts anew on each fold's bars. Status: traded, cash_no_pairs or cash_no_config.
+
+    Folds, books, market and signals are stored once each; signals exist for the books' pairs only."""
+    folds = stored(make_folds(calendar, study.train_bars, study.test_bars), "folds")
+    market = stored(market, "market")
+    books = stored(fold_books(market.select(*pairs.columns), folds, study).select("fold", *PAIR), "books")
+    sizes = book_size(books, ("fold",))
+    prices = both_ways(market)
     inside = (F.col("open_time") >= F.col("train_start")) & (F.col("open_time") < F.col("test_end"))
-    span = pairs.join(F.broadcast(books), [*PAIR]).join(F.broadcast(folds), "fold").where(inside).select("fold", *PAIR, "open_time", "close_y", "close_x")
-    signals = grid_signals(span, study, ("fold",)).join(F.broadcast(folds), "fold")
-    train = signals.where((F.col("open_time") >= F.col("train_start")) & (F.col("open_time") < F.col("test_start")))
-    dates = ("train_start", "test_start", "test_end")
-    searched = grid_search(run_params(train.drop(*dates), market, study, ("fold",)), study, ("fold",))
-    best = grid_best(searched, ("fold",)).select("fold", *PARAMS, F.col("sharpe").alias("train_sharpe"))
-    chosen = signals.join(F.broadcast(best), ["fold", *PARAMS]).where(F.col("open_time") < F.col("test_end"))
+    spans = books.join(F.broadcast(folds), "fold")  # max_pairs rows a fold
+    span = prices.join(spans, [*PAIR]).where(inside).select("fold", *PAIR, "open_time", "close_y", "close_x")
+    dates = folds.select("fold", "test_start", "test_end")
+    signals = stored(grid_signals(span, study, ("fold",)), "signals").join(F.broadcast(dates), "fold")
+    train = signals.where(F.col("open_time") < F.col("test_start")).drop("test_start", "test_end")
+    searched = grid_search(run_params(train, prices, study, ("fold",)), study, ("fold",))
+    best = stored(grid_best(searched, ("fold",)).select("fold", *PARAMS, F.col("sharpe").alias("train_sharpe")), "best")
+    chosen = signals.join(F.broadcast(best.drop("train_sharpe")), ["fold", *PARAMS])  # a row a fold
     chosen = fresh_entries(chosen, F.col("test_start"), ("fold",), F.col("test_end"))
-    traded = run_params(chosen.drop("train_start", "train_sharpe"), market, study, ("fold",)).where(F.col("open_time") >= F.col("test_start"))
-    curve = portfolio_curve(traded, book_size(books, ("fold",)), ("fold",))
+    traded = run_params(chosen.drop("test_end"), prices, study, ("fold",)).where(F.col("open_time") >= F.col("test_start"))
+    curve = stored(portfolio_curve(traded, sizes, ("fold",)), "curve")
     stats = curve.groupBy("fold").agg(F.sum("net").alias("test_net"), sharpe("net", study.bars_per_year).alias("test_sharpe"))
-    sizes = book_size(books, ("fold",))
     out = folds.join(sizes, "fold", "left").join(best, "fold", "left").join(stats, "fold", "left")
     status = F.when(F.col("n_pairs").isNull(), "cash_no_pairs").when(F.col("delta").isNull(), "cash_no_config").otherwise("traded")
-    return out.withColumn("status", status), curve
+    return out.withColumn("status", status), stitched(curve)
