@@ -1,27 +1,49 @@
-"""Markdown tables of small results."""
+"""Markdown from small results."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from ..config import STEP_SECONDS
+
 MAX_ROWS = 1000
+_DAY = 86400
+
+
+def percent(v: float | None) -> str:
+    return "n/a" if v is None else f"{100 * v:.2f} %"
 
 
-def _cell(v) -> str:
-    return "—" if v is None else f"{v:+.4f}" if isinstance(v, float) else str(v)
+def number(v: float | None) -> str:
+    return "n/a" if v is None else f"{v:.3f}"
+
+
+def duration(bars: float | None, interval: str) -> str:
+    """A number of bars with its length in days: ``40 x 15m = 0.4 days``."""
+    if bars is None:
+        return "n/a"
+    return f"{bars:.0f} x {interval} = {bars * STEP_SECONDS[interval] / _DAY:.1f} days"
 
 
-def markdown(df: DataFrame, title: str) -> str:
-    """A title and a table; a report is small, so more than ``MAX_ROWS`` rows are an error, not a cut."""
-    rows = df.take(MAX_ROWS + 1)
+def _cell(v, show) -> str:
+    if show:
+        return show(v)
+    return "n/a" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
+
+
+def table(df: DataFrame, shown: dict | None = None) -> str:
+    """Rows as a table; ``shown`` formats columns. A report is small, so more than ``MAX_ROWS`` rows are an error, not a cut."""
+    shown, rows = shown or {}, df.take(MAX_ROWS + 1)
     if len(rows) > MAX_ROWS:
         raise ValueError(f"a report has {MAX_ROWS} rows at most")
-    lines = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    return "\n".join([*lines, *["| " + " | ".join(map(_cell, r)) + " |" for r in rows], ""])
+    lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
+    return "\n".join([*lines, *["| " + " | ".join(_cell(v, shown.get(c)) for c, v in zip(df.columns, r, strict=True)) + " |" for r in rows], ""])
 
 
-def bars_label(bars: float | None, interval: str) -> str:
-    """A number of bars as a duration."""
-    if bars is None:
-        return "—"
-    return f"{bars:.0f}h (~{bars / 24:.1f}d)" if interval == "1h" else f"{bars:.0f}d" if interval == "1d" else f"{bars:.0f} bars"
+def markdown(df: DataFrame, title: str, shown: dict | None = None) -> str:
+    return f"# {title}\n\n{table(df, shown)}"
+
+
+def document(title: str, *parts: tuple[str, str]) -> str:
+    """Sections (heading, text) under a title; an empty heading continues the section before."""
+    return "\n".join([f"# {title}", "", *[f"## {h}\n\n{t}\n" if h else f"{t}\n" for h, t in parts]])
