@@ -14,9 +14,10 @@ from ..config import SMALL as S
 from ..operators import backtest as bt
 from ..operators import gaps, metrics, panel, robustness, screen, signals, stats, validation
 from ..operators.panel import PAIR
+from ..shared import stored
 from ..sources import bars as src
 from ..sources import upsert
-from . import sql
+from . import grid_sql, sql
 
 HOUR, DAY = 3600, 86400
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,8 +165,8 @@ def _(spark, d):
 @_register("drop_forming", sql.query("select symbol, open_time, close from bars where open_time + interval 1 hour <= (select max(ts) from events)", *sql.BARS))
 def _(spark, d):
     x = Data(spark, d)
-    now = x.events.agg(F.max("ts")).first()[0]
-    return src.drop_forming(x.bars, F.lit(now).cast("timestamp_ntz"), HOUR).select("symbol", "open_time", "close")
+    now = F.broadcast(x.events.agg(F.max("ts").alias("now")))  # one row
+    return src.drop_forming(x.bars.crossJoin(now), F.col("now"), HOUR).select("symbol", "open_time", "close")
 
 
 @_register("upsert_keep_first", sql.query("select symbol, open_time, close from bars where open_time < timestamp '2024-01-10' union all select symbol, open_time, close + 1 from bars where open_time >= timestamp '2024-01-10'", *sql.BARS))
@@ -226,9 +227,9 @@ def _(spark, d):
     return panel.long_panel(Data(spark, d).bars, ["click", "purchase", "view"], F.lit("2024-01-20").cast("timestamp_ntz"))
 
 
-@_register("panel_pivot", sql.query("select open_time, max(close) filter (symbol = 'click') as click, max(close) filter (symbol = 'purchase') as purchase, max(close) filter (symbol = 'view') as view from bars group by open_time", *sql.BARS))
+@_register("panel_pivot", sql.query("select open_time, " + ", ".join(f"max(close) filter (symbol = '{x}') as {x}" for x in ("click", "error", "purchase", "signup", "view")) + " from bars group by open_time", *sql.BARS))
 def _(spark, d):
-    return panel.pivot_panel(panel.long_panel(Data(spark, d).bars), ["click", "purchase", "view"])
+    return panel.pivot_panel(panel.long_panel(Data(spark, d).bars))
 
 
 @_register("slice_half_open", sql.query("select symbol, open_time, close from bars where open_time >= timestamp '2024-01-05' and open_time < timestamp '2024-01-12'", *sql.BARS))
@@ -329,27 +330,27 @@ def _(spark, d):
     return rounded(stats.spearman(Data(spark, d).raw_pairs, "close_y", "close_x", PAIR), "spearman")
 
 
-@_register("engle_granger")
+@_register("engle_granger", sql.query(f"select split_part(unit, '~', 1) as leg_y, split_part(unit, '~', 2) as leg_x, cast(n_bars as bigint) as n_bars, {_r('p_forward', 'p_reverse')} from eg", *grid_sql.EG))
 def _(spark, d):
     return rounded(screen.engle_granger(Data(spark, d).pairs, S.min_overlap), "p_forward", "p_reverse")
 
 
-@_register("pair_screen")
+@_register("pair_screen", sql.query(f"select leg_y, leg_x, cast(n_bars as bigint) as n_bars, {_r('eg_p', 'eg_p_max', 'alpha', 'beta', 'half_life_bars', 'ret_corr')}, passed, cast(place as int) as rank from screen", *grid_sql.SCREEN))
 def _(spark, d):
     return rounded(screen.pair_screen(Data(spark, d).pairs, S), "alpha", "beta", "eg_p", "eg_p_max", "half_life_bars", "ret_corr")
 
 
-@_register("rolling_eg")
+@_register("rolling_eg", sql.query(f"select leg_y, leg_x, window_end, {_r('eg_p_max')} from rolled", *grid_sql.ROLLING))
 def _(spark, d):
     return rounded(screen.rolling_eg(Data(spark, d).pairs, S.eg_window, S.eg_step), "eg_p_max")
 
 
-@_register("rolling_eg_summary")
+@_register("rolling_eg_summary", sql.query("select leg_y, leg_x, round(min(eg_p_max), 6) as least_p, round(median(eg_p_max), 6) as median_p, round(avg(case when eg_p_max < 0.05 then 1.0::double else 0 end), 6) as share_passing from rolled group by all", *grid_sql.ROLLING))
 def _(spark, d):
     return rounded(screen.rolling_eg_summary(screen.rolling_eg(Data(spark, d).pairs, S.eg_window, S.eg_step)), "least_p", "median_p", "share_passing")
 
 
-@_register("fold_books")
+@_register("fold_books", sql.query(f"select fold, leg_y, leg_x, cast(place as int) as place, {_r('eg_p_max')} from books", *grid_sql.BOOKS))
 def _(spark, d):
     x = Data(spark, d)
     return rounded(screen.fold_books(x.pairs, validation.make_folds(gaps.union_calendar(x.bars), S.train_bars, S.test_bars), S), "eg_p_max")
@@ -533,13 +534,15 @@ def _(spark, d):
     return rounded(rounded(metrics.portfolio_extras(Data(spark, d).results, S.bars_per_year), "avg_holding", "hit_rate", "exposure"), "ann_turnover", digits=5)
 
 
-@_register("param_grid", sql.query("""select delta, cast(w as int) as window, entry, exit, stop, n_calendar from (select unnest([1e-5, 1e-7, 1e-8]::double[]) as delta), (select unnest([720, 1440]) as w), (select unnest([1.5, 2.0, 2.5]::double[]) as entry),
-    (select unnest([0.0, 0.5]::double[]) as exit), (select unnest([3.0, 4.0]::double[]) as stop), (select count(distinct open_time) as n_calendar from bars)""", *sql.BARS))
-def _(spark, d):
-    from ..config import HOURLY
+_G = S.grid
+
 
-    bars = Data(spark, d).bars.agg(F.countDistinct("open_time").alias("n_calendar"))
-    return validation.param_grid(spark, HOURLY.grid).crossJoin(bars)
+@_register("param_grid", sql.query(f"""select leg_y, leg_x, delta, cast(w as int) as "window", entry, exit, stop, greatest(0, n - {S.burn_in} - w) as n_tradeable from (select leg_y, leg_x, count(*) as n from pairs group by all),
+    (select unnest({list(_G.deltas)}::double[]) as delta), (select unnest({list(_G.windows)}) as w), (select unnest({list(_G.entries)}::double[]) as entry), (select unnest({list(_G.exits)}::double[]) as exit), (select unnest({list(_G.stops)}::double[]) as stop)""", *sql.PRICES, sql._PAIRS))
+def _(spark, d):
+    """Every parameter set of every pair, with the bars that have a full z window after the burn-in."""
+    pairs = Data(spark, d).pairs.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n"))
+    return pairs.crossJoin(F.broadcast(validation.param_grid(spark, S.grid))).withColumn("n_tradeable", F.greatest(F.lit(0).cast("long"), F.col("n") - S.burn_in - F.col("window"))).drop("n")
 
 
 @_register("make_folds", sql.query("select * from folds", *sql.FOLDS))
@@ -559,25 +562,35 @@ def _grid_results(x: Data) -> DataFrame:
     return validation.run_params(validation.grid_signals(x.pairs, S), x.market, S)
 
 
-@_register("run_params")
+@_register("run_params", sql.query(f"select leg_y, leg_x, {grid_sql.PARAMS}, {', '.join(f'round(sum({p}), 6) as {p}' for p in _PARTS)}, abs(sum(net) - (sum(gross) - sum(fee) - sum(slip) + sum(funding) - sum(borrow))) < 1e-9 as reconciled from bt group by all", *grid_sql.GRID))
 def _(spark, d):
     return rounded(bt.totals(_grid_results(Data(spark, d)), (*PAIR, *validation.PARAMS)), *_PARTS)
 
 
-@_register("grid_search")
+@_register("grid_search", sql.query(f"select {grid_sql.PARAMS}, {_r('net', 'sharpe')}, bars, trades, eligible, cast(place as int) as place from grid", *grid_sql.GRID, grid_sql.searched('bt', 'grid')))
 def _(spark, d):
     return rounded(validation.grid_search(_grid_results(Data(spark, d)), S), "net", "sharpe")
 
 
-@_register("grid_best")
+@_register("grid_best", sql.query(f"select {grid_sql.PARAMS}, {_r('net', 'sharpe')}, bars, trades, eligible, cast(place as int) as place from grid_best", *grid_sql.GRID, grid_sql.searched('bt', 'grid'), grid_sql.best('grid')))
 def _(spark, d):
     return rounded(validation.grid_best(validation.grid_search(_grid_results(Data(spark, d)), S)), "net", "sharpe")
 
 
 _CUTOFF = "2024-01-20"
+_TRAIN = f"open_time < timestamp '{_CUTOFF}'"
+_CHOSEN = f"""
+curve as (
+    select open_time, {', '.join(f'sum({p}) / any_value(book) as {p}' for p in _PARTS)} from bt join (select delta, win, entry, exit, stop from grid_best) using (delta, win, entry, exit, stop), (select count(*) as book from (select distinct leg_y, leg_x from bt)) group by open_time
+), parts as (
+    select *, equity - max(equity) over w as drawdown from (
+        select *, case when {_TRAIN} then 'train' else 'test' end as part, sum(net) over (partition by {_TRAIN} order by open_time rows unbounded preceding) as equity from curve)
+    window w as (partition by part order by open_time rows unbounded preceding)
+)"""
 
 
-@_register("static_split")
+@_register("static_split", sql.query(f"""select part, round(sum(net), 6) as net, round(sum(gross), 6) as gross, round(sum(fee + slip + borrow), 6) as costs, round(sum(funding), 6) as funding,
+    round({grid_sql.SHARPE}, 6) as sharpe, round(min(drawdown), 6) as max_drawdown, count(*) as bars from parts group by part""", *grid_sql.GRID, grid_sql.searched('bt', 'grid', _TRAIN), grid_sql.best('grid'), _CHOSEN))
 def _(spark, d):
     x = Data(spark, d)
     curve = validation.static_split(x.pairs, x.market, S, F.lit(_CUTOFF).cast("timestamp_ntz"))
@@ -589,12 +602,15 @@ def _walked(spark, d):
     return validation.walkforward(x.pairs, x.market, gaps.union_calendar(x.bars), S)
 
 
-@_register("walkforward")
+@_register("walkforward", sql.query(f"""select f.*, n_pairs, {grid_sql.PARAMS}, round(g.sharpe, 6) as train_sharpe, round(test_net, 6) as test_net, round(test_sharpe, 6) as test_sharpe,
+    case when n_pairs is null then 'cash_no_pairs' when delta is null then 'cash_no_config' else 'traded' end as status
+    from folds f left join (select fold, count(*) as n_pairs from books group by fold) b on b.fold = f.fold left join grid_best g on g.fold = f.fold
+    left join (select fold, sum(net) as test_net, {grid_sql.SHARPE} as test_sharpe from curve group by fold) c on c.fold = f.fold""", *grid_sql.WALK))
 def _(spark, d):
     return rounded(_walked(spark, d)[0], "train_sharpe", "test_net", "test_sharpe")
 
 
-@_register("walkforward_oos")
+@_register("walkforward_oos", sql.query("select fold, open_time, round(net, 6) as net from curve", *grid_sql.WALK))
 def _(spark, d):
     return rounded(_walked(spark, d)[1].select("fold", "open_time", "net"), "net")
 
@@ -613,6 +629,72 @@ def _(spark, d):
     return rounded(robustness.leave_one_out(Data(spark, d).results), "net")
 
 
+_TEST = f"open_time >= timestamp '{_CUTOFF}'"
+
+
+def _cutoff():
+    return F.lit(_CUTOFF).cast("timestamp_ntz")
+
+
+@_register("cost_stress_test", sql.query(f"""select m as multiplier, round(sum(net), 6) as net, round({_SHARPE}, 5) as sharpe from (select m, open_time, {_STRESS} as net from port, (select unnest([0.5, 1.0, 2.0, 3.0]::double[]) as m) where {_TEST}) group by m""", *sql.PORT))
+def _(spark, d):
+    x = Data(spark, d).results
+    return rounded(rounded(robustness.cost_stress(x, S.cost_multipliers, S.bars_per_year, bt.book_size(x), _cutoff()), "net"), "sharpe", digits=5)
+
+
+@_register("leave_one_out_test", sql.query(f"""select leg_y, leg_x, round(sum(net), 6) as net, round({_SHARPE}, 5) as sharpe, count(*) as bars from (
+    select p.leg_y, p.leg_x, b.open_time, sum(b.net) / (any_value(n) - 1) as net from (select distinct leg_y, leg_x from bt) p, (select count(*) as n from (select distinct leg_y, leg_x from bt)), bt b
+    where {_TEST} and (b.leg_y <> p.leg_y or b.leg_x <> p.leg_x) group by p.leg_y, p.leg_x, b.open_time) group by leg_y, leg_x""", *sql.RESULT))
+def _(spark, d):
+    return rounded(rounded(robustness.leave_one_out_stats(Data(spark, d).results, S.bars_per_year, _cutoff()), "net"), "sharpe", digits=5)
+
+
+@_register("benchmark_test", sql.query(f"""select symbol, open_time, round(coalesce(close / nullif(lag(close) over (partition by symbol order by open_time), 0) - 1, 0), 7) as net
+    from (select b.open_time, s.symbol, p.close from (select distinct open_time from pairs where leg_y = 'click' and leg_x = 'error' and {_TEST}) b, (select distinct symbol from prices) s
+    left join prices p on p.symbol = s.symbol and p.open_time = b.open_time)""", *sql.PRICES, sql._PAIRS))
+def _(spark, d):
+    x = Data(spark, d)
+    on = x.pairs.where((F.col("leg_y") == "click") & (F.col("leg_x") == "error") & (F.col("open_time") >= _cutoff()))
+    return rounded(bt.benchmark_frame(x.prices, on.select("open_time")), "net", digits=7).select("symbol", "open_time", "net")
+
+
+@_register("driving_bars", sql.query("""select s.leg_y, s.leg_x, s.open_time, y.close as close_y, x.close as close_x, coalesce(ry.rate, 0) as rate_y, coalesce(rx.rate, 0) as rate_x
+    from (select a.symbol as leg_y, b.symbol as leg_x, c.open_time from (select distinct symbol from bars) a, (select distinct symbol from bars) b, (select distinct open_time from bars) c where a.symbol < b.symbol) s
+    left join bars y on y.symbol = s.leg_y and y.open_time = s.open_time left join bars x on x.symbol = s.leg_x and x.open_time = s.open_time
+    left join rates ry on ry.symbol = s.leg_y and ry.open_time = s.open_time left join rates rx on rx.symbol = s.leg_x and rx.open_time = s.open_time""", *sql.FUNDING).replace("coalesce(ry.rate, 0)", "round(coalesce(ry.rate, 0), 9)").replace("coalesce(rx.rate, 0)", "round(coalesce(rx.rate, 0), 9)"))
+def _(spark, d):
+    x = Data(spark, d)
+    every = panel.pair_candidates(x.bars).crossJoin(F.broadcast(gaps.union_calendar(x.bars)))  # a row per bar of the calendar
+    return rounded(bt.on_driving_bars(every, x.bars, x.rates), "rate_y", "rate_x", digits=9)
+
+
+@_register("event_counts", sql.query("select symbol, count(*) as n_events, min(funding_time) as first_event, max(funding_time) as last_event from funding group by symbol", *sql.FUNDING))
+def _(spark, d):
+    return gaps.event_counts(Data(spark, d).funding)
+
+
+@_register("screen_counts", sql.query(f"select count(*) as tested, count(*) filter (passed) as passed, round(count(*) * {S.adf_alpha}::double, 6) as expected_by_chance from screen", *grid_sql.SCREEN))
+def _(spark, d):
+    return rounded(screen.screen_counts(screen.pair_screen(Data(spark, d).pairs, S), S.adf_alpha), "expected_by_chance")
+
+
+@_register("fold_counts", sql.query("""select count(*) as folds, count(*) filter (held is not null and delta is not null) as traded, count(*) filter (held is null) as cash_no_pairs, count(*) filter (held is not null and delta is null) as cash_no_config
+    from folds f left join (select fold, count(*) as held from books group by fold) b on b.fold = f.fold left join grid_best g on g.fold = f.fold""", *grid_sql.WALK))
+def _(spark, d):
+    return validation.fold_counts(_walked(spark, d)[0])
+
+
+@_register("catalogue_upsert", sql.query("""select symbol, symbol as base_asset, case when symbol < 'p' then 'off' else 'on' end as status, case when symbol < 'p' then null else onboard_date end as onboard_date
+    from (select symbol, min(open_time) as onboard_date from bars group by symbol) union all select distinct o_orderstatus, o_orderstatus, 'new', cast(null as timestamp) from orders""", *sql.BARS))
+def _(spark, d):
+    x = Data(spark, d)
+    known = x.bars.groupBy("symbol").agg(F.min("open_time").alias("onboard_date")).select("symbol", F.col("symbol").alias("base_asset"), F.lit("on").alias("status"), "onboard_date")
+    none = F.lit(None).cast("timestamp_ntz").alias("onboard_date")
+    told = known.where("symbol < 'p'").select("symbol", F.lit("ignored").alias("base_asset"), F.lit("off").alias("status"), none)
+    told = told.unionByName(x.orders.select(F.col("o_orderstatus").alias("symbol"), F.col("o_orderstatus").alias("base_asset"), F.lit("new").alias("status"), none).distinct())
+    return upsert.upsert_catalogue(known, told)
+
+
 _W = S.regime_window
 
 
@@ -631,9 +713,12 @@ def _(spark, d):
     return rounded(rounded(out, "net"), "sharpe", digits=5)
 
 
-@_register("grid_robustness")
+@_register("grid_robustness", sql.query(f"""select round(corr(ra, rb), 6) as spearman, round(min(b), 6) as least, round(max(b), 6) as most, round(avg(case when b > 0 then 1.0::double else 0 end), 6) as share_positive, count(*) as sets from (
+    select *, rank() over (order by a) + (count(*) over (partition by a) - 1) / 2.0 as ra, rank() over (order by b) + (count(*) over (partition by b) - 1) / 2.0 as rb from (
+        select round(x.sharpe, 9) as a, round(y.sharpe, 9) as b from one x join two y using (delta, win, entry, exit, stop)) where a is not null and b is not null)""",
+    *grid_sql.GRID, grid_sql.searched('bt', 'one', _TRAIN), grid_sql.searched('bt', 'two', f'not {_TRAIN}')))
 def _(spark, d):
-    results = _grid_results(Data(spark, d))
+    results = stored(_grid_results(Data(spark, d)), "results")
     cut = F.lit(_CUTOFF).cast("timestamp_ntz")
     halves = [validation.grid_search(results.where(c), S) for c in (F.col("open_time") < cut, F.col("open_time") >= cut)]
     return rounded(robustness.grid_robustness(*halves, validation.PARAMS), "spearman", "least", "most", "share_positive")
