@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Study
 from ..functions.adf import engle_granger_p
+from ..shared import by_groups
 from .panel import PAIR
 from .stats import half_life, log_legs, ret_corr
 
@@ -33,7 +34,7 @@ def engle_granger(pairs: DataFrame, min_overlap: int, keys: tuple[str, ...] = ()
     enough = pairs.groupBy(*keys).count().where(F.col("count") >= min_overlap).drop("count")
     kept = pairs.join(enough, [*keys], "left_semi").select(*keys, "open_time", "close_y", "close_x")
     types = dict(kept.dtypes)
-    return kept.groupBy(*keys).applyInPandas(_tested(keys, logs), ", ".join(f"{k} {types[k]}" for k in keys) + ", n_bars long, p_forward double, p_reverse double")
+    return by_groups(kept, *keys).applyInPandas(_tested(keys, logs), ", ".join(f"{k} {types[k]}" for k in keys) + ", n_bars long, p_forward double, p_reverse double")
 
 
 def pair_screen(pairs: DataFrame, study: Study, more: tuple[str, ...] = ()) -> DataFrame:

@@ -6,10 +6,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.recursions import kalman, positions
+from ..shared import by_groups
 from .panel import PAIR, by_pair
 from .stats import rolling_zscore
 
@@ -31,7 +33,7 @@ def kalman_hedge(pairs: DataFrame, burn_in: int, deltas: tuple[float, ...], more
 
     types = dict(pairs.dtypes)
     ddl = "".join(f"{k} {types[k]}, " for k in keys)
-    return pairs.select(*keys, "open_time", "close_y", "close_x").groupBy(*keys).applyInPandas(run, ddl + "open_time timestamp_ntz, ly double, lx double, delta double, alpha double, beta double")
+    return by_groups(pairs.select(*keys, "open_time", "close_y", "close_x"), *keys).applyInPandas(run, ddl + "open_time timestamp_ntz, ly double, lx double, delta double, alpha double, beta double")
 
 
 def innovation_spread(hedged: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
@@ -51,28 +53,31 @@ def with_positions(frame: DataFrame, rules: list[tuple[float, float, float]], mo
     table = np.array(rules, dtype=float).reshape(-1, 3)
     keys = [*PAIR, *more]
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("open_time")
-        got = positions(g["z"].to_numpy(float), table)
-        return pd.concat([g.assign(entry=e, exit=x, stop=s, desired=got[:, i]) for i, (e, x, s) in enumerate(table)])
+    def run(g: pa.Table) -> pa.Table:
+        g = g.sort_by("open_time")
+        got = positions(g["z"].to_numpy().astype(float), table).astype(np.int8)
+        states = pa.ListArray.from_arrays(np.arange(len(got) + 1, dtype=np.int32) * len(table), got.ravel())
+        return g.append_column("states", states)
 
     slim = frame.select(*keys, "open_time", "beta", F.round("z", digits).alias("z"))
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema) + ", entry double, exit double, stop double, desired long"
-    return slim.groupBy(*keys).applyInPandas(run, ddl)
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema) + ", states array<tinyint>"
+    # A row comes back with the states of all rules; they become rows of their own outside of Python.
+    each = by_groups(slim, *keys).applyInArrow(run, ddl).select(*slim.columns, F.posexplode("states").alias("rule", "state"))
+    rule = F.array(*[F.struct(F.lit(e).alias("entry"), F.lit(x).alias("exit"), F.lit(s).alias("stop")) for e, x, s in table.tolist()])
+    return each.withColumn("_r", F.get(rule, F.col("rule"))).select(*slim.columns, "_r.*", F.col("state").cast("long").alias("desired"))
 
 
-def _episode(state: Column, w: Window) -> Column:
-    return F.sum(state.cast("long")).over(w)
+def _since(event: Column, value: Column, w: Window) -> Column:
+    """The value at the last row with the event, null where it was null there; the window's own sort serves it."""
+    return F.last(F.when(event, F.struct(value.alias("v"))), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))["v"]
 
 
 def cancel_bad_beta(frame: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     """desired is 0 for whole episodes whose first bar's beta is not above 0."""
     w = by_pair(*more)
-    opens = (F.col("desired") != 0) & (F.lag("desired", 1, 0).over(w) == 0)
-    rows = frame.withColumn("_episode", _episode(opens, w))
-    first = F.first("beta").over(Window.partitionBy(*PAIR, *more, "_episode").orderBy("open_time"))
-    good = F.coalesce(first > 0, F.lit(False))
-    return rows.withColumn("desired", F.when(good, F.col("desired")).otherwise(F.lit(0))).drop("_episode")
+    rows = frame.withColumn("_opens", (F.col("desired") != 0) & (F.lag("desired", 1, 0).over(w) == 0))
+    good = F.coalesce(_since(F.col("_opens"), F.col("beta"), w) > 0, F.lit(False))
+    return rows.withColumn("desired", F.when(good, F.col("desired")).otherwise(F.lit(0))).drop("_opens")
 
 
 def fresh_entries(frame: DataFrame, start: Column, more: tuple[str, ...] = (), end: Column | None = None) -> DataFrame:
@@ -89,15 +94,14 @@ def held_weights(frame: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     changes. A new state with a hedge ratio not above 0 is an error."""
     w = by_pair(*more)
     rows = frame.withColumns({"_s": F.lag("desired", 1, 0).over(w), "_b": F.lag("beta").over(w)})
-    rows = rows.withColumn("_run", _episode(F.col("_s") != F.lag("_s", 1, 0).over(w), w))
-    b = F.first("_b").over(Window.partitionBy(*PAIR, *more, "_run").orderBy("open_time"))
-    rows = rows.withColumn("_b", b)
+    rows = rows.withColumn("_changed", F.col("_s") != F.lag("_s", 1, 0).over(w))
+    rows = rows.withColumn("_b", _since(F.col("_changed"), F.col("_b"), w))
     bad = (F.col("_s") != 0) & ~F.coalesce(F.col("_b") > 0, F.lit(False))
     safe = F.when(bad, F.raise_error(F.lit("an entry needs a hedge ratio above 0")).cast("double")).otherwise(F.col("_b"))
     flat = F.col("_s") == 0
     w_y = F.when(flat, 0.0).otherwise(F.col("_s") / (1 + safe))
     w_x = F.when(flat, 0.0).otherwise(-F.col("_s") * safe / (1 + safe))
-    return rows.withColumns({"w_y": w_y, "w_x": w_x}).drop("_s", "_b", "_run")
+    return rows.withColumns({"w_y": w_y, "w_x": w_x}).drop("_s", "_b", "_changed")
 
 
 def turnover(frame: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:

@@ -47,12 +47,13 @@ def grid_signals(pairs: DataFrame, study: Study, more: tuple[str, ...] = ()) ->
     """Desired positions of all parameter sets over all bars of a pair (and of each of ``more``); the filter runs once for these and each delta."""
     spreads = innovation_spread(kalman_hedge(pairs, study.burn_in, study.grid.deltas, more), more)
     rules = [(e, x, s) for e in study.grid.entries for x in study.grid.exits for s in study.grid.stops]
-    out = None
-    for window in study.grid.windows:
-        frame = rolling_zscore(spreads, window, ("delta", *more)).withColumn("window", F.lit(window))
-        got = with_positions(frame, rules, ("delta", "window", *more))
-        out = got if out is None else out.unionByName(got)
-    return cancel_bad_beta(out, (*PARAMS, *more))
+    keys = ("delta", *more)
+    frame = spreads
+    for window in study.grid.windows:  # one sort serves all windows
+        frame = rolling_zscore(frame, window, keys).withColumnRenamed("z", f"_z{window}")
+    each = F.explode(F.array(*[F.struct(F.lit(w).alias("window"), F.col(f"_z{w}").alias("z")) for w in study.grid.windows])).alias("w")
+    frame = frame.select(*PAIR, *keys, "open_time", "beta", each).select(*PAIR, *keys, "open_time", "beta", "w.*")
+    return cancel_bad_beta(with_positions(frame, rules, ("delta", "window", *more)), (*PARAMS, *more))
 
 
 def run_params(signals: DataFrame, market: DataFrame, study: Study, more: tuple[str, ...] = ()) -> DataFrame:

@@ -26,3 +26,9 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def by_groups(df: DataFrame, *keys: str):
+    """df grouped by keys for a function in Python, over as many tasks as a shuffle has: small rows that take long would
+    otherwise be merged into few tasks by their size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).groupBy(*keys)
