@@ -125,6 +125,47 @@ select page_id, cast(n as bigint) as payload_bytes,
 from f
 """
 
+_NEAR = rf"""
+with recursive d as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x20\x09-\x0D]+') as w from documents
+), s as (
+    select distinct doc_id, array_to_string(list_slice(w, i, i + 4), ' ') as g from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from d where len(w) > 0)
+), n as (
+    select doc_id, count(*) as n from s group by doc_id
+), pairs as (
+    select a.doc_id as x, b.doc_id as y, count(*) as common from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all
+), links as (
+    select x, y from pairs join n p on p.doc_id = x join n q on q.doc_id = y where 100 * common >= 85 * (p.n + q.n - common)
+), reach(a, b) as (
+    select doc_id, doc_id from d union select r.a, l.t from reach r join (select x as f, y as t from links union all select y, x from links) l on l.f = r.b
+), c as (
+    select a as doc_id, min(b) as component_id from reach group by a
+)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, component_id, d.doc_id = component_id as kept from d left join n using (doc_id) join c using (doc_id)
+"""
+
+_SHARDS = """
+with recursive polynomial(i, c, k) as (
+    select range, range, 0 from range(256) union all select i, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from polynomial where k < 8
+), steps as (
+    select list(c order by i) as step from polynomial where k = 8
+), jumps(shards, doc_id, key, place) as (
+    select shards, doc_id, ((coalesce(doc_id, 0)::hugeint + 18446744073709551616) % 18446744073709551616)::uhugeint, 0::bigint from (select distinct doc_id from documents), (select unnest([40, 41]) as shards)
+    union all
+    select shards, doc_id, key, goes from (
+        select shards, doc_id, key, floor((place + 1) * (2147483648.0::double / ((key >> 33)::double + 1)))::bigint as goes
+        from (select shards, doc_id, place, (key * 2862933555777941757::uhugeint + 1::uhugeint) % 18446744073709551616::uhugeint as key from jumps)) where goes < shards
+), landed as (
+    select doc_id, cast(max(place) filter (shards = 40) as int) as shard, cast(max(place) filter (shards = 41) as int) as grown_shard from jumps group by doc_id
+), sized as (
+    select doc_id, octet_length(encode(coalesce(text, ''))) + 16 as size, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda b: ('0x' || b)::bigint)),
+        lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1])), 4294967295) as text_crc32 from documents, steps
+)
+select doc_id, cast(size as bigint) as size, cast(text_crc32 as bigint) as text_crc32, 'key' as law, shard,
+    row_number() over (partition by shard order by ('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 7))::bigint % 256, doc_id nulls first, size, text_crc32) - 1 as slot, grown_shard
+from sized join landed using (doc_id)
+"""
+
 _DECONTAM = rf"""
 with d as (
     select doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
@@ -178,4 +219,4 @@ from p left join matched m on p.page_id = m.page_id and m.r = 1
 
 def oracle_sql() -> dict[str, str]:
     """SQL for DuckDB where it can express the operator; the others are tested against brute force."""
-    return {"op2_chat": _CHAT, "op6_warc": _WARC, "op9_decontaminate": _DECONTAM, "op10_url_lists": _URLS}
+    return {"op2_chat": _CHAT, "op3_near_duplicates": _NEAR, "op7_shards": _SHARDS, "op6_warc": _WARC, "op9_decontaminate": _DECONTAM, "op10_url_lists": _URLS}

@@ -44,7 +44,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
     """One row per row of docs: the id, size (UTF-8 bytes of the text and 16), text_crc32, law "key", shard, slot
     (gapless from 0 in a shard) and grown_shard, where the row is with one more shard.
 
-    A slot is the number of rows in the shard's earlier ranges of hashed ids, from a first pass that reads only
+    A slot is the number of rows in the shard's earlier ranges of ids' MD5, from a first pass that reads only
     ids, plus the place in its own range; so no task orders a whole shard. There are ``ranges`` a shard, by default
     RANGES or as many as RANGE_ROWS asks for; the table of their starts is broadcast up to BROADCAST_ROWS rows. Ids that are no integers count by
     their xxhash64. Null ids all have key 0; null texts have 0 bytes. Repeated ids share a shard and have slots of
@@ -54,7 +54,8 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     if ranges is None:
         ranges = max(RANGES, -(-docs.count() // (shards * RANGE_ROWS)))
-    span = F.pmod(F.xxhash64(F.col("id")), F.lit(ranges)).cast("int")
+    spread = F.conv(F.substring(F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")), 1, 7), 16, 10).cast("long")
+    span = F.pmod(spread, F.lit(ranges)).cast("int")
     placed = rows.withColumns({"shard": jump_shard(key, shards), "span": span})
     counts = placed.groupBy("shard", "span").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
