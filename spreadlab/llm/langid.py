@@ -28,7 +28,8 @@ PER_LANGUAGE, SAMPLE_ROWS, SAMPLE_CHARS = 300, 19_200, 20_000
 #: More languages are an error: none is left out, and the table of scores stays below 70 MB.
 MAX_LANGUAGES = 256
 REJECTED_SHARE = 0.002
-_MOST_CERTAIN, _KNOWN_SLACK = 0.9, 0.9
+#: Thresholds are below what the held-back rows have by these shares of the way from a guess, so that odd but clean texts stay.
+_CERTAIN_SLACK, _KNOWN_SLACK = 0.7, 0.9
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
 _PLAIN = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -137,7 +138,8 @@ def train(sample: list[tuple[str, str]], seed: int = 11, epochs: int = 4, rate:
         p = probabilities(model.temperature)
         right = p.argmax(axis=1) == y
         if right.any():
-            model.threshold = float(min(_MOST_CERTAIN, np.quantile(p.max(axis=1)[right], REJECTED_SHARE)))
+            guess = 1 / n
+            model.threshold = guess + _CERTAIN_SLACK * (float(np.quantile(p.max(axis=1)[right], REJECTED_SHARE)) - guess)
             model.least_known = _KNOWN_SLACK * float(np.quantile([k for _, k in got], REJECTED_SHARE))
     return model
 
