@@ -71,7 +71,7 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     revisit = F.col("first_id").isNotNull()
     # The payload is cut once into an array of chunks; after the explode no row has more than one of them.
     chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.octet_length("payload") / chunk_bytes).cast("int") - 1)), lambda i: F.substring("payload", i * chunk_bytes + 1, F.lit(chunk_bytes)))
-    chunks = F.when(revisit, F.array(F.lit("").cast("binary"))).otherwise(chunks)
+    chunks = F.when(revisit, F.array(F.lit("").cast("binary"))).when(F.octet_length("payload") <= chunk_bytes, F.array("payload")).otherwise(chunks)
     cut = rows.select("id", "url", "first_id", base32(F.col("sha")).alias("digest"), F.octet_length("payload").alias("size"), chunks.alias("chunks"))
     parts = cut.select("id", "url", "first_id", "digest", "size", F.size("chunks").alias("segments"), F.posexplode("chunks").alias("segment", "chunk"))
     parts = parts.withColumn("segment", F.col("segment") + 1)
