@@ -22,16 +22,18 @@ from pyspark.sql import functions as F
 from .common import lower_az, written
 
 WINDOW, GRAM = 10, 5
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
-    """Lower-case (A-Z only) runs of letters and digits; everything outside ASCII counts as a letter."""
-    return F.regexp_extract_all(lower_az(F.coalesce(text, F.lit(""))), F.lit(_WORD), F.lit(0))
+    """Lower-case (A-Z only) runs of letters and digits; everything outside ASCII counts as a letter.
+
+    The text is split at the runs between them, for collecting the matches of a pattern takes six times as long."""
+    return F.array_remove(F.split(lower_az(F.coalesce(text, F.lit(""))), _BETWEEN), "")
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(lower_az(F.coalesce(text, F.lit(""))), F.lit(_WORD)).cast("long")
+    return F.size(words(text)).cast("long")
 
 
 def _runs(values: Column, width: int, make) -> Column:
