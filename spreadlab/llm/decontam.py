@@ -37,9 +37,11 @@ def word_count(text: Column) -> Column:
 
 
 def _runs(values: Column, width: int, make) -> Column:
-    """make(run) for each run of ``width`` values; none where there are fewer."""
-    starts = F.when(F.size(values) >= width, F.sequence(F.lit(1), F.size(values) - (width - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: make(F.slice(values, i, width)))
+    """make(place, columns) for each run of ``width`` values; none where there are fewer.
+
+    The run comes as ``width`` columns, not as a slice, which would be a new array at each place."""
+    starts = F.when(F.size(values) >= width, F.sequence(F.lit(0), F.size(values) - width)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: make(i, [F.get(values, i + j) for j in range(width)]))
 
 
 def _bound(value: Column, make) -> Column:
@@ -49,19 +51,18 @@ def _bound(value: Column, make) -> Column:
 
 def fingerprints(ws: Column, window: int = WINDOW, gram: int = GRAM) -> Column:
     """Distinct least gram hashes of all sliding windows of grams."""
-    grams = _bound(ws, lambda w: _runs(w, gram, lambda g: F.xxhash64(g)))
-    return F.array_distinct(_bound(grams, lambda gs: _runs(gs, window - gram + 1, lambda r: F.array_min(r))))
+    least = lambda _, hashes: F.least(*hashes) if len(hashes) > 1 else hashes[0]
+    grams = _bound(ws, lambda w: _runs(w, gram, lambda _, g: F.xxhash64(*g)))
+    return F.array_distinct(_bound(grams, lambda gs: _runs(gs, window - gram + 1, least)))
 
 
 def windows(ws: Column, widths: list[int]) -> Column:
     """array<struct<pos,width,one,two>>: place and two hashes of each window of each of the widths."""
 
-    def of(w: Column, width: int) -> Column:
-        starts = F.when(F.size(w) >= width, F.sequence(F.lit(0), F.size(w) - width)).otherwise(F.array().cast("array<int>"))
-        run = lambda i: F.slice(w, i + 1, width)
-        return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.lit(width).alias("width"), F.xxhash64(run(i)).alias("one"), F.xxhash64(F.lit(7), run(i)).alias("two")))
+    def of(width: int):
+        return lambda i, run: F.struct(i.alias("pos"), F.lit(width).alias("width"), F.xxhash64(*run).alias("one"), F.xxhash64(F.lit(7), *run).alias("two"))
 
-    return _bound(ws, lambda w: F.concat(*[of(w, width) for width in widths]))
+    return _bound(ws, lambda w: F.concat(*[_runs(w, width, of(width)) for width in widths]))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
