@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, fingerprint, langid, minhash, packing, sharding, tokencount, urllist, warc
+from . import bestfit, chat, decontam, fim, fingerprint, langid, minhash, packing, sharding, tokencount, trie, urllist, warc
 from .common import new_path, table
 
 
@@ -80,6 +80,21 @@ def op10_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urllist.filter_urls(captures, list_entries(pages))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outputs = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    back = fim.restore(outputs.withColumn("output_sha256", F.sha2(F.col("output").cast("binary"), 256)), keep=["doc_id", "n", "prefix_chars", "middle_chars", "form", "output_sha256"])
+    return back.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", F.sha2(F.col("restored").cast("binary"), 256).alias("restored_sha256"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = bestfit.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset", "certified")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,7 +102,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_pack, op2_chat, op3_near_duplicates, op4_fingerprints, op5_token_counts, op6_warc, op7_shards, op8_language, op9_decontaminate, op10_url_lists)
+    ops = (op1_pack, op2_chat, op3_near_duplicates, op4_fingerprints, op5_token_counts, op6_warc, op7_shards, op8_language, op9_decontaminate, op10_url_lists, op11_fill_in_middle, op12_prefix_trie, op13_best_fit)
     return {f.__name__: f for f in ops} | {"pipeline": pipeline}
 
 
@@ -217,6 +232,67 @@ from p left join matched m on p.page_id = m.page_id and m.r = 1
 """
 
 
+_FIM = r"""
+with d as (
+    select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as w, sha256('42:' || coalesce(cast(doc_id as varchar), '')) as x from documents
+), h as (
+    select doc_id, t, w, len(w) as n, ('0x' || substr(x, 1, 8))::bigint as h1, ('0x' || substr(x, 9, 8))::bigint as h2, ('0x' || substr(x, 17, 8))::bigint as h3, ('0x' || substr(x, 25, 8))::bigint as h4 from d
+), c as (
+    select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+        case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 50 then 'plain' when h4 % 100 < 80 then 'spm' else 'psm' end as form
+    from h
+), p as (
+    select *, array_to_string(list_slice(w, 1, a), '') as prefix, array_to_string(list_slice(w, a + 1, b), '') as middle, array_to_string(list_slice(w, b + 1, n), '') as suffix from c
+)
+select doc_id, cast(n as bigint) as n, form, cast(case when form <> 'plain' then length(prefix) end as bigint) as prefix_chars, cast(case when form <> 'plain' then length(middle) end as bigint) as middle_chars,
+    sha256(case form when 'plain' then t when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+    sha256(t) as restored_sha256
+from p
+"""
+
+_TRIE = """
+with recursive polynomial(i, c, k) as (
+    select range, range, 0 from range(256) union all select i, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from polynomial where k < 8
+), steps as (
+    select list(c order by i) as step from polynomial where k = 8
+), texts as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null
+), hashed as (
+    select conv_id, turn, role, length(text) as n, sha256(length(role) || ':' || role || text) as sha from texts
+), t as (
+    select conv_id, sha, n, row_number() over (partition by conv_id order by turn nulls first, role, sha) as k from hashed
+), convs as (
+    select conv_id, conv_id - conv_id % 100 as base, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(cast(conv_id as varchar)), '..'), lambda b: ('0x' || b)::bigint)),
+        lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1])), 4294967295) % 6 as h from (select distinct conv_id from t), steps
+), parts as (
+    select c.conv_id, 0 as own, k, sha, n from convs c join t on t.conv_id = c.base where k <= h
+    union all select c.conv_id, 1, k, sha, n from convs c join t using (conv_id) where k > h
+), placed as (
+    select *, row_number() over (partition by conv_id order by own, k) as d from parts
+), paths as (
+    select conv_id, 0 as d, '' as p, 0 as n from convs
+    union all select conv_id, d, sha256(string_agg(sha, '') over (partition by conv_id order by d rows between unbounded preceding and current row)), n from placed
+), lengths as (
+    select conv_id, max(d) as total from paths group by conv_id
+), nodes as (
+    select p, d, min(conv_id) as conv_id, count(*) as n_convs, (count(*) - 1) * max(n) as saved,
+        sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (total = d), '')) as ends_sha256
+    from paths join lengths using (conv_id) group by p, d
+), parents as (
+    select x.*, q.p as parent from nodes x left join paths q on q.conv_id = x.conv_id and q.d = x.d - 1
+), children as (
+    select parent as p, count(*) as n_children from parents where parent is not null group by parent
+), own as (
+    select x.*, coalesce(n_children, 0) as n_children from parents x left join children using (p)
+), below as (
+    select q.p, sum(case when n_children = 0 then 1 else 0 end) as n_leaves, sum(saved) as saved_tokens from own x join paths q on q.conv_id = x.conv_id and q.d <= x.d group by q.p
+)
+select x.conv_id, cast(x.d as bigint) as depth, u.conv_id as parent_conv_id, cast(x.n_convs as bigint) as n_convs, cast(x.n_children as bigint) as n_children,
+    cast(n_leaves as bigint) as n_leaves, cast(saved_tokens as bigint) as saved_tokens, x.ends_sha256
+from own x join below using (p) left join nodes u on u.p = x.parent
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for DuckDB where it can express the operator; the others are tested against brute force."""
-    return {"op2_chat": _CHAT, "op3_near_duplicates": _NEAR, "op7_shards": _SHARDS, "op6_warc": _WARC, "op9_decontaminate": _DECONTAM, "op10_url_lists": _URLS}
+    return {"op2_chat": _CHAT, "op3_near_duplicates": _NEAR, "op7_shards": _SHARDS, "op6_warc": _WARC, "op9_decontaminate": _DECONTAM, "op10_url_lists": _URLS, "op11_fill_in_middle": _FIM, "op12_prefix_trie": _TRIE}
