@@ -55,16 +55,19 @@ def position_step(pos: int, armed: bool, z: float, entry: float, exit: float, st
 
 
 def positions(z: np.ndarray, rules: np.ndarray) -> np.ndarray:
-    """(bars, rules) positions for many (entry, exit, stop) at once, one pass over the bars."""
+    """Positions for many (entry, exit, stop) at once, one pass over the bars: (bars, rules), or (bars, series, rules) for z of several series."""
     entry, exit, stop = rules.T
-    pos, armed = np.zeros(len(rules), dtype=np.int64), np.zeros(len(rules), dtype=bool)
-    out = np.zeros((len(z), len(rules)), dtype=np.int64)
-    for i, v in enumerate(z):
-        if v == v:
-            flat, inside = pos == 0, abs(v) < entry
+    series = z.reshape(len(z), -1, 1)
+    pos, armed = np.zeros((series.shape[1], len(rules)), dtype=np.int8), np.zeros((series.shape[1], len(rules)), dtype=bool)
+    out = np.zeros((len(z), *pos.shape), dtype=np.int8)
+    for i, v in enumerate(series):
+        known = v == v
+        if known.any():
+            far, flat = np.abs(v), pos == 0
+            inside = far < entry
             leaves = np.where(pos < 0, (v >= stop) | (v <= exit), (v <= -stop) | (v >= -exit))
-            goes = flat & ~inside & armed & (abs(v) < stop)
-            pos = np.where(goes, -1 if v > 0 else 1, np.where(~flat & leaves, 0, pos))
-            armed = np.where(flat, inside, armed)
+            goes = flat & ~inside & armed & (far < stop)
+            pos = np.where(known, np.where(goes, np.where(v > 0, -1, 1), np.where(~flat & leaves, 0, pos)), pos).astype(np.int8)
+            armed = np.where(known & flat, inside, armed)
         out[i] = pos
-    return out
+    return out[:, 0] if z.ndim == 1 else out

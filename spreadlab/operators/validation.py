@@ -8,18 +8,17 @@ from pyspark.sql import functions as F
 
 from ..config import Grid, Study
 from ..shared import stored
+from . import grid
 from .backtest import backtest, book_size, portfolio_curve
-from .metrics import sharpe, with_episodes
+from .grid import PARAMS
+from .metrics import sharpe
 from .panel import PAIR, both_ways
 from .screen import fold_books
-from .signals import cancel_bad_beta, fresh_entries, innovation_spread, kalman_hedge, with_positions
-from .stats import rolling_zscore
+from .signals import fresh_entries
 
-PARAMS = ("delta", "window", "entry", "exit", "stop")
 
-
-def param_grid(spark: SparkSession, grid: Grid) -> DataFrame:
-    return spark.createDataFrame(grid.product(), "delta double, window int, entry double, exit double, stop double")
+def param_grid(spark: SparkSession, sets: Grid) -> DataFrame:
+    return spark.createDataFrame(sets.product(), "delta double, window int, entry double, exit double, stop double")
 
 
 def make_folds(calendar: DataFrame, train_bars: int, test_bars: int) -> DataFrame:
@@ -43,40 +42,17 @@ def fold_assignment(bars: DataFrame, folds: DataFrame) -> DataFrame:
     return bars.join(F.broadcast(folds), inside).withColumn("part", F.when(F.col("open_time") < F.col("test_start"), "train").otherwise("test"))
 
 
-def grid_signals(pairs: DataFrame, study: Study, more: tuple[str, ...] = ()) -> DataFrame:
-    """Desired positions of all parameter sets over all bars of a pair (and of each of ``more``); the filter runs once for these and each delta."""
-    spreads = innovation_spread(kalman_hedge(pairs, study.burn_in, study.grid.deltas, more), more)
-    rules = [(e, x, s) for e in study.grid.entries for x in study.grid.exits for s in study.grid.stops]
-    keys = ("delta", *more)
-    frame = spreads
-    for window in study.grid.windows:  # one sort serves all windows
-        frame = rolling_zscore(frame, window, keys).withColumnRenamed("z", f"_z{window}")
-    each = F.explode(F.array(*[F.struct(F.lit(w).alias("window"), F.col(f"_z{w}").alias("z")) for w in study.grid.windows])).alias("w")
-    frame = frame.select(*PAIR, *keys, "open_time", "beta", each).select(*PAIR, *keys, "open_time", "beta", "w.*")
-    return cancel_bad_beta(with_positions(frame, rules, ("delta", "window", *more)), (*PARAMS, *more))
-
-
-def run_params(signals: DataFrame, market: DataFrame, study: Study, more: tuple[str, ...] = ()) -> DataFrame:
-    """Backtests of every parameter set. market: pair, open_time, prices and rates."""
-    keys = (*PARAMS, *more)
-    return backtest(signals.join(market, [*PAIR, "open_time"]), study, more=keys)
+def run_params(market: DataFrame, study: Study, more: tuple[str, ...] = (), names: tuple[str, ...] = ("net",)) -> DataFrame:
+    """Backtests of every parameter set, as arrays by set: the parts in ``names``. market: pair, open_time, prices and rates."""
+    return grid.grid_parts(grid.grid_signals(market, study, more), study, more, names)
 
 
 def grid_search(results: DataFrame, study: Study, more: tuple[str, ...] = ()) -> DataFrame:
-    """net, sharpe, trades and eligibility of each parameter set's portfolio, ranked within ``more``."""
-    keys = (*more, *PARAMS)
-    size = book_size(results, more)
-    n = F.col("n_pairs")
-    joined = results.crossJoin(F.broadcast(size)) if not more else results.join(size, [*more])
-    port = joined.groupBy(*keys, "open_time").agg((F.sum("net") / F.first(n)).alias("net"), F.first(n).alias("n_pairs"))
-    stats = port.groupBy(*keys).agg(F.sum("net").alias("net"), sharpe("net", study.bars_per_year).alias("sharpe"), F.count(F.lit(1)).alias("bars"), F.first("n_pairs").alias("n_pairs"))
-    trades = with_episodes(results, (*PAIR, *keys)).groupBy(*keys).agg(F.sum("opens").alias("trades"))
-    out = stats.join(trades, [*keys])
-    floor = study.trades_per_year * F.col("bars") / study.bars_per_year * F.col("n_pairs")
-    out = out.withColumn("eligible", F.col("trades") >= floor)
+    """net, sharpe, trades and eligibility of each parameter set's portfolio, ranked within ``more``. results: arrays by set."""
+    out = grid.grid_portfolios(results, study, more)
     # Sets that trade alike differ in the last bits of their sums only: they are ties, which the parameters decide.
     w = Window.partitionBy(*more).orderBy(F.round("sharpe", 9).desc_nulls_last(), *PARAMS)
-    return out.withColumn("place", F.row_number().over(w)).drop("n_pairs")
+    return out.withColumn("place", F.row_number().over(w))
 
 
 def grid_best(searched: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
@@ -85,10 +61,10 @@ def grid_best(searched: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     return searched.where("eligible and sharpe is not null").withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def static_split(pairs: DataFrame, market: DataFrame, study: Study, cutoff: Column) -> DataFrame:
+def static_split(market: DataFrame, study: Study, cutoff: Column) -> DataFrame:
     """The best set on bars before ``cutoff``, run once over the whole span: its portfolio with the part of each bar.
-    An error where no set is eligible."""
-    chosen = static_results(pairs, market, study, cutoff)[2]
+    No rows where no set is eligible."""
+    chosen = static_results(market, study, cutoff)[2]
     return with_part(portfolio_curve(chosen, book_size(chosen)), cutoff)
 
 
@@ -96,19 +72,12 @@ def with_part(curve: DataFrame, cutoff: Column) -> DataFrame:
     return curve.withColumn("part", F.when(F.col("open_time") < cutoff, "train").otherwise("test"))
 
 
-def static_results(pairs: DataFrame, market: DataFrame, study: Study, cutoff: Column) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(the grid on the bars before ``cutoff``, its best set, the results of that set over the whole span, the results of all sets)."""
-    results = stored(run_params(grid_signals(pairs, study), market, study), "results")
+def static_results(market: DataFrame, study: Study, cutoff: Column) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(the grid on the bars before ``cutoff``, its best set, the results of that set over the whole span, the results of all sets as arrays)."""
+    results = stored(run_params(market, study), "results")
     searched = stored(grid_search(results.where(F.col("open_time") < cutoff), study), "grid")
     best = grid_best(searched)
-    if best.isEmpty():
-        raise ValueError("no parameter set of the training bars is eligible")
-    return searched, best, set_results(results, best), results
-
-
-def set_results(results: DataFrame, best: DataFrame) -> DataFrame:
-    """The results of the sets in ``best``, by all five parameters."""
-    return results.join(F.broadcast(best.select(*PARAMS)), [*PARAMS], "left_semi")  # one row a fold at most
+    return searched, best, grid.set_results(results, best, study), results
 
 
 def fold_counts(folds: DataFrame) -> DataFrame:
@@ -132,18 +101,15 @@ def walkforward(pairs: DataFrame, market: DataFrame, calendar: DataFrame, study:
     market = stored(market, "market")
     books = stored(fold_books(market.select(*pairs.columns), folds, study).select("fold", *PAIR), "books")
     sizes = book_size(books, ("fold",))
-    prices = both_ways(market)
     inside = (F.col("open_time") >= F.col("train_start")) & (F.col("open_time") < F.col("test_end"))
-    spans = books.join(F.broadcast(folds), "fold")  # max_pairs rows a fold
-    span = prices.join(spans, [*PAIR]).where(inside).select("fold", *PAIR, "open_time", "close_y", "close_x")
+    spans = books.join(folds, "fold")
+    span = both_ways(market).join(spans, [*PAIR]).where(inside).drop("train_start", "test_start", "test_end")
     dates = folds.select("fold", "test_start", "test_end")
-    signals = stored(grid_signals(span, study, ("fold",)), "signals").join(F.broadcast(dates), "fold")
-    train = signals.where(F.col("open_time") < F.col("test_start")).drop("test_start", "test_end")
-    searched = grid_search(run_params(train, prices, study, ("fold",)), study, ("fold",))
+    results = stored(run_params(span, study, ("fold",)), "results").join(dates, "fold")
+    searched = grid_search(results.where(F.col("open_time") < F.col("test_start")), study, ("fold",))
     best = stored(grid_best(searched, ("fold",)).select("fold", *PARAMS, F.col("sharpe").alias("train_sharpe")), "best")
-    chosen = signals.join(F.broadcast(best.drop("train_sharpe")), ["fold", *PARAMS])  # a row a fold
-    chosen = fresh_entries(chosen, F.col("test_start"), ("fold",), F.col("test_end"))
-    traded = run_params(chosen.drop("test_end"), prices, study, ("fold",)).where(F.col("open_time") >= F.col("test_start"))
+    chosen = fresh_entries(grid.set_signals(results, best, study, ("fold",)), F.col("test_start"), ("fold",), F.col("test_end"))
+    traded = backtest(chosen, study, more=("fold",)).where(F.col("open_time") >= F.col("test_start"))
     curve = stored(portfolio_curve(traded, sizes, ("fold",)), "curve")
     stats = curve.groupBy("fold").agg(F.sum("net").alias("test_net"), sharpe("net", study.bars_per_year).alias("test_sharpe"))
     out = folds.join(sizes, "fold", "left").join(best, "fold", "left").join(stats, "fold", "left")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import SMALL as S
 from ..operators import backtest as bt
-from ..operators import gaps, metrics, panel, robustness, screen, signals, stats, validation
+from ..operators import gaps, grid, metrics, panel, robustness, screen, signals, stats, validation
 from ..operators.panel import PAIR
 from ..shared import stored
 from ..sources import bars as src
@@ -558,13 +558,13 @@ def _(spark, d):
     return out.groupBy("fold", "symbol", "part").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("close"), 4).alias("total"))
 
 
-def _grid_results(x: Data) -> DataFrame:
-    return validation.run_params(validation.grid_signals(x.pairs, S), x.market, S)
+def _grid_results(x: Data, names: tuple[str, ...] = ("net",)) -> DataFrame:
+    return validation.run_params(x.market, S, names=names)
 
 
 @_register("run_params", sql.query(f"select leg_y, leg_x, {grid_sql.PARAMS}, {', '.join(f'round(sum({p}), 6) as {p}' for p in _PARTS)}, abs(sum(net) - (sum(gross) - sum(fee) - sum(slip) + sum(funding) - sum(borrow))) < 1e-9 as reconciled from bt group by all", *grid_sql.GRID))
 def _(spark, d):
-    return rounded(bt.totals(_grid_results(Data(spark, d)), (*PAIR, *validation.PARAMS)), *_PARTS)
+    return rounded(grid.grid_totals(_grid_results(Data(spark, d), bt.PARTS), S), *_PARTS)
 
 
 @_register("grid_search", sql.query(f"select {grid_sql.PARAMS}, {_r('net', 'sharpe')}, bars, trades, eligible, cast(place as int) as place from grid", *grid_sql.GRID, grid_sql.searched('bt', 'grid')))
@@ -593,7 +593,7 @@ curve as (
     round({grid_sql.SHARPE}, 6) as sharpe, round(min(drawdown), 6) as max_drawdown, count(*) as bars from parts group by part""", *grid_sql.GRID, grid_sql.searched('bt', 'grid', _TRAIN), grid_sql.best('grid'), _CHOSEN))
 def _(spark, d):
     x = Data(spark, d)
-    curve = validation.static_split(x.pairs, x.market, S, F.lit(_CUTOFF).cast("timestamp_ntz"))
+    curve = validation.static_split(x.market, S, F.lit(_CUTOFF).cast("timestamp_ntz"))
     return rounded(metrics.summarize(curve, S.bars_per_year, ("part",), weights=False), "net", "gross", "costs", "funding", "sharpe", "max_drawdown")
 
 

@@ -221,8 +221,10 @@ def backtest(store: Store) -> str:
 
 def _split(store: Store) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     book = stored(bt.with_funding(store.of_book(store.pairs()), store.rates()), "book")
-    prices = book.select(*PAIR, "open_time", "close_y", "close_x")
-    return validation.static_results(prices, book, store.study, store.cutoff)
+    found = validation.static_results(book, store.study, store.cutoff)
+    if found[1].isEmpty():
+        raise ValueError("no parameter set of the training bars is eligible")
+    return found
 
 
 def validate(store: Store) -> str:
