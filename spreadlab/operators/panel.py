@@ -45,11 +45,21 @@ def pair_candidates(bars: DataFrame) -> DataFrame:
     return s.select(F.col("symbol").alias("leg_y")).join(F.broadcast(s.select(F.col("symbol").alias("leg_x"))), F.col("leg_y") < F.col("leg_x"))
 
 
-def pair_align(bars: DataFrame, fields: tuple[str, ...] = ("close",)) -> DataFrame:
-    """Bars that both legs have, one equality join on time."""
-    y = bars.select("open_time", F.col("symbol").alias("leg_y"), *[F.col(f).alias(f"{f}_y") for f in fields])
-    x = bars.select("open_time", F.col("symbol").alias("leg_x"), *[F.col(f).alias(f"{f}_x") for f in fields])
-    return y.join(x, "open_time").where("leg_y < leg_x").dropna(subset=[c for c in (*y.columns, *x.columns)])
+def pair_align(bars: DataFrame, fields: tuple[str, ...] = ("close",), wanted: list[tuple[str, str]] | None = None) -> DataFrame:
+    """Bars that both legs have. The panel is shuffled once, by time; a bar's symbols, which are few, then meet in pairs a < b inside
+    their row. With ``wanted`` only these pairs, either way round, are made."""
+    rows = bars.dropna(subset=["open_time", "symbol", *fields])
+    if wanted is not None:
+        rows = rows.where(F.col("symbol").isin(sorted({s for p in wanted for s in p})))
+    side = F.array_sort(F.collect_list(F.struct("symbol", *fields)))
+    at = rows.groupBy("open_time").agg(side.alias("_s"))
+    later = F.transform("_s", lambda y, i: F.transform(F.slice("_s", i + 2, F.size("_s")), lambda x: F.struct(y.alias("y"), x.alias("x"))))
+    pair = at.select("open_time", F.explode(F.flatten(later)).alias("_p")).where("_p.y.symbol < _p.x.symbol")
+    out = pair.select("open_time", *[F.col(f"_p.{leg}.{f}").alias(n) for leg in ("y", "x") for f, n in (("symbol", f"leg_{leg}"), *((f, f"{f}_{leg}") for f in fields))])
+    if wanted is not None:
+        some = F.array(*[F.struct(F.lit(min(p)).alias("leg_y"), F.lit(max(p)).alias("leg_x")) for p in wanted])
+        out = out.where(F.array_contains(some, F.struct("leg_y", "leg_x")))
+    return out
 
 
 def both_ways(frame: DataFrame) -> DataFrame:

@@ -91,8 +91,9 @@ class Store:
     def pairs(self, end: Column | None = None) -> DataFrame:
         return panel.pair_align(self.bars(end=end), ("close", "open"))
 
-    def of_book(self, pairs: DataFrame) -> DataFrame:
-        """The book's pairs, each in the book's direction."""
+    def of_book(self, end: Column | None = None) -> DataFrame:
+        """The book's pairs, each in the book's direction; no others are made."""
+        pairs = panel.pair_align(self.bars(end=end), ("close", "open"), wanted=list(self.study.book))
         book = self.spark.createDataFrame(list(self.study.book), "leg_y string, leg_x string")
         return panel.both_ways(pairs).join(F.broadcast(book), [*PAIR], "left_semi")  # the book is a setting
 
@@ -186,7 +187,7 @@ SIGNAL = "leg_y string, leg_x string, open_time timestamp_ntz, beta double, spre
 def make_signals(store: Store) -> str:
     """Signals of the book on the training bars."""
     study = store.study
-    frame = stored(signals.signal_frame(store.of_book(store.pairs(store.cutoff)), study.burn_in, (study.delta,), study.window), "frame")
+    frame = stored(signals.signal_frame(store.of_book(store.cutoff), study.burn_in, (study.delta,), study.window), "frame")
     rule = (study.entry, study.exit, study.stop)
     rows = signals.cancel_bad_beta(signals.with_positions(frame, [rule], ("delta",)), ("delta",))
     rows = stored(rows.select(*PAIR, "open_time", "beta", "z", "desired").join(frame.select(*PAIR, "open_time", "spread"), [*PAIR, "open_time"]), "signals")
@@ -220,7 +221,7 @@ def backtest(store: Store) -> str:
 
 
 def _split(store: Store) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    book = stored(bt.with_funding(store.of_book(store.pairs()), store.rates()), "book")
+    book = stored(bt.with_funding(store.of_book(), store.rates()), "book")
     found = validation.static_results(book, store.study, store.cutoff)
     if found[1].isEmpty():
         raise ValueError("no parameter set of the training bars is eligible")
@@ -286,7 +287,7 @@ def stress(store: Store) -> str:
         curve = bt.portfolio_curve(chosen, len(study.book)).where(F.col("open_time") >= cut)
         regimes = robustness.regime_slices(curve, store.bars((study.factor,)), study.regime_window, year)
         parts.append((f"Regimes of {study.factor}", report.table(regimes.orderBy("regime"), _SHOWN)))
-    windows = screen.rolling_eg(store.of_book(store.pairs()), study.eg_window, study.eg_step)
+    windows = screen.rolling_eg(store.of_book(), study.eg_window, study.eg_step)
     parts.append((f"Cointegration over {study.eg_window} bars", report.table(screen.rolling_eg_summary(windows, study.adf_alpha).orderBy(*PAIR), _SHOWN)))
     return store.write_report("robustness", report.document("Robustness", ("", "All on the test bars, after the choice was made."), *parts))
 
