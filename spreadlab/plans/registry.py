@@ -14,9 +14,9 @@ from ..config import SMALL as S
 from ..operators import backtest as bt
 from ..operators import gaps, grid, metrics, panel, robustness, screen, signals, stats, validation
 from ..operators.panel import PAIR
-from ..shared import stored
+from ..shared import fresh_path, stored
 from ..sources import bars as src
-from ..sources import upsert
+from ..sources import upsert, versions
 from . import grid_sql, sql
 
 HOUR, DAY = 3600, 86400
@@ -724,6 +724,96 @@ def _(spark, d):
     return rounded(robustness.grid_robustness(*halves, validation.PARAMS), "spearman", "least", "most", "share_positive")
 
 
+# Tables as the stages keep them: written as versions in the shared folder and read back.
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def _read_back(df: DataFrame, tag: str, month_of: str | None = None) -> DataFrame:
+    path = fresh_path(df.sparkSession, tag)
+    versions.replace(df, path, month_of)
+    return versions.read(df.sparkSession, path, _ddl(df), month_of=month_of)
+
+
+@_register("table_pair_screen", _SQL["pair_screen"])
+def _(spark, d):
+    return rounded(_read_back(screen.pair_screen(Data(spark, d).pairs, S), "pair_screen"), "alpha", "beta", "eg_p", "eg_p_max", "half_life_bars", "ret_corr")
+
+
+@_register("table_pair_signal", _SQL["pair_signals"])
+def _(spark, d):
+    return rounded(_read_back(Data(spark, d).signalled.select(*PAIR, "open_time", "beta", "z", "desired"), "pair_signal", "open_time"), "beta", "z")
+
+
+@_register("table_pair_backtest", _SQL["backtest_close"])
+def _(spark, d):
+    rows = Data(spark, d).results.select(*PAIR, "open_time", "w_y", "w_x", "turnover", *_PARTS)
+    return rounded(_read_back(rows, "pair_backtest", "open_time"), "w_y", "w_x", "turnover", *_PARTS, digits=11)
+
+
+def _rewritten(spark: SparkSession, d: str) -> tuple[str, str]:
+    """A table of days, of which a second version rewrites the later ones; its path and schema."""
+    days = Data(spark, d).days.select("symbol", "open_time", "close", F.when(F.col("n_trades") % 3 != 0, F.round("volume", 2)).alias("volume"))
+    again = days.where(F.col("open_time") >= F.lit("1998-01-01").cast("timestamp_ntz")).withColumns({"close": F.col("close") * 0.5, "batch": F.lit(2)})
+    path, ddl = fresh_path(spark, "days"), _ddl(days)
+    versions.replace(days, path, "open_time")
+    versions.update(spark, path, ddl, lambda there: upsert.keep_last(there.withColumn("batch", F.lit(1)).unionByName(again), ["symbol", "open_time"], ["batch"]).drop("batch"), month_of="open_time")
+    return path, ddl
+
+
+@_register("table_upsert", _SQL["upsert_keep_last"])
+def _(spark, d):
+    path, ddl = _rewritten(spark, d)
+    return versions.read(spark, path, ddl, month_of="open_time")
+
+
+@_register("table_version", sql.query("select symbol, open_time, close, case when n_trades % 3 <> 0 then round(volume, 2) end as volume from days", *sql.DAILY))
+def _(spark, d):
+    path, ddl = _rewritten(spark, d)
+    return versions.read(spark, path, ddl, 1, "open_time")
+
+
+@_register("table_span", sql.query("select symbol, open_time, close from days where open_time >= timestamp '1995-06-15' and open_time < timestamp '1997-03-02'", *sql.DAILY))
+def _(spark, d):
+    path, ddl = _rewritten(spark, d)
+    span = [F.lit(x).cast("timestamp_ntz") for x in ("1995-06-15", "1997-03-02")]
+    return versions.read(spark, path, ddl, month_of="open_time", start=span[0], end=span[1]).select("symbol", "open_time", "close")
+
+
+@_register("table_append", _SQL["upsert_keep_first"])
+def _(spark, d):
+    b = Data(spark, d).bars.select("symbol", "open_time", "close")
+    cut = F.lit("2024-01-10").cast("timestamp_ntz")
+    fresh = b.where(F.col("open_time") >= F.lit("2024-01-05").cast("timestamp_ntz")).withColumn("close", F.col("close") + 1)
+    path, key = fresh_path(spark, "bars"), ["symbol", "open_time"]
+    versions.replace(b.where(F.col("open_time") < cut), path, "open_time")
+    versions.update(spark, path, _ddl(b), lambda there: fresh.join(there.select(*key), key, "left_anti").select(*b.columns), append=True, month_of="open_time")
+    return versions.read(spark, path, _ddl(b), month_of="open_time")
+
+
+@_register("parse_premium", "select event_type as symbol, ts - (epoch_us(ts) % 1000) * interval 1 microsecond as open_time, value as open, value + 1 as high, value - 1 as low, value as close from events")
+def _(spark, d):
+    e = Data(spark, d).events
+    price = lambda k: F.concat(F.lit('"'), (F.col("value").cast("decimal(38,2)") + k).cast("string"), F.lit('"'))
+    ms = F.unix_millis(F.col("ts").cast("timestamp")).cast("string")
+    raw = F.concat(F.lit("["), F.array_join(F.array(ms, price(0), price(1), price(-1), price(0), F.lit('"0"'), ms), ", "), F.lit("]"))
+    return _doubles(src.parse_premium(e.select(F.col("event_type").alias("symbol"), raw.alias("raw"))))
+
+
+@_register("parse_catalogue", "select event_type || '-' || event_id as symbol, event_type as base_asset, cast(null as varchar) as quote_asset, 'on' as status, ts - (epoch_us(ts) % 1000) * interval 1 microsecond as onboard_date from events")
+def _(spark, d):
+    e = Data(spark, d).events
+    raw = F.to_json(F.struct(F.concat_ws("-", "event_type", "event_id").alias("symbol"), F.col("event_type").alias("baseAsset"), F.lit("on").alias("status"), F.unix_millis(F.col("ts").cast("timestamp")).alias("onboardDate")))
+    return src.parse_catalogue(e.select(raw.alias("raw")))
+
+
+@_register("oos_frame", sql.query(f"select open_time, {', '.join('cast(null as double) as ' + p for p in _PARTS if p != 'net')}, round(net, 6) as net from curve", *grid_sql.WALK))
+def _(spark, d):
+    return rounded(bt.oos_frame(_walked(spark, d)[1]), "net")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 
 from ..config import STEP_SECONDS
@@ -31,13 +33,16 @@ def _cell(v, show) -> str:
     return "n/a" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
 
 
-def table(df: DataFrame, shown: dict | None = None) -> str:
-    """Rows as a table; ``shown`` formats columns. A report is small, so more than ``MAX_ROWS`` rows are an error, not a cut."""
+def table(df: DataFrame, shown: dict | None = None, write: Callable[[DataFrame], object] | None = None, where: str = "") -> str:
+    """Rows as a table; ``shown`` formats columns. Of more than ``MAX_ROWS`` rows the first are shown, counted, and ``write`` puts all of them ``where`` the text says."""
     shown, rows = shown or {}, df.take(MAX_ROWS + 1)
-    if len(rows) > MAX_ROWS:
-        raise ValueError(f"a report has {MAX_ROWS} rows at most")
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    return "\n".join([*lines, *["| " + " | ".join(_cell(v, shown.get(c)) for c, v in zip(df.columns, r, strict=True)) + " |" for r in rows], ""])
+    lines += ["| " + " | ".join(_cell(v, shown.get(c)) for c, v in zip(df.columns, r, strict=True)) + " |" for r in rows[:MAX_ROWS]]
+    if len(rows) > MAX_ROWS:
+        if write:
+            write(df)
+        lines += ["", f"The first {MAX_ROWS} of {df.count()} rows" + (f"; all are in {where}." if write else ".")]
+    return "\n".join([*lines, ""])
 
 
 def markdown(df: DataFrame, title: str, shown: dict | None = None) -> str:

@@ -44,11 +44,6 @@ def scope_path(path: str, scope: dict[str, str]) -> str:
     return "/".join([path.rstrip("/"), *[f"{k}={v}" for k, v in scope.items()]])
 
 
-def replace_scope(df: DataFrame, path: str, scope: dict[str, str]) -> None:
-    """Replaces all rows of a scope of a table (partition columns and their values) by df, also by none."""
-    df.drop(*scope).write.mode("overwrite").parquet(scope_path(path, scope))
-
-
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", "true").csv(path)
 

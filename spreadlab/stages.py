@@ -1,7 +1,7 @@
 """The study from ingestion to reports: each stage reads the tables of the stages before it and writes its own.
 
 ``python -m spreadlab STAGE --root FOLDER [--config FILE]``. Tables are Parquet under the root, in folders by exchange, interval and
-further scope; a stage replaces its scope as a whole, so that running it again leaves no stale rows. Reports are
+further scope; a stage replaces its scope as a whole, in one commit, so that running it again leaves no stale rows and breaking it off no half table. Reports are
 Markdown, apart for each study (``subdir``)."""
 
 from __future__ import annotations
@@ -20,12 +20,14 @@ from .operators.panel import PAIR
 from .plans import report
 from .shared import stored
 from .sources import bars as src
-from .sources import feed, upsert
+from .sources import feed, upsert, versions
 
 OHLCV = "symbol string, open_time timestamp_ntz, open decimal(38,18), high decimal(38,18), low decimal(38,18), close decimal(38,18), volume decimal(38,18), quote_volume decimal(38,18), n_trades bigint"
 PREMIUM = "symbol string, open_time timestamp_ntz, open decimal(38,18), high decimal(38,18), low decimal(38,18), close decimal(38,18)"
 FUNDING = "symbol string, funding_time timestamp_ntz, funding_rate decimal(38,18), mark_price decimal(38,18)"
 SYMBOLS = "symbol string, base_asset string, quote_asset string, status string, onboard_date timestamp_ntz"
+#: Tables that lie by month, and the time that decides.
+MONTHLY = {"ohlcv": "open_time", "premium_index": "open_time", "funding": "funding_time", "pair_signal": "open_time"}
 _SHOWN = {c: report.percent for c in ("net", "gross", "costs", "fee", "slip", "funding", "borrow", "test_net", "max_drawdown", "hit_rate", "exposure", "pct_in_market", "share_passing", "share_positive")}
 _SHOWN["delta"] = lambda v: "n/a" if v is None else f"{v:g}"
 _SHOWN |= {c: report.number for c in ("sharpe", "ann_sortino", "train_sharpe", "test_sharpe", "beta", "ret_corr", "spearman", "least", "most", "ann_turnover")}
@@ -53,16 +55,26 @@ class Store:
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
-    def read(self, name: str, schema: str, **more: str) -> DataFrame:
-        """The rows of a scope, none where it was never written."""
-        path = upsert.scope_path(self.path(name), self.scope(**more))
-        return self.spark.read.schema(schema).parquet(path) if self.has(path) else self.spark.createDataFrame([], schema)
+    def _scope(self, name: str, **more: str) -> str:
+        return upsert.scope_path(self.path(name), self.scope(**more))
+
+    def read(self, name: str, schema: str, start: Column | None = None, end: Column | None = None, **more: str) -> DataFrame:
+        """The rows of a scope, none where it was never written; ``start`` and ``end`` open only the months between, where the table lies by month."""
+        return versions.read(self.spark, self._scope(name, **more), schema, month_of=MONTHLY.get(name), start=start, end=end)
+
+    def update(self, name: str, schema: str, build: Callable[[DataFrame], DataFrame], append: bool = False, **more: str) -> None:
+        """A new version of a scope from its newest rows, or with these after them; old versions go after a day."""
+        versions.update(self.spark, self._scope(name, **more), schema, build, append, MONTHLY.get(name))
+        versions.vacuum(self.spark, self._scope(name, **more))
 
     def replace(self, name: str, df: DataFrame, **more: str) -> None:
-        upsert.replace_scope(df, self.path(name), self.scope(**more))
+        versions.replace(df, self._scope(name, **more), MONTHLY.get(name))
+        versions.vacuum(self.spark, self._scope(name, **more))
 
-    def append(self, name: str, df: DataFrame) -> None:
-        df.write.mode("append").parquet(upsert.scope_path(self.path(name), self.scope()))
+    def table(self, name: str, df: DataFrame, shown: dict | None = None) -> str:
+        """A report's table. More rows than a report shows lie beside it, all of them, and the report counts them."""
+        beside = self.apart("reports", f"{name}-rows")
+        return report.table(df, shown, lambda rows: versions.replace(rows, beside), beside)
 
     def write_report(self, name: str, text: str) -> str:
         """One small file, through the same file system as the tables."""
@@ -80,8 +92,7 @@ class Store:
 
     def bars(self, symbols: tuple[str, ...] | None = None, end: Column | None = None) -> DataFrame:
         """(symbol, open_time, close, open) of the universe by default, before ``end``; prices become doubles here."""
-        rows = self.read("ohlcv", OHLCV).where(F.col("symbol").isin(list(symbols or self.study.universe)))
-        rows = rows if end is None else rows.where(F.col("open_time") < end)
+        rows = self.read("ohlcv", OHLCV, end=end).where(F.col("symbol").isin(list(symbols or self.study.universe)))
         return rows.select("symbol", "open_time", F.col("close").cast("double").alias("close"), F.col("open").cast("double").alias("open"))
 
     def rates(self) -> DataFrame:
@@ -120,12 +131,12 @@ def ingest(store: Store, fetch: dict[str, str], now_ms: int, limits: dict[str, i
         options = {"fetch": fetch[name], "symbols": ",".join(study.symbols), "start_ms": first, "end_ms": last, "step_ms": step, "limit": (limits or {}).get(name, 1000), "starts": json.dumps(starts)}
         raw = spark.read.format("paged_feed").options(**options, **({"time_field": "fundingTime"} if name == "funding" else {})).load()
         rows = stored(parse(raw).dropDuplicates(["symbol", time]), name)
-        store.append(table, rows.join(known.select("symbol", time), ["symbol", time], "left_anti").select(*known.columns))
+        store.update(table, schema, lambda there, rows=rows, time=time: rows.join(there.select("symbol", time), ["symbol", time], "left_anti").select(*there.columns), append=True)
     if "catalogue" in fetch:
         module, _, function = fetch["catalogue"].partition(":")
         raw = [(json.dumps(x),) for x in getattr(__import__(module, fromlist=[function]), function)()]
         told = src.parse_catalogue(spark.createDataFrame(raw, "raw string")).where(F.col("symbol").isin(list(study.symbols)))
-        store.replace("symbols", stored(upsert.upsert_catalogue(store.read("symbols", SYMBOLS), told), "symbols"))
+        store.update("symbols", SYMBOLS, lambda there: upsert.upsert_catalogue(there, told))
 
 
 def ingest_daily(store: Store, frames: DataFrame, today: str) -> None:
@@ -140,12 +151,11 @@ def ingest_daily(store: Store, frames: DataFrame, today: str) -> None:
         fresh = fresh.where(F.col("open_time") <= day(study.end))
     cast = [F.col(c).cast("decimal(38,18)").alias(c) for c in ("open", "high", "low", "close", "volume")]
     fresh = fresh.select("symbol", "open_time", *cast, F.lit(None).cast("decimal(38,18)").alias("quote_volume"), F.lit(None).cast("bigint").alias("n_trades"), F.lit(1).alias("batch"))
-    both = store.read("ohlcv", OHLCV).withColumn("batch", F.lit(0)).unionByName(fresh)
-    bars = stored(upsert.keep_last(both, ["symbol", "open_time"], ["batch"]).select(*fresh.columns[:-1]), "ohlcv")
-    store.replace("ohlcv", bars)
+    store.update("ohlcv", OHLCV, lambda there: upsert.keep_last(there.withColumn("batch", F.lit(0)).unionByName(fresh), ["symbol", "open_time"], ["batch"]).select(*fresh.columns[:-1]))
+    bars = store.read("ohlcv", OHLCV)
     none = F.lit(None).cast("string")
     told = bars.groupBy("symbol").agg(F.min("open_time").alias("onboard_date")).select("symbol", none.alias("base_asset"), none.alias("quote_asset"), F.lit("TRADING").alias("status"), "onboard_date")
-    store.replace("symbols", stored(upsert.upsert_catalogue(store.read("symbols", SYMBOLS), told), "symbols"))
+    store.update("symbols", SYMBOLS, lambda there: upsert.upsert_catalogue(there, told))
 
 
 def provenance(store: Store) -> str:
@@ -165,8 +175,8 @@ def provenance(store: Store) -> str:
     out = out.join(gaps.event_counts(store.read("funding", FUNDING)).select("symbol", "n_events"), "symbol", "left").na.fill(0, ["n_bars", "n_events"])
     absent = upsert.symbols_missing(wanted, catalogue)
     return store.write_report("provenance", report.document(
-        "Where the data comes from", ("", f"{study.exchange}, {study.market}, bars of {study.interval} from {study.start} to {study.end or 'now'}."), ("Coverage", report.table(out.orderBy("symbol"))),
-        ("Symbols that the catalogue lacks", report.table(absent.orderBy("symbol"))), ("Gaps", report.table(found.select("symbol", "gap_start", "gap_end", "n_missing").orderBy("symbol", "gap_start"))),
+        "Where the data comes from", ("", f"{study.exchange}, {study.market}, bars of {study.interval} from {study.start} to {study.end or 'now'}."), ("Coverage", store.table("provenance-coverage", out.orderBy("symbol"))),
+        ("Symbols that the catalogue lacks", store.table("provenance-absent", absent.orderBy("symbol"))), ("Gaps", store.table("provenance-gaps", found.select("symbol", "gap_start", "gap_end", "n_missing").orderBy("symbol", "gap_start"))),
     ))
 
 
@@ -178,7 +188,7 @@ def pairs(store: Store) -> str:
     n = screen.screen_counts(found, study.adf_alpha).first()
     told = f"Bars up to {study.train_end}. {n.passed} of {n.tested} pairs pass: the worse direction below {study.adf_alpha}, half-life within {study.half_life[0]:g} to {study.half_life[1]:g} bars. By chance alone {n.expected_by_chance:.1f} would pass the first gate."
     shown = _SHOWN | {"half_life_bars": lambda v: report.duration(v, study.interval)}
-    return store.write_report("pairs", report.document("Pair screen", ("", told), ("Ranking", report.table(found.select("rank", *PAIR, "n_bars", "beta", "eg_p_max", "half_life_bars", "ret_corr", "passed").orderBy("rank"), shown))))
+    return store.write_report("pairs", report.document("Pair screen", ("", told), ("Ranking", store.table("pairs", found.select("rank", *PAIR, "n_bars", "beta", "eg_p_max", "half_life_bars", "ret_corr", "passed").orderBy("rank"), shown))))
 
 
 SIGNAL = "leg_y string, leg_x string, open_time timestamp_ntz, beta double, spread double, z double, position int"
@@ -195,12 +205,12 @@ def make_signals(store: Store) -> str:
     out = signals.signal_summary(rows, study.stop)
     told = f"Bars up to {study.train_end}; in at {study.entry:g}, out at {study.exit:g}, stop at {study.stop:g} deviations over {study.window} bars. The first {study.burn_in + study.window} bars warm up."
     shown = _SHOWN | {"avg_hold": lambda v: report.duration(v, study.interval)}
-    return store.write_report("signals", report.document("Signals", ("", told), ("Trades", report.table(out.orderBy(*PAIR), shown))))
+    return store.write_report("signals", report.document("Signals", ("", told), ("Trades", store.table("signals", out.orderBy(*PAIR), shown))))
 
 
 def load_signals(store: Store, end: Column) -> DataFrame:
     """The stored signals of the book before ``end``."""
-    rows = store.read("pair_signal", SIGNAL)
+    rows = store.read("pair_signal", SIGNAL, end=end)
     book = store.spark.createDataFrame(list(store.study.book), "leg_y string, leg_x string")
     return rows.join(F.broadcast(book), [*PAIR], "left_semi").where(F.col("open_time") < end)
 
@@ -217,7 +227,7 @@ def backtest(store: Store) -> str:
         raise ArithmeticError("profit and loss does not add up")
     fills = "the next bar's open" if study.next_open else "the close at which the signal is known"
     told = f"Bars up to {study.train_end}; filled at {fills}, fee {study.fee_bps:g} and slip {study.slip_bps:g} basis points of turnover, borrow {study.borrow_bps_per_year:g} a year. Sums on unit capital."
-    return store.write_report("backtest", report.document("Backtest", ("", told), ("Parts", report.table(sums.drop("reconciled").orderBy(F.col("leg_x") == "", *PAIR), _SHOWN))))
+    return store.write_report("backtest", report.document("Backtest", ("", told), ("Parts", store.table("backtest", sums.drop("reconciled").orderBy(F.col("leg_x") == "", *PAIR), _SHOWN))))
 
 
 def _split(store: Store) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -243,7 +253,7 @@ def validate(store: Store) -> str:
     return store.write_report("validation", report.document(
         "Validation", ("Static split", f"{sets.n} sets, {sets.eligible} with {study.trades_per_year:g} trades a year and pair or more; the best on the bars up to {study.train_end}, then frozen."),
         ("", report.table(best.select(*validation.PARAMS, "net", "sharpe", "trades"), _SHOWN)), ("", report.table(static.orderBy(F.desc("part")), _SHOWN)), ("The ten best sets of the training bars", report.table(searched.orderBy("place").limit(10), _SHOWN)),
-        ("Walk-forward", f"{n.folds} folds: {n.traded} traded, {n.cash_no_pairs} in cash without pairs, {n.cash_no_config} in cash without an eligible set."), ("", report.table(out, _SHOWN)), ("", report.table(folds.orderBy("fold"), _SHOWN)),
+        ("Walk-forward", f"{n.folds} folds: {n.traded} traded, {n.cash_no_pairs} in cash without pairs, {n.cash_no_config} in cash without an eligible set."), ("", report.table(out, _SHOWN)), ("", store.table("validation-folds", folds.orderBy("fold"), _SHOWN)),
     ))
 
 
@@ -269,7 +279,7 @@ def measure(store: Store) -> str:
     note = "" if store.has(path) else " There is no walk-forward series yet; the validate stage writes it."
     return store.write_report("metrics", report.document(
         "Metrics", ("", "Net of costs, on unit capital, not compounded. Benchmarks have no costs; the walk-forward's are inside its net." + note), ("Series", report.table(rows.orderBy("series"), _SHOWN)),
-        ("Pairs, test bars", report.table(per.orderBy(*PAIR), _SHOWN)),
+        ("Pairs, test bars", store.table("metrics-pairs", per.orderBy(*PAIR), _SHOWN)),
     ))
 
 
@@ -282,13 +292,13 @@ def stress(store: Store) -> str:
     halves = [validation.grid_search(results.where(c), study) for c in (F.col("open_time") < cut, F.col("open_time") >= cut)]
     sets = robustness.grid_robustness(*halves, validation.PARAMS)
     without = robustness.leave_one_out_stats(chosen, year, cut)
-    parts = [("Costs", report.table(costs.orderBy("multiplier"), _SHOWN)), ("Parameter sets, train against test", report.table(sets, _SHOWN)), ("The book without a pair", report.table(without.orderBy(*PAIR), _SHOWN))]
+    parts = [("Costs", report.table(costs.orderBy("multiplier"), _SHOWN)), ("Parameter sets, train against test", report.table(sets, _SHOWN)), ("The book without a pair", store.table("robustness-without", without.orderBy(*PAIR), _SHOWN))]
     if study.factor:
         curve = bt.portfolio_curve(chosen, len(study.book)).where(F.col("open_time") >= cut)
         regimes = robustness.regime_slices(curve, store.bars((study.factor,)), study.regime_window, year)
         parts.append((f"Regimes of {study.factor}", report.table(regimes.orderBy("regime"), _SHOWN)))
     windows = screen.rolling_eg(store.of_book(), study.eg_window, study.eg_step)
-    parts.append((f"Cointegration over {study.eg_window} bars", report.table(screen.rolling_eg_summary(windows, study.adf_alpha).orderBy(*PAIR), _SHOWN)))
+    parts.append((f"Cointegration over {study.eg_window} bars", store.table("robustness-rolling", screen.rolling_eg_summary(windows, study.adf_alpha).orderBy(*PAIR), _SHOWN)))
     return store.write_report("robustness", report.document("Robustness", ("", "All on the test bars, after the choice was made."), *parts))
 
 
