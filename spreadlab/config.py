@@ -63,6 +63,8 @@ class Study:
     regime_window: int = 720
     eg_window: int = 8760
     eg_step: int = 720
+    #: Of all tasks together, to one host of the feed.
+    calls_per_second: float = 20.0
     cost_multipliers: tuple[float, ...] = (0.5, 1.0, 2.0, 3.0)
     grid: Grid = field(default_factory=Grid)
 

@@ -128,7 +128,7 @@ def ingest(store: Store, fetch: dict[str, str], now_ms: int, limits: dict[str, i
         known = store.read(table, schema)
         ends = upsert.resume_cursor(known, "symbol", time, step / 1000, F.lit(None).cast("timestamp_ntz")).select("symbol", F.unix_millis(F.col("resume_at").cast("timestamp")).alias("at"))
         starts = {r.symbol: r.at for r in ends.where(F.col("symbol").isin(list(study.symbols))).collect()}  # a row a symbol
-        options = {"fetch": fetch[name], "symbols": ",".join(study.symbols), "start_ms": first, "end_ms": last, "step_ms": step, "limit": (limits or {}).get(name, 1000), "starts": json.dumps(starts)}
+        options = {"fetch": fetch[name], "symbols": ",".join(study.symbols), "start_ms": first, "end_ms": last, "step_ms": step, "limit": (limits or {}).get(name, 1000), "starts": json.dumps(starts), "calls_per_second": study.calls_per_second}
         raw = spark.read.format("paged_feed").options(**options, **({"time_field": "fundingTime"} if name == "funding" else {})).load()
         rows = stored(parse(raw).dropDuplicates(["symbol", time]), name)
         store.update(table, schema, lambda there, rows=rows, time=time: rows.join(there.select("symbol", time), ["symbol", time], "left_anti").select(*there.columns), append=True)
