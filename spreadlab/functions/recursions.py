@@ -54,12 +54,15 @@ def position_step(pos: int, armed: bool, z: float, entry: float, exit: float, st
     return (0 if out else pos), armed
 
 
-def positions(z: np.ndarray, rules: np.ndarray) -> np.ndarray:
-    """Positions for many (entry, exit, stop) at once, one pass over the bars: (bars, rules), or (bars, series, rules) for z of several series."""
+def positions(z: np.ndarray, rules: np.ndarray, start: tuple[np.ndarray, np.ndarray] | None = None, last: bool = False):
+    """Positions for many (entry, exit, stop) at once, one pass over the bars: (bars, rules), or (bars, series, rules) for z of several series.
+
+    They go on from ``start``, positions and whether entries are armed by series and rule. With ``last`` only these are returned, as after the last bar."""
     entry, exit, stop = rules.T
     series = z.reshape(len(z), -1, 1)
-    pos, armed = np.zeros((series.shape[1], len(rules)), dtype=np.int8), np.zeros((series.shape[1], len(rules)), dtype=bool)
-    out = np.zeros((len(z), *pos.shape), dtype=np.int8)
+    shape = (series.shape[1], len(rules))
+    pos, armed = (np.broadcast_to(s, shape) for s in start) if start else (np.zeros(shape, np.int8), np.zeros(shape, bool))
+    out = np.zeros((0 if last else len(z), *shape), dtype=np.int8)
     for i, v in enumerate(series):
         known = v == v
         if known.any():
@@ -69,5 +72,56 @@ def positions(z: np.ndarray, rules: np.ndarray) -> np.ndarray:
             goes = flat & ~inside & armed & (far < stop)
             pos = np.where(known, np.where(goes, np.where(v > 0, -1, 1), np.where(~flat & leaves, 0, pos)), pos).astype(np.int8)
             armed = np.where(known & flat, inside, armed)
-        out[i] = pos
+        if not last:
+            out[i] = pos
+    if last:
+        return pos, armed
     return out[:, 0] if z.ndim == 1 else out
+
+
+#: The six states of a rule: positions, and whether an entry is armed.
+STATES = (np.array([-1, 0, 1, -1, 0, 1], np.int8)[:, None], np.array([False] * 3 + [True] * 3)[:, None])
+
+
+def position_map(z: np.ndarray, rules: np.ndarray) -> np.ndarray:
+    """(6, rules): the state after these bars for each state before them. Maps of successive runs compose by indexing."""
+    pos, armed = positions(np.repeat(z[:, None], 6, axis=1), rules, STATES, last=True)
+    return (pos + 1 + 3 * armed).astype(np.int8)
+
+
+def filter_element(y: np.ndarray, x: np.ndarray, delta: float, r: float) -> tuple[np.ndarray, ...]:
+    """What a run of bars does to any state before it: (A, b, C, eta, J), combined pair by pair from those of single bars, which
+    are associative (Sarkka and Garcia-Fernandez 2021)."""
+    q, n = delta / (1.0 - delta), len(y)
+    h = np.stack([np.ones(n), x], axis=1)
+    s = q * (1.0 + x * x) + r
+    eye = np.eye(2)
+    gain = q * h / s[:, None]
+    shrink = eye - gain[:, :, None] * h[:, None, :]
+    now = (shrink, gain * y[:, None], q * shrink, h * (y / s)[:, None], h[:, :, None] * h[:, None, :] / s[:, None, None])
+    while len(now[0]) > 1:
+        odd = tuple(v[-1:] for v in now) if len(now[0]) % 2 else None
+        half = len(now[0]) // 2
+        now = combined(tuple(v[: 2 * half : 2] for v in now), tuple(v[1 : 2 * half : 2] for v in now))
+        if odd:
+            now = tuple(np.concatenate([v, o]) for v, o in zip(now, odd, strict=True))
+    return tuple(v[0] for v in now)
+
+
+def combined(first: tuple[np.ndarray, ...], then: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """Elements of runs that follow each other, for many pairs of runs at once."""
+    (a1, b1, c1, e1, j1), (a2, b2, c2, e2, j2) = first, then
+    times = lambda m, v: (m @ v[..., None])[..., 0]
+    turn = lambda m: np.swapaxes(m, -1, -2)
+    eye = np.eye(2)
+    left, right = a2 @ np.linalg.inv(eye + c1 @ j2), turn(a1) @ np.linalg.inv(eye + j2 @ c1)
+    return left @ a1, times(left, b1 + times(c1, e2)) + b2, left @ c1 @ turn(a2) + c2, times(right, e2 - times(j2, b1)) + e1, right @ j2 @ a1 + j1
+
+
+def filter_after(state: tuple[float, ...], element: tuple[np.ndarray, ...]) -> tuple[float, ...]:
+    """The filter's state (as of :func:`kalman_step`) after a run of bars."""
+    m, p = np.array(state[:2]), np.array([[state[2], state[3]], [state[3], state[4]]])
+    a, b, c, eta, j = element
+    left = a @ np.linalg.inv(np.eye(2) + p @ j)
+    m, p = left @ (m + p @ eta) + b, left @ p @ a.T + c
+    return float(m[0]), float(m[1]), float(p[0, 0]), float((p[0, 1] + p[1, 0]) / 2), float(p[1, 1]), state[5]

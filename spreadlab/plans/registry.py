@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import SMALL as S
 from ..operators import backtest as bt
-from ..operators import gaps, grid, metrics, panel, robustness, screen, signals, stats, validation
+from ..operators import gaps, grid, metrics, panel, robustness, scan, screen, signals, stats, validation
 from ..operators.panel import PAIR
 from ..shared import fresh_path, stored
 from ..sources import bars as src
@@ -724,6 +724,17 @@ def _(spark, d):
     return rounded(robustness.grid_robustness(*halves, validation.PARAMS), "spearman", "least", "most", "share_positive")
 
 
+@_register("kalman_scan", _SQL["kalman_hedge"])
+def _(spark, d):
+    return rounded(scan.chunked_kalman(Data(spark, d).pairs, S.burn_in, (S.delta,), size=200), "alpha", "beta").select(*PAIR, "open_time", "alpha", "beta")
+
+
+@_register("positions_scan", _SQL["positions"])
+def _(spark, d):
+    z = stats.rolling_zscore(Data(spark, d).spreads, S.window)
+    return scan.chunked_positions(z, [(S.entry, S.exit, S.stop)], size=200).select(*PAIR, "open_time", "desired")
+
+
 # Tables as the stages keep them: written as versions in the shared folder and read back.
 
 
