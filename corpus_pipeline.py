@@ -1,7 +1,7 @@
 """A corpus pipeline: language ID, near-duplicates, benchmark decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again
-as the next stage's docs."""
+as the next stage's docs. docs has the columns of documents, ``COLUMNS``; others are left out."""
 
 from __future__ import annotations
 
@@ -35,13 +35,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps one document, that with the smallest id, of each group at a similarity of 0.8 or more.
 
     A null id comes after all others; of equal ids the one with the least hash of id and text stays. So texts that are
-    not alike all stay, whatever their ids; texts without words are each a group. Rows with the same id and text count as one."""
+    not alike all stay, whatever their ids; texts without words are each a group. Rows with the same id and text count as one, and of
+    their other columns the least stay, compared together and with null first."""
     rows = row_keys(docs)
     groups = minhash.near_duplicates(rows.select("_k1", "text"), id_col="_k1", percent=NEAR_PERCENT).select("_k1", "component_id").distinct()
     named = rows.select("_k1", "doc_id").distinct().join(groups, "_k1")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "_k1"))
     kept = named.groupBy("component_id").agg(first.alias("first")).select("first._k1").distinct()
-    return rows.join(kept, "_k1", "left_semi").dropDuplicates(["_k1", "_k2"]).select(*COLUMNS)
+    others = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    one = rows.join(kept, "_k1", "left_semi").groupBy("_k1", "_k2").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.min(F.struct(*others)).alias("least"))
+    return one.select("doc_id", "text", "least.*").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

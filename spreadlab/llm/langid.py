@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 16
 DIM = 16
-#: The sample: so many rows of each language, fewer where there are many languages, and so many code points of each row's text.
-PER_LANGUAGE, SAMPLE_ROWS, SAMPLE_CHARS = 300, 19_200, 20_000
+#: The sample: so many rows of each language, fewer where there are many languages, so many code points of each row's text, and of all.
+PER_LANGUAGE, SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_TOTAL = 300, 19_200, 20_000, 32_000_000
 #: More languages are an error: none is left out, and the table of scores stays below 70 MB.
 MAX_LANGUAGES = 256
 REJECTED_SHARE = 0.002
@@ -144,23 +144,49 @@ def train(sample: list[tuple[str, str]], seed: int = 11, epochs: int = 4, rate:
     return model
 
 
+def spread_windows(text: Column, chars: int, windows: int = 4) -> Column:
+    """The text, or of a longer one evenly spread windows, from its first code point to its last, with spaces between, of ``chars`` at most in all."""
+    windows = max(1, min(windows, chars // 16))
+    n, wide = F.length(text), (chars - windows + 1) // windows
+    at = lambda k: F.floor((n - wide) * F.lit(k) / F.lit(max(1, windows - 1))).cast("int") + 1
+    return F.when(n > chars, F.concat_ws(" ", *[F.substring(text, at(k), F.lit(wide)) for k in range(windows)])).otherwise(text)
+
+
 def bounded_sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> list[tuple[str, str]]:
-    """Up to ``per_language`` rows of each language, those with the least hashed ids, and SAMPLE_ROWS in all; SAMPLE_CHARS of each text.
+    """Up to ``per_language`` rows of each language, those with the least hashed ids, and SAMPLE_ROWS in all; of each text SAMPLE_CHARS
+    in windows spread over it, fewer if all together would be more than SAMPLE_TOTAL.
 
-    One pass over languages counts them, one over ids and languages ranks them (each task keeps its least hashes only), and one fetches the
-    texts. Rows that repeat a chosen id are ranked once more by their texts' hashes."""
+    Languages are counted first. Of each only ids whose hashes lie under a bound are ranked, one that leaves about three times the rows wanted, whatever the
+    size of the table; where it leaves too few, as when ids repeat, it is raised until it doesn't. So no task ranks a language, and the rows
+    are those that a ranking of all would give."""
     slim = labelled.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    n = len(slim.select("lang").distinct().take(MAX_LANGUAGES + 1))
-    if n > MAX_LANGUAGES:
+    counts = {r["lang"]: r["count"] for r in slim.groupBy("lang").count().take(MAX_LANGUAGES + 1)}
+    if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    most = min(per_language, SAMPLE_ROWS // max(n, 1))
+    if not counts:
+        return []
+    spark, most = labelled.sparkSession, min(per_language, SAMPLE_ROWS // len(counts))
+    shares = {lang: min(1.0, (3 * most + 50) / n) for lang, n in counts.items()}
+
+    def under(shares: dict[str, float]) -> DataFrame:
+        """(id, lang) under the languages' bounds, each once."""
+        bounds = spark.createDataFrame([(lang, -(1 << 63) + min(int(s * 2**64), 2**64 - 1)) for lang, s in shares.items()], "lang string, bound long")
+        return slim.join(F.broadcast(bounds), "lang").where(F.xxhash64("id") <= F.col("bound")).select("id", "lang").distinct()  # MAX_LANGUAGES rows
+
+    open_ = {lang for lang, s in shares.items() if s < 1}
+    while open_:
+        found = {r["lang"]: r["count"] for r in under({lang: shares[lang] for lang in open_}).groupBy("lang").count().collect()}
+        few = {lang for lang in open_ if found.get(lang, 0) < most}
+        shares |= {lang: min(1.0, 8 * shares[lang]) for lang in few}
+        open_ = {lang for lang in few if shares[lang] < 1}
 
     def least(df: DataFrame, *order: Column) -> DataFrame:
         w = Window.partitionBy("lang").orderBy(*order)
         return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).drop("rank")
 
-    chosen = least(slim, F.xxhash64("id"), F.col("id")).distinct()
-    rows = labelled.select(F.col(id_col).alias("id"), F.left(F.col(text_col), F.lit(SAMPLE_CHARS)).alias("text"), F.col(lang_col).alias("lang")).where("text is not null")
+    chosen = least(under(shares), F.xxhash64("id"), F.col("id"))
+    chars = max(1, min(SAMPLE_CHARS, SAMPLE_TOTAL // (most * len(counts))))
+    rows = labelled.select(F.col(id_col).alias("id"), spread_windows(F.col(text_col), chars).alias("text"), F.col(lang_col).alias("lang")).where("text is not null")
     rows = least(rows.join(F.broadcast(chosen), ["id", "lang"], "left_semi"), F.xxhash64("id"), F.xxhash64("text"))
     return [(r["text"], r["lang"]) for r in rows.orderBy(F.xxhash64("id"), "text", "lang").collect()]
 

@@ -41,3 +41,13 @@ def test_decontamination_judges_each_row(spark, tmp_path):
     clean = [(None, text(800, 40)), (1, text(801, 40)), (1, text(801, 40)), (2, None), (None, None)]
     dirty = [(None, "x " + item), (1, item), (4, item + " y")]
     assert ids_texts(p.decontamination(spark, frame(spark, clean + dirty), str(tmp_path))) == Counter(clean)
+
+
+def test_rows_that_differ_in_other_columns_leave_the_least(spark, tmp_path):
+    import corpus_pipeline
+
+    words = " ".join(f"word{i}" for i in range(30))
+    others = [("fr", "b", 3), ("de", "z", 1), (None, "c", 2), ("en", "a", 9)]
+    for order in (others, others[::-1], others[2:] + others[:2]):
+        docs = spark.createDataFrame([(1, words, *o) for o in order] + [(2, words, "aa", "a", 0)], "doc_id long, text string, lang string, source string, n_chars int").repartition(3)
+        assert [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()] == [(1, words, None, "c", 2)]
