@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_unique, shuffle_partitions, written
+from .common import join_unique, remove, shuffle_partitions, written
 
 BAND = 16
 #: Turns in a shard, as far as single conversations allow.
@@ -275,6 +275,7 @@ def prefix_trie(turns: DataFrame, shards: int | None = None) -> DataFrame:
     total = rows.agg(F.sum(F.size("turns"))).first()[0] or 0
     shards = shards or max(shuffle_partitions(spark), -(-total // SHARD_TURNS))
     found = written(rows.repartitionByRange(shards, "turns", "conv_id").mapInArrow(_sharding, _SCHEMA), "trie")
+    remove(spark, rows)
     edges = found.where("key is not null").repartition(1).sortWithinPartitions("shard", "step")
     schema = "conv_id long, depth long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string, key binary, parent_key binary"
     joined = written(edges.mapInArrow(_recombining, schema), "trie-edges")
