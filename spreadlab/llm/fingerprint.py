@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
+from .common import HOT_KEYS, remove, shuffle_partitions, written
 
 WORDS_PER_RUN = 8
 LANE_BITS, LANE_STEP, LANES = 20, 21, 3
@@ -31,8 +31,9 @@ _SIGN_MODULUS = 1 << 30
 _GROUP = 127  # the highest lane must not reach the sign
 _LOW_BITS = 0x0101010101010101
 _RUNS = rf"(?:[^\s]++[^\S\n]*+){{1,{WORDS_PER_RUN}}}+"
-#: Texts of about so many code points make a range of :func:`with_next`.
-RANGE_CHARS = 32 << 20
+#: Texts of about so many code points make a range of :func:`with_next`; there are at most so many ranges, larger ones then.
+RANGE_CHARS, RANGES = 32 << 20, 1 << 16
+_REPEATS = 1 << 16
 
 
 def paragraphs(text: Column) -> Column:
@@ -134,51 +135,80 @@ def likeness(a: Column, b: Column, ma: Column | None = None, mb: Column | None =
     return F.when(a == b, 1.0).otherwise(F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(2 * shared, norm))), F.lit(0.0)))
 
 
-def with_next(df: DataFrame, id_col: str, carried: list[str], prefix: str = "next_", size: Column | None = None) -> DataFrame:
-    """df with columns of the next row in descending id; the last row's next is the first.
+def with_next(df: DataFrame, key: list[str], own: dict[str, Column], size: Column, prefix: str = "next_", range_chars: int = RANGE_CHARS) -> DataFrame:
+    """df with the columns ``own`` and, with a prefix, those of the next row in descending ``key``; the last row's next is the first.
 
-    Ids fall into ranges of about equal counts, one window each and as many as the sum of ``size`` asks for; the first row of a range is also
-    sent to the end of the range before it. Null ids come last; rows with equal ids are in order of
-    ``carried``."""
+    A range partitioner cuts the keys alone into ranges of about equal counts, as many as the sum of ``size`` asks for. The first keys of the ranges stay a
+    table of one row, RANGES entries at most, in which a row looks up its range at run time. A range is one
+    window; its first row is also sent to the end of the range before it.
+
+    Rows with equal keys must be alike. Where a key has one in HOT_KEYS of all rows or more, one of its rows
+    stands for all: it is followed by itself in all but one of ``_times``, see :func:`repeated`."""
     spark = df.sparkSession
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
-    most = shuffle_partitions(spark)
-    if size is not None:
-        most = max(most, int((df.agg(F.sum(size).alias("s")).first()["s"] or 0) // RANGE_CHARS))
-    found = df.select(key.alias("k")).agg(F.max("k").alias("top"), F.percentile_approx("k", [i / most for i in range(1, most)] or [0.5], 100 * most).alias("cuts")).first()
-    bounds = sorted({found["top"], *(found["cuts"] or [])} - {None}, reverse=True)  # one for each range
-    last = max(len(bounds) - 1, 0)
-    step = max(1, int(len(bounds) ** 0.5))
-    every = lambda xs: F.array(*[F.lit(b).cast("long") for b in xs]) if xs else F.array().cast("array<long>")
-    limits, coarse = every(bounds), every(bounds[::step])
-    above = lambda xs: F.size(F.filter(xs, lambda b: b >= F.col("_key")))
-    jump = F.greatest(F.lit(0), above(coarse) - 1) * step  # a look-up in two steps, not past all bounds
-    own = F.greatest(F.lit(0), jump + above(F.slice(limits, jump + 1, step)) - 1)
-    lends = F.array_contains(limits, F.col("_key"))
-    to = F.when(F.col("_own") == 0, F.lit(last)).otherwise(F.col("_own") - 1)
+    keys = written(df.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"), F.sum(size).alias("size")), "keys")
+    total = keys.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
+    hot = written(keys.where((F.col("copies") > 1) & (F.col("copies") * HOT_KEYS >= total["rows"])).select(*key, "copies"), "hot")  # HOT_KEYS rows at most
+    parts = min(RANGES, max(shuffle_partitions(spark), int(total["size"] // range_chars)))
+    ranged = keys.select(*key).repartitionByRange(parts, *[F.col(k).desc() for k in key]).withColumn("part", F.spark_partition_id())
+    tops = ranged.groupBy("part").agg(F.max(F.struct(*key)).alias("top"))
+    tops = written(tops.agg(F.sort_array(F.collect_list("top"), asc=False).alias("tops")), "ranges")
+    remove(spark, keys)
+
+    rows = df.withColumn("_times", F.lit(1).cast("long"))
+    if any_hot := hot.limit(1).count() > 0:
+        first = [F.first(c).alias(c) for c in df.columns if c not in key]
+        one = df.join(F.broadcast(hot), key).groupBy(*key).agg(*first, F.first("copies").alias("_times"))
+        rows = df.join(F.broadcast(hot), key, "left_anti").withColumn("_times", F.lit(1).cast("long")).unionByName(one)
+    step = F.ceil(F.sqrt(F.size("tops"))).cast("int")
+    tops = tops.select(F.col("tops").alias("_tops"), F.size("tops").alias("_count"), step.alias("_step"))
+    rows = rows.withColumns(own).crossJoin(F.broadcast(tops.withColumn("_coarse", F.filter("_tops", lambda _, i: i % F.col("_step") == 0))))  # one row
+    limits = F.col("_tops")
+    place = F.struct(*key)
+    above = lambda xs: F.size(F.filter(xs, lambda t: t >= place))
+    rows = rows.withColumn("_jump", (above(F.col("_coarse")) - 1) * F.col("_step"))  # a look-up in two steps, not past all ranges
+    rows = rows.withColumn("_range", F.col("_jump") + above(F.slice(limits, F.col("_jump") + 1, F.col("_step"))) - 1)
     at = lambda r, lent: F.struct(r.alias("range"), F.lit(lent).alias("lent"))
-    places = F.when(lends, F.array(at(F.col("_own"), False), at(to, True))).otherwise(F.array(at(F.col("_own"), False)))
-    rows = df.withColumn("_key", key).withColumn("_own", own).withColumn("_at", F.explode(places)).select("*", F.col("_at.range").alias("_range"))
-    w = Window.partitionBy("_range").orderBy("_at.lent", F.col("_key").desc(), *carried)
-    rows = rows.repartition(most, "_range").withColumns({prefix + c: F.lead(c).over(w) for c in carried})
-    return rows.where(~F.col("_at.lent")).drop("_key", "_own", "_at", "_range")
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    before = F.when(F.col("_range") == 0, F.col("_count") - 1).otherwise(F.col("_range") - 1)
+    places = F.when(F.get(limits, F.col("_range")) == place, F.array(at(F.col("_range"), False), at(before, True))).otherwise(F.array(at(F.col("_range"), False)))
+    rows = rows.withColumn("_at", F.explode(places)).select(*df.columns, *own, "_times", "_at.lent", F.col("_at.range").alias("_range"))
+    w = Window.partitionBy("_range").orderBy("lent", *[F.col(k).desc() for k in key])
+    carried = [c for c in df.columns if c not in key] + list(own)
+    rows = rows.repartition(parts, "_range").withColumns({prefix + c: F.lead(c).over(w) for c in carried}).where("not lent").drop("lent", "_range")
+    if any_hot:
+        follows = F.struct(*[F.col(prefix + c) for c in carried], F.lit(1).cast("long").alias("_times"))
+        itself = F.struct(*[F.col(c).alias(prefix + c) for c in carried], (F.col("_times") - 1).alias("_times"))
+        rows = rows.withColumn("_then", F.explode(F.when(F.col("_times") > 1, F.array(follows, itself)).otherwise(F.array(follows))))
+        return rows.select(*df.columns, *own, "_then.*")
+    return rows.drop("_times")
+
+
+def repeated(df: DataFrame) -> DataFrame:
+    """Each row ``_times`` times, where there is that column."""
+    if "_times" not in df.columns:
+        return df
+    many = df.withColumn("_lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_times") - 1) / _REPEATS)))).repartition(shuffle_partitions(df.sparkSession))
+    left = F.least(F.lit(_REPEATS).cast("long"), F.col("_times") - F.col("_lot") * _REPEATS).cast("int")
+    return many.withColumn("_one", F.explode(F.sequence(F.lit(1), left))).drop("_times", "_lot", "_one")
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_chars: int = RANGE_CHARS) -> DataFrame:
     """Per row: the id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has its last n_chars // 2 code points replaced by the first as many (or all) of the next
     document in descending id; the last one's next is the first. Null texts are empty; two empty
-    texts are alike (1.0). Repeated ids follow each other in order of text; null ids come last.
+    texts are alike (1.0). Repeated ids follow each other in descending order of the text's 64-bit hash; null ids come last, likewise.
     An empty table gives an empty one; columns other than id and text don't matter."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("vec", vector(F.col("text"))).withColumn("mom", moments(F.col("vec")))
-    rows = with_next(rows, "id", ["text", "vec", "mom"], size=F.length("text"))
+    rows = rows.withColumns({"place": F.col("id").isNotNull(), "number": F.coalesce(F.col("id").cast("long"), F.lit(0).cast("long")), "hash": F.xxhash64("text")})
+    own = {"vec": vector(F.col("text"))}
+    rows = with_next(rows, ["place", "number", "hash"], own, F.length("text"), range_chars=range_chars)
+    rows = rows.withColumns({"mom": moments(F.col("vec")), "next_mom": moments(F.col("next_vec"))})
     n = F.length("text")
     edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 2) as int))"), F.expr("left(next_text, cast(floor(length(text) / 2) as int))"))
-    rows = rows.select("id", n.cast("long").alias("n_chars"), "vec", "mom", "next_vec", "next_mom", edited.alias("edited"))
+    times = [c for c in ("_times",) if c in rows.columns]
+    rows = rows.select("id", n.cast("long").alias("n_chars"), "vec", "mom", "next_vec", "next_mom", edited.alias("edited"), *times)
     rows = rows.withColumn("edited_vec", vector(F.col("edited")))
-    return rows.select(
+    return repeated(rows.select(
         F.col("id").alias(id_col), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digest(F.col("vec")).alias("fingerprint"), digest(F.col("edited_vec")).alias("edited_fingerprint"),
-        likeness(F.col("vec"), F.col("edited_vec"), F.col("mom")).alias("near_edited"), likeness(F.col("vec"), F.col("next_vec"), F.col("mom"), F.col("next_mom")).alias("near_next"),
-    )
+        likeness(F.col("vec"), F.col("edited_vec"), F.col("mom")).alias("near_edited"), likeness(F.col("vec"), F.col("next_vec"), F.col("mom"), F.col("next_mom")).alias("near_next"), *times,
+    ))
