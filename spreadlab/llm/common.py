@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +49,18 @@ def remove(spark: SparkSession, *frames: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, n_bytes: int) -> Iterator[None]:
+    """Arrow batches of about ``n_bytes`` at most (a row may be larger) for what is written inside; then the session's setting is back."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(n_bytes))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 #: A key with one in so many of all rows is hot: at most so many keys are.
 HOT_KEYS = 1000
 

@@ -9,7 +9,8 @@ shifted circularly by k. One lookup thus reads all coordinates of a shingle as o
    pair at the threshold shares none with probability 1e-6 at most.
 3. Buckets of up to SMALL classes give their pairs. In a larger one, each class first meets the
    bucket's pivot, the class with the most company in all its buckets. Pairs whose coordinates
-   agree too seldom for the threshold (a chance of 1e-7 there) go; the rest are counted exactly.
+   agree too seldom for the threshold (a chance of 1e-7 there) go; the rest are counted exactly. A pair has a
+   hub (the pivot, if there is one) and a spoke; a hub's set is sent once for every BLOCK spokes or so, not once a pair.
 4. A larger bucket that is still in several components is compared exactly in blocks of sets whose sizes
    allow a link; they return only links that join components. So no group of copies is ever expanded into its pairs.
 5. Components come from contracting links to least neighbours, each round a table in the shared folder.
@@ -29,13 +30,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import join_unique, remove, written
+from .common import batches_of, join_unique, remove, written
 
 COORDINATES = 128  # at most
 MISSED, SKETCH_MISSED = 1e-6, 1e-7
 DOMAIN_BITS = 20
 SMALL = 64
-BLOCK, BLOCK_SHINGLES = 256, 2_000_000
+DONE = 100_000
+BLOCK, BLOCK_SHINGLES = 256, 1_000_000
+#: Bytes of an Arrow batch between Spark and Python here: texts and sets are wide rows.
+BATCH_BYTES = 8 << 20
 
 _FEATURES = "id long, text_key long, n_shingles long, cid binary, bands array<long>, sketch binary"
 _TABLE: np.ndarray | None = None
@@ -116,25 +120,30 @@ def _feature_batches(width: int, rows: int, bands: int):
 
 
 def _set_batches(width: int):
-    """The shingle sets of texts that are of the class they came with."""
+    """The shingle sets of texts that are of the class they came with; of repeats of a text a task mostly gives one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[bytes] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 cids, sets = [], []
-                for cid, text in zip(part.column(0), part.column(1).cast(pa.large_binary()), strict=True):
+                for cid, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.large_binary()), strict=True):
+                    if cid in done:
+                        continue
                     s = S.shingle_set(text.as_py(), width)
-                    if len(s) and _class_id(s) == cid.as_py():
-                        cids.append(cid.as_py())
+                    if len(s) and _class_id(s) == cid:
+                        cids.append(cid)
                         sets.append(s.tobytes())
+                        done.add(cid)
+                if len(done) > DONE:
+                    done.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(cids, pa.binary()), pa.array(sets, pa.binary())], names=["cid", "hashes"])
 
     return run
 
 
-def _similar(a: bytes, b: bytes, percent: int) -> bool:
-    x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
         return False
     common = len(np.intersect1d(x, y, assume_unique=True))
@@ -144,17 +153,30 @@ def _similar(a: bytes, b: bytes, percent: int) -> bool:
 def _keep_agreeing(least: int, coordinates: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, coordinates) for c in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array((a == b).sum(axis=1) >= least))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, coordinates) for c in (3, 4))
+            yield batch.select([0, 1, 2]).filter(pa.array((a == b).sum(axis=1) >= least))
 
     return run
 
 
 def _keep_similar(percent: int):
+    """Links (a, b) of rows (hub, block, spoke, hashes) sorted by hub and block, the hub's own set (spoke null) first.
+
+    One set is held beside the batch, however many spokes a hub has."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, np.empty(0, dtype=np.uint64)
         for batch in batches:
-            good = [_similar(x.as_py(), y.as_py(), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+            a, b = [], []
+            for hub, spoke, raw in zip(batch.column(0), batch.column(2), batch.column(3), strict=True):
+                hub, s = hub.as_py(), np.frombuffer(raw.as_buffer(), dtype=np.uint64)
+                if not spoke.is_valid:
+                    at, own = hub, s.copy()
+                elif hub == at and _similar(own, s, percent):
+                    spoke = spoke.as_py()
+                    a.append(min(hub, spoke))
+                    b.append(max(hub, spoke))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
     return run
 
@@ -246,6 +268,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null or blank texts have no shingles and stay alone. Fewer words than ``width`` count as one
     shingle. Rows that repeat an id keep a row each; a null id never names a component unless all
     its members are null. An empty table gives an empty one; other columns of docs don't matter."""
+    with batches_of(docs.sparkSession, BATCH_BYTES):  # every step is written here, under this setting
+        return _near_duplicates(docs, id_col, text_col, percent, width)
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, percent: int, width: int) -> DataFrame:
     rows, bands, least = banding(percent)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
     spark, made = docs.sparkSession, []
@@ -264,25 +291,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = table(banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
     members = table(join_unique(banded, sizes, ["key"], "size", n_banded), "members")
 
+    def pair(hub: str, spoke: str, starred: bool) -> list[Column]:
+        return [F.least(hub, spoke).alias("a"), F.greatest(hub, spoke).alias("b"), F.struct(F.lit(starred).alias("starred"), F.col(hub).alias("hub")).alias("end")]
+
     small = members.where(F.col("size") <= SMALL).select("key", "cid")
-    pairs = small.join(small.select("key", F.col("cid").alias("other")), "key").where("cid < other").select(F.col("cid").alias("a"), F.col("other").alias("b"))
+    pairs = small.join(small.select("key", F.col("cid").alias("other")), "key").where("cid < other").select(*pair("cid", "other", False))
     large = members.where(F.col("size") > SMALL)
     company = members.groupBy("cid").agg(F.sum(F.log("size")).alias("company"))
     pivots = large.join(company, "cid").groupBy("key").agg(F.max_by("cid", F.struct("company", "cid")).alias("pivot"), F.max("size").alias("weight"))
-    starred = join_unique(large, table(pivots, "pivots"), ["key"], "weight", n_banded).where("cid <> pivot").select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b"))
+    starred = join_unique(large, table(pivots, "pivots"), ["key"], "weight", n_banded).where("cid <> pivot").select(*pair("pivot", "cid", True))
     sketches = classes.select("cid", "sketch")
-    found = pairs.union(starred).distinct()
-    found = found.join(sketches.withColumnsRenamed({"cid": "a", "sketch": "sketch_a"}), "a").join(sketches.withColumnsRenamed({"cid": "b", "sketch": "sketch_b"}), "b")
-    found = table(found.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_keep_agreeing(least, rows * bands), "a binary, b binary"), "pairs")
-
-    wanted = found.select(F.col("a").alias("cid")).union(found.select("b")).union(large.select("cid")).distinct()
-    firsts = classes.join(wanted, "cid", "left_semi").select("cid", F.col("first.id").alias("first_id"), F.col("first.text_key").alias("first_key"))
+    found = pairs.union(starred).groupBy("a", "b").agg(F.max("end").alias("end"))
+    found = table(found.select(F.col("end.hub").alias("hub"), F.when(F.col("end.hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("spoke")), "pairs")
+    n_found = found.count()
+    # A class is the spoke of as many pairs as its small buckets give and one pair a large one; as a hub it may have any number.
+    hubs = found.groupBy("hub").agg(F.count(F.lit(1)).alias("weight")).join(sketches.withColumnsRenamed({"cid": "hub", "sketch": "sketch_hub"}), "hub")
+    found = join_unique(found, table(hubs, "hubs"), ["hub"], "weight", n_found).join(sketches.withColumnsRenamed({"cid": "spoke", "sketch": "sketch_spoke"}), "spoke")
+    found = table(found.select("hub", "spoke", "weight", "sketch_hub", "sketch_spoke").mapInArrow(_keep_agreeing(least, rows * bands), "hub binary, spoke binary, weight long"), "pairs")
+
+    wanted = found.select(F.col("hub").alias("cid")).union(found.select("spoke")).union(large.select("cid")).distinct()
     # Ids may repeat or be null, so the text's hash is part of the key, and the sets tell which text is of this class.
-    same = (docs.text_key == F.col("first_key")) & docs.id.eqNullSafe(F.col("first_id"))
-    sets = docs.join(firsts, same).select("cid", "text").mapInArrow(_set_batches(width), "cid binary, hashes binary")
+    named = lambda i: [F.coalesce(i, F.lit(0)).alias("id"), i.isNull().alias("no_id")]
+    firsts = classes.join(wanted, "cid", "left_semi").select("cid", *named(F.col("first.id")), "first.text_key", "copies")
+    sets = join_unique(docs.select(*named(docs.id), "text_key", "text"), table(firsts, "firsts"), ["id", "no_id", "text_key"], "copies", n_rows)
+    sets = sets.select("cid", "text").mapInArrow(_set_batches(width), "cid binary, hashes binary")
     sets = table(sets.dropDuplicates(["cid"]), "sets")
-    exact = found.join(sets.withColumnsRenamed({"cid": "a", "hashes": "set_a"}), "a").join(sets.withColumnsRenamed({"cid": "b", "hashes": "set_b"}), "b")
-    exact = table(exact.select("a", "b", "set_a", "set_b").mapInArrow(_keep_similar(percent), "a binary, b binary"), "links")
+    placed = found.select("hub", F.pmod(F.xxhash64("spoke"), F.ceil(F.col("weight") / BLOCK)).cast("int").alias("block"), "spoke")
+    spokes = placed.join(sets.withColumnRenamed("cid", "spoke"), "spoke").select("hub", "block", "spoke", "hashes")
+    heads = placed.select("hub", "block").distinct().join(sets.withColumnRenamed("cid", "hub"), "hub").select("hub", "block", F.lit(None).cast("binary").alias("spoke"), "hashes")
+    exact = heads.union(spokes).repartition("hub", "block").sortWithinPartitions("hub", "block", F.col("spoke").asc_nulls_first())
+    exact = table(exact.mapInArrow(_keep_similar(percent), "a binary, b binary"), "links")
     labels = components(exact)
     made.append(labels)
 
