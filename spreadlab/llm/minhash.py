@@ -10,8 +10,9 @@ shifted circularly by k. One lookup thus reads all coordinates of a shingle as o
 3. Buckets of up to SMALL classes give their pairs. In a larger one, each class first meets the
    bucket's pivot, the class with the most company in all its buckets. Pairs whose coordinates
    agree too seldom for the threshold (a chance of 1e-7 there) go; the rest are counted exactly.
-4. A larger bucket that is still in several components is compared exactly in blocks of sets whose sizes
-   allow a link; they return only links that join components. So no group of copies is ever expanded into its pairs.
+4. Larger buckets that are still in several components are compared exactly: those of one pivot mostly hold the same classes and
+   become one group (:func:`_cells`), and in a group the classes outside its largest component meet all others, in blocks of sets
+   whose sizes allow a link. Blocks return only links that join components, so no group of copies is ever expanded into its pairs.
 5. Components come from contracting links to least neighbours, each round a table in the shared folder.
 
 Joins by bucket or class broadcast the few hot keys (:func:`~.common.join_unique`)."""
@@ -23,7 +24,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,7 +35,8 @@ COORDINATES = 128  # at most
 MISSED, SKETCH_MISSED = 1e-6, 1e-7
 DOMAIN_BITS = 20
 SMALL = 64
-BLOCK, BLOCK_SHINGLES = 256, 2_000_000
+#: Sets of a block, and blocks of a group from which on they grow; a block's shingles are bounded.
+BLOCK, BLOCKS, BLOCK_SHINGLES = 256, 16, 2_000_000
 #: Bytes of an Arrow batch between Spark and Python here: texts and sets are wide rows.
 BATCH_BYTES = 8 << 20
 
@@ -164,26 +165,44 @@ def _keep_similar(percent: int):
 def _block_links(percent: int):
     """Exact links of a block with itself or with another; only those that join components."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        left = (group["side"] == 0).to_numpy()
-        right = ~left if group["apart"].iloc[0] else left
-        if not left.any() or not right.any():
-            return pd.DataFrame([], columns=["a", "b"])
-        sets = [np.frombuffer(x, dtype=np.uint64) for x in group["hashes"]]
+    def links(pairs: list[tuple[bytes, bytes]]) -> pa.Table:
+        return pa.table({k: pa.array([p[i] for p in pairs], pa.binary()) for i, k in enumerate("ab")})
+
+    def run(group: pa.Table) -> pa.Table:
+        side, apart = group["side"].to_numpy(), group["apart"][0].as_py()
+        cid, comp = group["cid"].to_pylist(), group["comp"].to_pylist()
+        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side == 1) if apart else left
+        if not len(left) or not len(right):
+            return links([])
+        sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in group["hashes"]]
         n = np.array([len(s) for s in sets], dtype=np.float64)
-        order = np.argsort(np.concatenate(sets), kind="stable")
-        owner = np.repeat(np.arange(len(sets)), n.astype(np.int64))[order]
-        value = np.concatenate(sets)[order]
+        owner = np.repeat(np.arange(len(sets)), n.astype(np.int64))
+        order = np.argsort(value := np.concatenate(sets), kind="stable")
+        owner, value = owner[order], value[order]
         column = np.concatenate([[0], np.cumsum(value[1:] != value[:-1])])
-        common = np.zeros((len(sets), len(sets)), dtype=np.float32)
-        for lo in range(0, int(column[-1]) + 1, 4096):
-            i, j = np.searchsorted(column, [lo, lo + 4096])
-            m = np.zeros((len(sets), 4096), dtype=np.float32)
-            m[owner[i:j], column[i:j] - lo] = 1
-            common += m @ m.T
-        linked = 100 * common >= percent * (n[:, None] + n[None] - common)
-        linked &= left[:, None] & right[None]
-        parent = {c: c for c in group["comp"]}
+        # Shingles of one side, or of one set, are common to no pair.
+        there = [np.bincount(column[side[owner] == k], minlength=column[-1] + 1) for k in (0, 1)]
+        shared = (there[0] > 0) & (there[1] > 0) if apart else there[0] > 1
+        owner, column = owner[shared[column]], (np.cumsum(shared) - 1)[column[shared[column]]]
+        at = np.empty(len(sets), dtype=np.int64)
+        at[right], at[left] = np.arange(len(right)), np.arange(len(left))
+        common = np.zeros((len(left), len(right)), dtype=np.float32)
+        total = int(shared.sum())
+        step = max(1, min(1024, total))
+        for lo in range(0, total, step):
+            i, j = np.searchsorted(column, [lo, lo + step])
+            own, col = owner[i:j], column[i:j] - lo
+            m = [np.zeros((len(x), step), dtype=np.float32) for x in ((left, right) if apart else (left,))]
+            for k, x in enumerate(m):
+                x[at[own[side[own] == k]], col[side[own] == k]] = 1
+            common += m[0] @ m[-1].T
+        parent = {c: c for c in comp}
+        code = np.array([*map({c: k for k, c in enumerate(parent)}.get, comp)])
+        linked = code[left][:, None] != code[right][None]
+        for i, k in enumerate(left):
+            row = common[i].astype(np.float64)
+            linked[i] &= 100 * row >= percent * (n[k] + n[right] - row)
 
         def top(c: bytes) -> bytes:
             while parent[c] != c:
@@ -191,13 +210,14 @@ def _block_links(percent: int):
                 c = parent[c]
             return c
 
-        cid, comp, out = group["cid"].tolist(), group["comp"].tolist(), []
+        out = []
         for i, j in zip(*np.nonzero(linked), strict=True):
+            i, j = left[i], right[j]
             x, y = top(comp[i]), top(comp[j])
             if x != y:
                 parent[max(x, y)] = min(x, y)
                 out.append((cid[i], cid[j]))
-        return pd.DataFrame(out, columns=["a", "b"])
+        return links(out)
 
     return run
 
@@ -239,6 +259,60 @@ def _between(links: DataFrame) -> DataFrame:
     return links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _groups(split: DataFrame, pivots: DataFrame, classes: DataFrame, n_banded: int, table) -> DataFrame:
+    """(group, cid, comp, n) of the buckets in split (key, cid, comp) that are in several components; a class is in a group once.
+
+    Buckets with one pivot are one group, unless they overlap so little that it has more pairs than they have together."""
+    several = split.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
+    several = table(several.join(pivots, "key").select("key", "pivot", "size"), "several")
+    united = join_unique(split, several, ["key"], "size", n_banded).select("pivot", "cid").distinct().groupBy("pivot").agg(F.count(F.lit(1)).cast("double").alias("united"))
+    apart = several.groupBy("pivot").agg(F.sum(F.col("size").cast("double") ** 2).alias("pairs"))
+    merged = united.join(apart, "pivot").where("united * united <= pairs").select("pivot", F.col("pivot").alias("group"))
+    named = several.join(merged, "pivot", "left").select("key", "size", F.coalesce("group", F.encode(F.col("key").cast("string"), "utf-8")).alias("group"))
+    groups = join_unique(split, table(named, "named"), ["key"], "size", n_banded).select("group", "cid", "comp").distinct()
+    return table(groups.join(classes.select("cid", "n"), "cid"), "groups")
+
+
+def _cells(groups: DataFrame, percent: int, n_banded: int) -> DataFrame:
+    """(group, cid, comp, low, kind, one, two, side, apart): the cells, pairs of blocks, in which each class meets others.
+
+    Two classes in the largest component of their group need no meeting. A group's rest is in blocks and so is that component, both by
+    steps of size; a block of the rest meets blocks of both that are at most a step away. Blocks grow with the root of what
+    they are cut from beyond BLOCKS of BLOCK sets, so a set is then in about as many cells as that root."""
+    comps = groups.groupBy("group", "comp").agg(F.count(F.lit(1)).alias("size"))
+    main = comps.groupBy("group").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.sum("size").alias("weight"))
+    # Sets that link differ in size by the threshold at most: by one step of a scale with that factor.
+    scale = F.floor(F.ln("n") / -math.log(percent / 100)).cast("int") if percent < 100 else F.col("n").cast("int")
+    groups = join_unique(groups, main, ["group"], "weight", n_banded).select("group", "cid", "comp", "n", scale.alias("scale"), (F.col("comp") == F.col("main")).alias("is_main"))
+    n_main, n_rest = F.count_if("is_main"), F.count_if(~F.col("is_main"))
+    blocks = lambda n: F.ceil(n / F.greatest(F.lit(1.0), F.least(F.greatest(F.lit(BLOCK), F.sqrt(n * BLOCK / BLOCKS)), BLOCK_SHINGLES / F.max("n")))).cast("int")
+    steps = groups.groupBy("group", "scale").agg(blocks(n_main).alias("main"), blocks(n_rest).alias("rest"), F.count(F.lit(1)).alias("weight"))
+    w = Window.partitionBy("group").orderBy("scale")  # a row per size step of a group
+    beside = lambda f, d, c: F.when(f("scale").over(w) == F.col("scale") + d, f(c).over(w)).otherwise(0)
+    steps = steps.withColumns({f"{c}_{at}": beside(f, d, c) for c in ("main", "rest") for at, f, d in (("below", F.lag, -1), ("above", F.lead, 1))})
+    groups = join_unique(groups, steps, ["group", "scale"], "weight", n_banded)
+    groups = groups.withColumn("block", F.pmod(F.xxhash64("cid"), F.when(F.col("is_main"), F.col("main")).otherwise(F.col("rest"))).cast("int"))
+
+    def cells(count: str, make) -> Column:
+        return F.transform(F.when(F.col(count) > 0, F.sequence(F.lit(0), F.col(count) - 1)).otherwise(F.array().cast("array<int>")), make)
+
+    def cell(low: Column, kind: int, one: Column, two: Column, side: Column, apart: Column) -> Column:
+        return F.struct(low.alias("low"), F.lit(kind).alias("kind"), one.alias("one"), two.alias("two"), side.cast("int").alias("side"), apart.alias("apart"))
+
+    scale, block, true, left, right = F.col("scale"), F.col("block"), F.lit(True), F.lit(0), F.lit(1)
+    to_main = lambda k: lambda m: cell(scale, k, block, m, left, true)
+    to_rest = lambda k, d: lambda m: cell(scale + d, k, m, block, right, true)
+    rest = [
+        cells("rest", lambda m: cell(scale, 0, F.least(block, m), F.greatest(block, m), block > m, block != m)),
+        cells("rest_above", lambda m: cell(scale, 1, block, m, left, true)),
+        cells("rest_below", lambda m: cell(scale - 1, 1, m, block, right, true)),
+        *(cells(c, to_main(k)) for k, c in ((2, "main_below"), (3, "main"), (4, "main_above"))),
+    ]
+    largest = [cells(c, to_rest(k, d)) for k, c, d in ((2, "rest_above", 1), (3, "rest", 0), (4, "rest_below", -1))]
+    at = F.when(F.col("is_main"), F.concat(*largest)).otherwise(F.concat(*rest))
+    return groups.select("group", "cid", "comp", F.explode(at).alias("at")).select("group", "cid", "comp", "at.*")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, width: int = S.WIDTH) -> DataFrame:
     """One row (id, n_shingles, component_id, kept) for each row of docs.
 
@@ -276,7 +350,8 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, percent: int,
     large = members.where(F.col("size") > SMALL)
     company = members.groupBy("cid").agg(F.sum(F.log("size")).alias("company"))
     pivots = large.join(company, "cid").groupBy("key").agg(F.max_by("cid", F.struct("company", "cid")).alias("pivot"), F.max("size").alias("weight"))
-    starred = join_unique(large, table(pivots, "pivots"), ["key"], "weight", n_banded).where("cid <> pivot").select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b"))
+    pivots = table(pivots, "pivots")
+    starred = join_unique(large, pivots, ["key"], "weight", n_banded).where("cid <> pivot").select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b"))
     sketches = classes.select("cid", "sketch")
     found = pairs.union(starred).distinct()
     found = found.join(sketches.withColumnsRenamed({"cid": "a", "sketch": "sketch_a"}), "a").join(sketches.withColumnsRenamed({"cid": "b", "sketch": "sketch_b"}), "b")
@@ -293,33 +368,9 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, percent: int,
     labels = components(exact)
     made.append(labels)
 
-    split = large.join(labels, F.col("cid") == F.col("node"), "left").select("key", "size", "cid", F.coalesce("label", "cid").alias("comp"))
-    split = split.join(classes.select("cid", "n"), "cid")
-    # Sets that link differ in size by the threshold at most: by one step of a scale with that factor.
-    scale = F.floor(F.ln("n") / -math.log(percent / 100)).cast("int") if percent < 100 else F.col("n").cast("int")
-    split = table(split.withColumn("scale", scale), "split")
-    several = split.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("size").alias("weight")).where("low <> high").drop("low", "high")
-    split = join_unique(split, several, ["key"], "weight", n_banded)
-    room = F.greatest(F.lit(1), F.least(F.lit(BLOCK), (F.lit(BLOCK_SHINGLES) / F.max("n")).cast("int")))
-    steps = split.groupBy("key", "scale").agg(F.ceil(F.count(F.lit(1)) / room).cast("int").alias("blocks"), F.count(F.lit(1)).alias("weight"))
-    w = Window.partitionBy("key").orderBy("scale")  # a row per size step of a bucket
-    beside = lambda f, d: F.when(f("scale").over(w) == F.col("scale") + d, f("blocks").over(w)).otherwise(0)
-    steps = steps.withColumns({"lower": beside(F.lag, -1), "upper": beside(F.lead, 1)})
-    split = join_unique(split.drop("weight"), steps, ["key", "scale"], "weight", n_banded)
-    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
-
-    def cells(count: str, make) -> Column:
-        return F.transform(F.when(F.col(count) > 0, F.sequence(F.lit(0), F.col(count) - 1)).otherwise(F.array().cast("array<int>")), make)
-
-    def cell(scale: Column, one: Column, two: Column, side: Column, apart: Column, cross: bool) -> Column:
-        return F.struct(scale.alias("low"), F.lit(cross).alias("cross"), one.alias("one"), two.alias("two"), side.cast("int").alias("side"), apart.alias("apart"))
-
-    block, true = F.col("block"), F.lit(True)
-    within = cells("blocks", lambda m: cell(F.col("scale"), F.least(block, m), F.greatest(block, m), block > m, block != m, False))
-    above = cells("upper", lambda m: cell(F.col("scale"), block, m, F.lit(0), true, True))
-    below = cells("lower", lambda m: cell(F.col("scale") - 1, m, block, F.lit(1), true, True))
-    placed = split.withColumn("block", own).select("key", "cid", "comp", F.explode(F.concat(within, above, below)).alias("at")).select("key", "cid", "comp", "at.*")
-    rest = placed.join(sets, "cid").groupBy("key", "low", "cross", "one", "two").applyInPandas(_block_links(percent), "a binary, b binary")
+    split = table(large.join(labels, F.col("cid") == F.col("node"), "left").select("key", "cid", F.coalesce("label", "cid").alias("comp")), "split")
+    placed = _cells(_groups(split, pivots, classes, n_banded, table), percent, n_banded)
+    rest = placed.join(sets, "cid").groupBy("group", "low", "kind", "one", "two").applyInArrow(_block_links(percent), "a binary, b binary")
     rest = table(rest, "links")
     if rest.limit(1).count():
         labels = components(exact.union(rest))

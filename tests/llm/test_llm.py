@@ -187,6 +187,37 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch):
         assert got == brute_components(rows)
 
 
+def test_near_duplicates_rows_in_blocks(spark, monkeypatch):
+    """Of a group of near copies, four times as many give far less than sixteen times the rows in blocks, and lose no link."""
+    monkeypatch.setattr(minhash, "SMALL", 4)
+    monkeypatch.setattr(minhash, "BLOCK", 2)
+    block_links, rows_in = minhash._block_links, []
+    for copies in (100, 400):
+        r, w, rows = random.Random(8), text(7, 80).split(), []
+        for k in range(copies):
+            c = list(w)
+            for _ in range(k % 6):
+                c[r.randrange(len(c))] = f"new{r.randrange(10**6)}"
+            rows.append((k, " ".join(c)))
+        seen = spark.sparkContext.accumulator(0)
+
+        def counted(percent, seen=seen):
+            run = block_links(percent)
+
+            def inner(group):
+                seen.add(len(group))
+                return run(group)
+
+            return inner
+
+        monkeypatch.setattr(minhash, "_block_links", counted)
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, percent=80).collect())
+        assert got == brute_components(rows, 80)
+        rows_in.append(seen.value)
+    assert 0 < rows_in[1] < 11 * rows_in[0], rows_in
+
+
 def test_near_duplicates_awkward(spark):
     rows = [(r.doc_id, r.text) for r in awkward(spark).collect()]
     got = minhash.near_duplicates(awkward(spark)).collect()
